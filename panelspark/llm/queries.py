@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup
+from . import jaccard_join, lang_id, line_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +16,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return lang_id.identify(docs, lang_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op8_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_jaccard_join, op8_lang_id)}
 
 ORACLES = {
     "op1_line_dedup": """
