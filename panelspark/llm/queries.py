@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, lang_id, line_dedup
+from . import jaccard_join, lang_id, line_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +21,42 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return lang_id.identify(docs, lang_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_jaccard_join, op8_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_jaccard_join, op6_substring_dedup, op8_lang_id)}
 
 ORACLES = {
+    "op6_substring_dedup": """
+        WITH words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), windows AS (
+          SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM words WHERE len(w) >= 13
+        ), keyed AS (
+          SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS win FROM windows
+        ), firsts AS (
+          SELECT win, min(doc_id) AS first FROM keyed GROUP BY win
+        ), covered AS (
+          SELECT DISTINCT k.doc_id, k.pos + o.o AS pos
+          FROM keyed k JOIN firsts f ON k.win = f.win AND f.first < k.doc_id, (SELECT unnest(range(0, 13)) AS o) o
+        ), gone AS (
+          SELECT doc_id, list(pos) AS gone, count(*) AS n FROM covered GROUP BY doc_id
+        ), kept AS (
+          SELECT d.doc_id, len(d.w) AS n_words, coalesce(g.n, 0) AS n_removed,
+                 CASE WHEN g.n IS NULL THEN d.w
+                      ELSE list_transform(list_filter(range(1, len(d.w) + 1), lambda i: NOT list_contains(g.gone, i)), lambda i: d.w[i]) END AS w
+          FROM words d LEFT JOIN gone g ON d.doc_id = g.doc_id
+        )
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(w, ' '), '')) AS kept_sha256 FROM kept
+    """,
     "op1_line_dedup": """
         WITH split AS (
           SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents

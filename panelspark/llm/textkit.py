@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _SEED = np.random.default_rng(20240229)
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE = _SEED.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Characters of a batch that are hashed at once; a longer text is a batch of its own.
@@ -53,11 +53,12 @@ class Words:
         self.doc = np.repeat(np.arange(len(parts)), np.diff(self.first))
         self.data = data
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial over its bytes by differences of prefix sums, mixed."""
+    def hashes(self, family: int = 0) -> np.ndarray:
+        """64 bits for each word, independent in each of two families: a polynomial over its bytes
+        by differences of prefix sums, mixed."""
         with np.errstate(over="ignore"):
             powers = _powers(len(self.data))
-            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * powers, dtype=np.uint64)))
+            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[family][self.data] * powers, dtype=np.uint64)))
             spread = (prefix[self.end] - prefix[self.start]) * _inverses(len(self.data))[self.start]
             return mix(spread + (self.end - self.start).astype(np.uint64))
 
