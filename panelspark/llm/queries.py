@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lang_id, line_dedup, packing, substring_dedup
+from . import bpe, jaccard_join, lang_id, line_dedup, packing, substring_dedup
 
 
 def _tokenizer_file(name: str) -> str:
@@ -24,6 +24,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,7 +54,7 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id)}
 
 ORACLES = {
     "op6_substring_dedup": """
