@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, lang_id, line_dedup, packing, substring_dedup
+from . import bpe, jaccard_join, lang_id, line_dedup, packing, substring_dedup, topk
 
 
 def _tokenizer_file(name: str) -> str:
@@ -54,7 +54,12 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op10_topk_search)}
 
 ORACLES = {
     "op6_substring_dedup": """
@@ -101,4 +106,18 @@ ORACLES = {
                CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text
         FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op10_topk_search": """
+        WITH usable AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
