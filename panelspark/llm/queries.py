@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, lang_id, line_dedup, packing, substring_dedup, topk
+from . import bpe, embed_dedup, jaccard_join, lang_id, line_dedup, packing, substring_dedup, topk
 
 
 def _tokenizer_file(name: str) -> str:
@@ -35,6 +35,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,9 +63,29 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_embedding_dedup, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op10_topk_search)}
 
 ORACLES = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach AS (
+          SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION
+          SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+        ), part AS (
+          SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), degree AS (
+          SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+        )
+        SELECT p.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, p.component_id, p.vec_id = p.component_id AS kept
+        FROM part p LEFT JOIN degree d ON p.vec_id = d.vec_id
+    """,
     "op6_substring_dedup": """
         WITH words AS (
           SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
