@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, jaccard_join, lang_id, line_dedup, packing, substring_dedup, topk
+from . import bpe, embed_dedup, jaccard_join, lang_id, line_dedup, packing, quality, substring_dedup, topk
 
 
 def _tokenizer_file(name: str) -> str:
@@ -58,12 +58,18 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    neighbours = quality.train(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.classify(docs, neighbours).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_embedding_dedup, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_embedding_dedup, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op9_quality, op10_topk_search)}
 
 ORACLES = {
     "op3_embedding_dedup": """
