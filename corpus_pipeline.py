@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import lang_id, line_dedup
+from panelspark.llm import jaccard_join, lang_id, line_dedup, packing, substring_dedup
+from panelspark.llm.queries import tokenizer_file
 from panelspark.llm.runtime import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +25,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-STAGES = [("language", language), ("lines", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group linked by similarity; rows without an id stay."""
+    gone = jaccard_join.jaccard_join(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that a document with a smaller id has; documents that had nothing else go."""
+    kept = substring_dedup.remove_repeats(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of one window, with their ids as little-endian 32-bit integers."""
+    pieces = packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("passages", passages), ("packing", packed)]
 #: Training and tokenization can't be written in SQL.
 ORACLE_SQL = None
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, jaccard_join, lang_id, line_dedup, packing, quality, substring_dedup, topk
+from . import bpe, embed_dedup, html_extract, jaccard_join, lang_id, line_dedup, packing, quality, substring_dedup, topk
 
 
-def _tokenizer_file(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file, installed on every machine."""
     import public_tokenizers
 
@@ -25,7 +25,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
     return decoded.select(
         "doc_id",
@@ -43,13 +43,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_read(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -69,7 +74,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_embedding_dedup, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_lang_id, op9_quality, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_embedding_dedup, op4_jaccard_join, op5_html_extract, op6_substring_dedup, op7_packing, op8_lang_id, op9_quality, op10_topk_search)}
 
 ORACLES = {
     "op3_embedding_dedup": """
