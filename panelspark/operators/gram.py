@@ -119,7 +119,7 @@ def squares(matrix: np.ndarray, beta: np.ndarray) -> tuple[float, float, float]:
 
 def _scores(matrix: np.ndarray, beta: np.ndarray) -> tuple[float | None, float | None]:
     n, sse, sst = squares(matrix, beta)
-    return ((max(sse, 0) / n) ** 0.5 if n else None), (1 - sse / sst if sst > 1e-9 else None)
+    return (float((max(sse, 0) / n) ** 0.5) if n else None), (float(1 - sse / sst) if sst > 1e-9 else None)
 
 
 def search_alpha(df: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float], split: str = "split", weight: str | None = None) -> DataFrame:
