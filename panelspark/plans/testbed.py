@@ -34,7 +34,7 @@ VIEWS = {
         SELECT k, d, h, [days:d] * 86400 + h * 3600 AS tick, x, y, [days:d] AS day
         FROM (
           SELECT user_id AS k, CAST(ts AS DATE) AS d, CAST(hour(ts) + 1 AS INTEGER) AS h, CAST(count(*) AS DOUBLE) AS x,
-                 CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS y
+                 CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 98.7654321 AS y
           FROM events GROUP BY user_id, CAST(ts AS DATE), hour(ts) + 1
         ) AS base
     """,
