@@ -91,10 +91,12 @@ def _sketch(width: int):
                 flat, first = shingles(texts[lo:hi], width)
                 n = np.diff(first)
                 has = np.flatnonzero(n)
+                if not len(has):
+                    continue
                 tokens = min_tokens(flat, first)
                 with np.errstate(over="ignore"):
-                    one = np.add.reduceat(mix(flat), first[:-1][has]) if len(has) else np.zeros(0, np.uint64)
-                    two = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), first[:-1][has]) if len(has) else one
+                    one = np.add.reduceat(mix(flat), first[:-1][has])
+                    two = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), first[:-1][has])
                 yield pd.DataFrame({"doc_id": ids[lo:hi][has], "n": n[has], "k1": one.view(np.int64), "k2": two.view(np.int64), "tokens": list(tokens.view(np.int64))})
 
     return run
