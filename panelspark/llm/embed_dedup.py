@@ -26,8 +26,8 @@ COSINE = 0.9
 #: Bound of the sample that the tree is fitted on; cells at most; leading coordinates of boxes; rows of a tile.
 SAMPLE, CELLS, LEAD, TILE = 8192, 256, 8, 4096
 #: Coordinates between two tests of the bound, and rows compared at once.
-STEP, BLOCK = 16, 512
-_SLACK = 1e-9
+STEP, BLOCK = 24, 512
+_SLACK, _SLACK_SINGLE = 1e-9, 1e-5
 
 
 def usable_vectors(vectors: DataFrame) -> F.Column:
@@ -109,41 +109,63 @@ def near_cells(boxes: pd.DataFrame, cosine: float) -> list[tuple[int, int]]:
     return [(int(cell[i]), int(cell[j])) for i, j in zip(*np.nonzero(near), strict=True) if cell[i] <= cell[j]]
 
 
+def _suffix_norms(p: np.ndarray, done: int) -> np.ndarray:
+    return np.sqrt(np.maximum((p[:, done:] ** 2).sum(1), 0))
+
+
 def compare(x: np.ndarray, y: np.ndarray, turn: np.ndarray, cosine: float) -> np.ndarray:
-    """Which rows of x and y have at least that cosine, in double precision."""
-    ux, uy = _unit(x), _unit(y)
-    px, py = ux @ turn, uy @ turn
+    """Which rows of x and y have at least that cosine, in double precision.
+
+    The leading coordinates with the suffix norm as one more make a product that no cosine exceeds, in
+    single precision with slack. While many pairs reach the threshold it is made of more coordinates;
+    few pairs are followed one by one. A pair that stays is settled by the vectors as they came.
+    """
+    px, py = _unit(x) @ turn, _unit(y) @ turn
+    d = px.shape[1]
     out = np.zeros((len(x), len(y)), bool)
+
+    def leading(p: np.ndarray, done: int) -> np.ndarray:
+        return np.column_stack([p[:, :done], _suffix_norms(p, done)]).astype(np.float32)
+
+    steps = [*range(STEP, d, STEP), d]
+    right = {}
     for lo in range(0, len(x), BLOCK):
         a = px[lo : lo + BLOCK]
-        dot = a[:, :STEP] @ py[:, :STEP].T
-        done = STEP
-        while done < a.shape[1]:
-            rest = np.sqrt(np.maximum((a[:, done:] ** 2).sum(1), 0))[:, None] * np.sqrt(np.maximum((py[:, done:] ** 2).sum(1), 0))[None, :]
-            alive = dot + rest >= cosine - _SLACK
-            if not alive.any():
-                break
-            if alive.mean() < 0.02:  # few pairs: finish them one by one
-                i, j = np.nonzero(alive)
-                dot = np.full(dot.shape, -2.0)
-                for k in range(0, len(i), 100_000):
-                    s = slice(k, k + 100_000)
-                    dot[i[s], j[s]] = (a[i[s]] * py[j[s]]).sum(1)
-                done = a.shape[1]
+        for done in steps:
+            if done not in right:
+                right[done] = leading(py, done)
+            bound = leading(a, done) @ right[done].T
+            alive = bound >= cosine - _SLACK_SINGLE
+            count = int(np.count_nonzero(alive))
+            if count * 50 < alive.size:
                 break
-            dot += a[:, done : done + STEP] @ py[:, done : done + STEP].T
-            done += STEP
-        if done < a.shape[1]:
+        if not count:
             continue
-        near = dot >= cosine + _SLACK
-        i, j = np.nonzero(np.abs(dot - cosine) < _SLACK)  # too near to the threshold for turned coordinates
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        sure = np.zeros_like(alive)
+        if done == d:  # the bound is the cosine
+            sure = bound >= cosine + _SLACK_SINGLE
+            alive &= ~sure
+        i, j = np.divmod(np.flatnonzero(alive), alive.shape[1])
+        for k in range(0, len(i), 200_000):
+            p, q = _follow(a, py, i[k : k + 200_000], j[k : k + 200_000], done, cosine)
             v, w = x[lo + p], y[q]
-            near[p, q] = float(v @ w) / (float(v @ v) ** 0.5 * float(w @ w) ** 0.5) >= cosine
-        out[lo : lo + BLOCK] = near
+            exact = (v * w).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((w * w).sum(1)))
+            sure[p[exact >= cosine], q[exact >= cosine]] = True
+        out[lo : lo + BLOCK] = sure
     return out
 
 
+def _follow(px: np.ndarray, py: np.ndarray, i: np.ndarray, j: np.ndarray, done: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that still may reach the threshold after all coordinates beyond done, step by step."""
+    dot = (px[i, :done] * py[j, :done]).sum(1)
+    while done < px.shape[1] and len(i):
+        dot += (px[i, done : done + STEP] * py[j, done : done + STEP]).sum(1)
+        done = min(done + STEP, px.shape[1])
+        on = dot + _suffix_norms(px, done)[i] * _suffix_norms(py, done)[j] >= cosine - _SLACK
+        i, j, dot = i[on], j[on], dot[on]
+    return i, j
+
+
 KEY = ["ca", "ta", "cb", "tb"]
 
 
