@@ -11,7 +11,7 @@ from panelspark.llm.runtime import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if the network has no language for it or is less sure than this.
-MIN_LANG_SCORE = 0.5
+MIN_LANG_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,14 +99,16 @@ class ByteNet:
             out[i : i + 64] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 11) -> ByteNet:
-        """Adam on the cross-entropy; the gradient of max pooling goes to the place of the maximum."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, least_steps: int = 800, rate: float = 0.01, seed: int = 11) -> ByteNet:
+        """Adam on the cross-entropy; the gradient of max pooling goes to the place of the maximum. A small
+        sample is gone through more often, for least_steps in all."""
         rng = np.random.default_rng(seed)
         params = [*self.weights, *self.bias, self.out, self.out_bias]
         first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
         step = 0
-        for _ in range(epochs):
-            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+        parts = max(1, len(x) // 64)
+        for _ in range(max(epochs, -(-least_steps // parts))):
+            for at in np.array_split(rng.permutation(len(x)), parts):
                 step += 1
                 z, where = self.pooled(x[at], self.pair_tables(), arg=True)
                 h = np.maximum(z, 0)
