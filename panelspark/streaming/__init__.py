@@ -1 +1 @@
-
+"""No operator of the blueprint is a stream; panels are recomputed or appended to by batches."""
