@@ -9,7 +9,7 @@ _BYTE = _SEED.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Characters of a batch that are hashed at once; a longer text is a batch of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,6 +34,19 @@ def chunks(texts: list, limit: int = CHUNK_CHARS):
         yield start, len(texts)
 
 
+def column_chunks(column, limit: int = CHUNK_CHARS):
+    """As chunks, of an Arrow column of texts; only lengths are looked at."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(size):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of the given texts.
 
