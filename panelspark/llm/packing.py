@@ -10,11 +10,13 @@ its length.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,56 +24,85 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import Scratch
+from .textkit import Words, column_chunks
 
 WINDOW = 2048
 END_ID = 1
 #: Lengths that triples are made of are those with the largest counts, at most this many.
 TRIPLE_LENGTHS = 96
-_CACHED = 300_000
+#: Strings in each of two generations of the cache.
+_CACHED = 400_000
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class _Chunks(dict):
-    """Ids, as bytes, of strings without blanks; computed once for each distinct string."""
+class _Generations:
+    """Ids, as bytes, of UTF-8 strings without blanks. What a full generation held is kept as long as it is
+    asked for in the next one."""
 
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-_known: dict[str, _Chunks] = {}
+    def learn(self, words: list[bytes], tokenizer) -> dict[bytes, bytes]:
+        """A table that has all of words."""
+        if len(self.young) > _CACHED:
+            self.young, self.old = {}, self.young
+        missing = []
+        for w in words:
+            if w in self.young:
+                continue
+            if (ids := self.old.get(w)) is None:
+                missing.append(w)
+            else:
+                self.young[w] = ids
+        for i in range(0, len(missing), 5000):
+            part = missing[i : i + 5000]
+            found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+            self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        return self.young
+
+
+_known: dict[str, _Generations] = {}
 
 
 def encode_texts(texts: list, path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text. The tokenizer splits at white space and drops it, so
     texts are encoded string by string, each distinct one once. None is an empty text."""
-    known = _known.setdefault(path, _Chunks())
-    if len(known) > _CACHED:
-        known.clear()
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-    missing = list({w for ws in split for w in ws}.difference(known))
-    for i in range(0, len(missing), 50_000):
-        part = missing[i : i + 50_000]
-        for w, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+    words = Words(texts)
+    if not len(words.start):
+        return [b""] * len(texts)
+    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    strings = [words.raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+    known = _known.setdefault(path, _Generations()).learn(strings, _tokenizer(path))
+    parts = [known[s] for s in strings]
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    begin, length = (np.cumsum(size) - size)[which], size[which]
+    stop = np.concatenate(([0], np.cumsum(length)))
+    raw = flat[np.repeat(begin - stop[:-1], length) + np.arange(stop[-1])].tobytes()
+    edge = (4 * stop[words.first]).tolist()
+    return [raw[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _tokenize(path: str, end_id: int):
     """Ids of each document, compressed, with its number in the task and its rank among equal remainders there."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(WINDOW, np.int64)
         windows = 0
         squeeze = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), 512):
-                ids = [x + end for x in encode_texts(texts[lo : lo + 512], path)]
+        for batch in batches:
+            for lo, hi in column_chunks(batch.column("text")):
+                ids = [x + end for x in encode_texts(batch.column("text")[lo:hi].to_pylist(), path)]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 rest = n % WINDOW
                 order = np.argsort(rest, kind="stable")
@@ -83,10 +114,9 @@ def _tokenize(path: str, end_id: int):
                 full = n // WINDOW
                 before = windows + np.cumsum(full) - full
                 windows += int(full.sum())
-                yield pd.DataFrame({
-                    "doc_id": pd.array(pdf["doc_id"].iloc[lo : lo + 512], "Int64"), "task": task, "doc_tokens": n,
-                    "rest": rest, "rank": rank, "windows_before": before, "ids": [squeeze.compress(x) for x in ids],
-                })
+                columns = {"task": np.full(len(n), task), "doc_tokens": n, "rest": rest, "rank": rank, "windows_before": before}
+                arrays = [batch.column("doc_id")[lo:hi], *map(pa.array, columns.values()), pa.array([squeeze.compress(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *columns, "ids"])
 
     return run
 
@@ -212,7 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFram
     """
     scratch = Scratch(docs.sparkSession, "packing")
     schema = "doc_id long, task long, doc_tokens long, rest long, rank long, windows_before long, ids binary"
-    tokens = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_tokenize(tokenizer_path, end_id), schema), "tokens")
+    tokens = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, end_id), schema), "tokens")
     by_task = tokens.groupBy("task", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"doc_tokens div {WINDOW}")).alias("windows"))
     by_task = scratch.save(by_task, "by-task")
     count = np.zeros(WINDOW, np.int64)
