@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,12 +57,20 @@ def error_breakdown(df: DataFrame, by: Sequence[str], k: str, model: str = "mode
     return out.join(many, "condition", "left_semi")
 
 
+def _names(columns: str | Sequence[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def _block_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    e = F.col("y_true") - F.col("y_pred")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y_true").alias("y"), F.sum(F.col("y_true") * F.col("y_true")).alias("yy"), F.sum(e * e).alias("ee"), F.sum(F.abs(e)).alias("ae"))
+
+
 def block_sums(df: DataFrame, block: Sequence[str], model: str = "model") -> DataFrame:
     """Sufficient sums of each block and model, with the block's number from 0 in key order (dense, for integer draws).
 
     Blocks are entity-weeks: their numbering window is over distinct blocks, far fewer than rows."""
-    e = F.col("y_true") - F.col("y_pred")
-    sums = df.groupBy(*block, model).agg(F.count("*").alias("n"), F.sum("y_true").alias("y"), F.sum(F.col("y_true") * F.col("y_true")).alias("yy"), F.sum(e * e).alias("ee"), F.sum(F.abs(e)).alias("ae"))
+    sums = _block_sums(df, [*block, model])
     numbers = sums.select(*block).distinct().withColumn("block", F.row_number().over(W.orderBy(*block)) - 1)
     return sums.join(numbers, list(block))
 
@@ -68,21 +78,62 @@ def block_sums(df: DataFrame, block: Sequence[str], model: str = "model") -> Dat
 def resample(sums: DataFrame, rounds: int, seed: int, model: str = "model") -> DataFrame:
     """(round, model, rmse, mae, r2): in each round as many blocks are drawn with replacement as there are,
     the same for all models. Draws are integer hashes of (round, place); only (round, block) multiplicities
-    meet the sums, never rows."""
-    count = sums.agg(F.max("block").alias("_last"))
-    places = count.select(F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("place"), "_last")
-    draws = places.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "place", "_last")
+    meet the sums, never rows. Each block is a place, and tasks share the places. The hash has 1,000,003
+    values, and SQL can repeat it; bucket_rounds draws from any number of blocks, and faster."""
+    count = sums.agg(F.max("block").cast("long").alias("_last"))
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = sums.select(F.col("block").cast("long").alias("place")).distinct().repartition(parts, "place").join(F.broadcast(count))
+    draws = places.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("round"), "place", "_last")
     pick = F.pmod(F.col("round") * 7919 + F.col("place") * 104729 + seed * 31 + F.col("round") * F.col("place") * 613, F.lit(1000003)) % (F.col("_last") + 1)
     times = draws.select("round", pick.alias("block")).groupBy("round", "block").agg(F.count("*").alias("times"))
     met = sums.join(times, "block").groupBy("round", model).agg(*[F.sum(F.col(c) * F.col("times")).alias(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])
     return met.withColumns(_scores(*[F.col(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])).drop("_n", "_y", "_yy", "_ee", "_ae")
 
 
+def bucket_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str | Sequence[str] = "model", buckets: int = 512) -> DataFrame:
+    """(round, model, rmse, mae, r2) as resample gives, of df itself, for any number of blocks and rounds.
+
+    Blocks lie in hashed buckets. A round first draws how many of its blocks come from each bucket, then each
+    bucket draws so many of its own, in a task: together this is drawing from all blocks with replacement.
+    Tasks return one sum a round and model. The driver sees the number of blocks in each bucket."""
+    names, parts = _names(model), ["n", "y", "yy", "ee", "ae"]
+    keyed = _block_sums(df, [*block, *names]).withColumn("_b", F.pmod(F.xxhash64(*block), F.lit(buckets)).cast("int"))
+    sizes = dict(keyed.select("_b", *block).distinct().groupBy("_b").count().collect())  # one row a bucket
+    order = sorted(sizes)
+    shares = np.array([sizes[b] for b in order], float)
+    drawn = np.random.default_rng([seed, 0]).multinomial(int(shares.sum()), shares / max(shares.sum(), 1), rounds) if order else np.zeros((rounds, 0), int)
+    take = {b: drawn[:, i].astype(np.int32) for i, b in enumerate(order)}
+    keys, block = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*names).schema), list(block)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["_b"].iloc[0])
+        place = pdf.groupby(block, dropna=False).ngroup().to_numpy()
+        count, rng = int(place.max()) + 1, np.random.default_rng([seed, 1, b])
+        found = [(key, place[at], pdf[parts].to_numpy(float, na_value=0.0)[at]) for key, at in pdf.groupby(names, dropna=False).indices.items()]
+        sums = np.zeros((len(found), rounds, len(parts)))
+        tables = np.zeros((len(found), count, len(parts)))
+        for i, (_, at, values) in enumerate(found):
+            tables[i, at] = values
+        step = max(1, 2_000_000 // count)
+        for lo in range(0, rounds, step):
+            times = np.stack([np.bincount(rng.integers(0, count, n), minlength=count) for n in take[b][lo : lo + step]]).astype(float)
+            sums[:, lo : lo + step] = times @ tables
+        out = [pd.DataFrame(x, columns=parts).assign(round=np.arange(1, rounds + 1), **dict(zip(names, key if isinstance(key, tuple) else (key,), strict=True))) for (key, *_), x in zip(found, sums, strict=True)]
+        return pd.concat(out)[["round", *names, *parts]]
+
+    met = keyed.groupBy("_b").applyInPandas(draw, f"round long, {keys}, " + ", ".join(f"{c} double" for c in parts))
+    met = met.groupBy("round", *names).agg(*[F.sum(c).alias(f"_{c}") for c in parts])
+    return met.withColumns(_scores(*[F.col(f"_{c}") for c in parts])).drop(*[f"_{c}" for c in parts])
+
+
 def block_bootstrap(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str = "model") -> DataFrame:
     """2.5 and 97.5 per cent points of r2, rmse and mae of each model over resampled blocks."""
-    found = resample(block_sums(df, block, model), rounds, seed, model)
+    return intervals(resample(block_sums(df, block, model), rounds, seed, model), model)
+
+
+def intervals(rounds: DataFrame, model: str | Sequence[str] = "model") -> DataFrame:
     ends = {f"{c}_{n}": F.percentile(c, q) for c in ("r2", "rmse", "mae") for n, q in (("low", 0.025), ("high", 0.975))}
-    return found.groupBy(model).agg(*[c.alias(n) for n, c in ends.items()])
+    return rounds.groupBy(*_names(model)).agg(*[c.alias(n) for n, c in ends.items()])
 
 
 def compare_to_best(rounds: DataFrame, scores: DataFrame, baselines: Sequence[str], model: str = "model") -> DataFrame:

@@ -151,9 +151,14 @@ _BLOCKS = """s AS (SELECT k, isoyear(d) * 100 + week(d) AS wk, model, count(*) A
     z AS (SELECT t.rnd, s.model, sum(n * times) AS n, sum(y * times) AS y, sum(yy * times) AS yy, sum(ee * times) AS ee, sum(ae * times) AS ae FROM s JOIN b ON s.k = b.k AND s.wk = b.wk JOIN t ON t.block = b.block GROUP BY t.rnd, s.model), v AS (SELECT rnd, model, sqrt(ee / n) AS rmse, ae / n AS mae, 1 - ee / (yy - y * y / n) AS r2 FROM z)"""
 
 
-def _blocks(t):
+def _all_blocks(t):
     week = F.extract(F.lit("YEAROFWEEK"), "d") * 100 + F.weekofyear("d")
-    return t.preds.filter("stage = 'default' AND split = 'test' AND k < 20").withColumn("wk", week)
+    return t.preds.filter("stage = 'default' AND split = 'test'").withColumn("wk", week)
+
+
+def _blocks(t):
+    """The entities that the SQL takes; the queries named _all take all of them."""
+    return _all_blocks(t).filter("k < 20")
 
 
 @query("O_E6_block_bootstrap", f"WITH {_BLOCKS} SELECT model, round(quantile_cont(r2, 0.025), 5) AS r2_low, round(quantile_cont(r2, 0.975), 5) AS r2_high, round(quantile_cont(rmse, 0.025), 5) AS rmse_low, round(quantile_cont(rmse, 0.975), 5) AS rmse_high, round(quantile_cont(mae, 0.025), 5) AS mae_low, round(quantile_cont(mae, 0.975), 5) AS mae_high FROM v GROUP BY model")
@@ -161,6 +166,11 @@ def _(t):
     return _rounded(E.block_bootstrap(_blocks(t), ["k", "wk"], 20, 3), [], 5)
 
 
+@query("O_E6_block_bootstrap_all")
+def _(t):
+    return _rounded(E.intervals(E.bucket_rounds(_all_blocks(t), ["k", "wk"], 1000, 3)), [], 5)
+
+
 @query("O_E7_compare_to_best", f"""WITH {_BLOCKS}, sc AS (SELECT model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' AND k < 20 GROUP BY model), be AS (SELECT model AS best FROM sc WHERE model NOT IN ('B1', 'B2') ORDER BY r2 DESC, model DESC LIMIT 1),
     q AS (SELECT v.model, be.best, v.r2 - w.r2 AS d FROM v JOIN v w ON w.rnd = v.rnd JOIN be ON w.model = be.best), o AS (SELECT model, best, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM q GROUP BY model, best)
     SELECT model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
@@ -170,6 +180,13 @@ def _(t):
     return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
 
 
+@query("O_E7_compare_to_best_all")
+def _(t):
+    rows = _all_blocks(t)
+    rounds = E.bucket_rounds(rows, ["k", "wk"], 1000, 3)
+    return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
+
+
 @query("O_E8_upsert_results", "SELECT model, stage, grain, feature_set, split, round(CASE WHEN stage = 'tuned' THEN mae + 1 ELSE mae END, 5) AS mae FROM results")
 def _(t):
     new = t.results.filter("stage = 'tuned'").withColumn("mae", F.col("mae") + 1)
