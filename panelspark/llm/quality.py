@@ -19,7 +19,7 @@ from .lang_id import held_out
 from .runtime import ship_code
 from .textkit import Words, chunks
 
-#: Bound of the labelled sample, half for each label; latent dimensions; votes; weight of the prior vote.
+#: Bound of the labelled sample, both labels at one rate; latent dimensions; votes; weight of the prior vote.
 MAX_ROWS, LATENT, VOTES, PRIOR = 4000, 64, 25, 0.05
 THRESHOLD = 0.3
 WORD_TERMS, SHAPES, SIGNS, LAGS = 1024, 64, 256, 8
@@ -112,13 +112,13 @@ class Neighbours:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Neighbours:
     """Neighbours from docs (doc_id, text) and labels (doc_id, quality), by rows that aren't held out.
 
-    Up to max_rows / 2 rows of each label are drawn by a hash of doc_id; a row with several labels
-    counts as the largest, a null label as none. Term weights are of all rows of docs.
+    Up to max_rows rows are drawn by a hash of doc_id, whatever their label, so that votes and prior
+    have the labels' own ratio for any number of rows; a row with several labels counts as the largest,
+    a null label as none. Term weights are of all rows of docs.
     """
     ship_code(docs.sparkSession)
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    drawn = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_rows // 2) for q in (0, 1)]
-    sample = drawn[0].unionByName(drawn[1]).toPandas()  # max_rows at most
+    sample = known.filter(F.col("quality").isin(0, 1)).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_rows).toPandas()
     idf = inverse_frequencies(docs)
     if not len(sample):
         return Neighbours(np.zeros((0, TERMS), np.float32), np.zeros(0), idf)
