@@ -267,15 +267,25 @@ def _(t):
     return rows.select(F.lit("files").alias("entity_id"), "k", "d", sum(there[1:], there[0]).alias("hours"), sum((F.coalesce(h, F.lit(0.0)) for h in HOURS), F.lit(0.0)).alias("total"))
 
 
-@query("O_S2_read_monitor_table", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, round(x, 4) AS wind, CAST(NULL AS DOUBLE) AS ozone FROM hourly WHERE k % 5 = 0")
-def _(t):
+def _monitor(t, hourly):
+    """Rows of hourly through files in the monitor's layout, as many files as tasks, each with a header."""
     path = _folder(t, "monitor")
-    rows = t.hourly.filter("k % 5 = 0").select(F.date_format("d", "dd/MM/yyyy").alias("Date"), F.format_string("%02d:00", "h").alias("Time"), F.col("y").alias("NO2 1h average"), F.col("x").alias("WSP m/s"), F.col("k").alias("station"))
-    rows.coalesce(1).write.option("header", True).csv(path)
+    rows = hourly.select(F.date_format("d", "dd/MM/yyyy").alias("Date"), F.format_string("%02d:00", "h").alias("Time"), F.col("y").alias("NO2 1h average"), F.col("x").alias("WSP m/s"), F.col("k").alias("station"))
+    rows.write.option("header", True).csv(path)
     read = T.read_monitor_table(t.spark, path, {"target": ["NO2"], "wind": ["WSP"], "ozone": ["OZONE"], "k": ["station"]})
     return read.select(F.col("k").cast("long").alias("k"), "date", "hour_ending", F.round("target", 4).alias("target"), F.round("wind", 4).alias("wind"), "ozone")
 
 
+@query("O_S2_read_monitor_table", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, round(x, 4) AS wind, CAST(NULL AS DOUBLE) AS ozone FROM hourly WHERE k % 5 = 0")
+def _(t):
+    return _monitor(t, t.hourly.filter("k % 5 = 0"))
+
+
+@query("O_S2_read_monitor_table_all", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, round(x, 4) AS wind, CAST(NULL AS DOUBLE) AS ozone FROM hourly")
+def _(t):
+    return _monitor(t, t.hourly)
+
+
 @query("O_S3_read_daily_series", """WITH r AS (SELECT d, sum(n) AS rain FROM daily WHERE kind <> 0 GROUP BY d), a AS (SELECT d, max(k) AS tmax FROM daily WHERE kind = 1 GROUP BY d), b AS (SELECT d, min(k) AS tmin FROM daily WHERE kind = 2 GROUP BY d)
     SELECT coalesce(r.d, a.d, b.d) AS date, CAST(rain AS DOUBLE) AS rain, CAST(tmax AS DOUBLE) AS tmax, CAST(tmin AS DOUBLE) AS tmin, CASE WHEN tmax IS NOT NULL AND tmin IS NOT NULL THEN (tmax + tmin) / 2.0 ELSE CAST(coalesce(tmax, tmin) AS DOUBLE) END AS temp FROM r FULL JOIN a ON r.d = a.d FULL JOIN b ON coalesce(r.d, a.d) = b.d""")
 def _(t):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import quality
 from panelspark.operators import evaluate
-from panelspark.plans import q_models, registry, testbed
+from panelspark.plans import q_joins, q_models, registry, testbed
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,3 +37,14 @@ def test_quality_has_the_ratio_of_labels_at_any_size(spark):
     whole, part = quality.train(docs, labels), quality.train(docs, labels, max_rows=400)
     assert len(part.labels) == 400 and part.prior == pytest.approx(whole.prior, abs=0.05) and whole.prior == pytest.approx(0.875, abs=0.03)
     assert part.score([""])[0] == part.prior and float(np.mean(part.labels)) > 0.8
+
+
+def test_monitor_table_has_every_row_and_several_files(spark, monkeypatch):
+    made, merge = [], "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    monkeypatch.setattr(q_joins, "_folder", lambda t, name, f=q_joins._folder: made.append(f(t, name)) or made[-1])
+    assert registry.QUERIES["O_S2_read_monitor_table_all"](spark, SF).count() == testbed.Testbed(spark, SF).hourly.count()
+    registry.QUERIES["O_S2_read_monitor_table"](spark, SF)
+    spark.conf.unset(merge)
+    files = [spark.read.text(path).select(F.input_file_name()).distinct().count() for path in made]
+    assert min(files) > 1
