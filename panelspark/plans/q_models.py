@@ -218,6 +218,11 @@ def _(t):
     return _rounded(X.family_shapley(sample_rows(t.daily, "row_id", 1000, 1), LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
 
 
+@query("O_X2_family_shapley_all", """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind, avg(rain) AS rain FROM daily) SELECT row_id, 'drivers' AS family, round(1.5 * (d.x - m.x), 5) AS phi FROM daily d, m UNION ALL SELECT row_id, 'weather', round(-0.25 * (d.wind - m.wind) + 0.5 * (d.rain - m.rain), 5) FROM daily d, m""")
+def _(t):
+    return _rounded(X.family_shapley(t.daily, LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
+
+
 _IMPORTANCE = "SELECT feature, avg(abs(phi)) AS mean_abs, corr(value, phi) AS direction FROM phi GROUP BY feature"
 
 

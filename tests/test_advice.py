@@ -48,3 +48,10 @@ def test_monitor_table_has_every_row_and_several_files(spark, monkeypatch):
     spark.conf.unset(merge)
     files = [spark.read.text(path).select(F.input_file_name()).distinct().count() for path in made]
     assert min(files) > 1
+
+
+def test_shapley_values_of_every_row(spark):
+    daily = testbed.Testbed(spark, SF).daily
+    assert daily.count() > 1000
+    found = registry.QUERIES["O_X2_family_shapley_all"](spark, SF)
+    assert found.count() == 2 * daily.count() and found.select("row_id").distinct().count() == daily.count()
