@@ -136,14 +136,26 @@ def intervals(rounds: DataFrame, model: str | Sequence[str] = "model") -> DataFr
     return rounds.groupBy(*_names(model)).agg(*[c.alias(n) for n, c in ends.items()])
 
 
-def compare_to_best(rounds: DataFrame, scores: DataFrame, baselines: Sequence[str], model: str = "model") -> DataFrame:
+def compare_to_best(rounds: DataFrame, scores: DataFrame, baselines: Sequence[str], model: str = "model", group: str | None = None) -> DataFrame:
     """Interval of each model's r2 less that of the best model that is no baseline, in the same rounds: better, worse,
-    or not distinguishable. scores: (model, r2) of the whole."""
-    best = scores.filter(~F.col(model).isin(*baselines)).agg(F.max_by(model, F.struct("r2", model)).alias("best"))
-    rows = rounds.join(F.broadcast(best))
-    top = rows.filter(F.col(model) == F.col("best")).select("round", F.col("r2").alias("_best_r2"))
-    pairs = rows.join(top, "round").withColumn("d", F.col("r2") - F.col("_best_r2"))
-    out = pairs.groupBy(model, "best").agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+    or not distinguishable. scores: (model, r2) of the whole.
+
+    With group, a column of both tables, each value has its own best, and baselines that a group lacks are those of
+    the first group with them. A round's models, a handful, lie in one array."""
+    g = group or "_g"
+    if group is None:
+        rounds, scores = rounds.withColumn(g, F.lit(0)), scores.withColumn(g, F.lit(0))
+    best = scores.filter(~F.col(model).isin(*baselines)).groupBy(g).agg(F.max_by(model, F.struct("r2", model)).alias("best"))
+    rows = rounds.groupBy("round").agg(F.collect_list(F.struct(g, model, "r2")).alias("_all")).join(F.broadcast(best))
+
+    def taken(e):
+        rival = lambda o: (o[model] == e[model]) & ((o[g] == F.col(g)) | (o[g] < e[g]))
+        return (e[g] == F.col(g)) | (e[model].isin(*baselines) & ~F.exists("_all", rival))
+
+    top = F.filter("_all", lambda e: (e[g] == F.col(g)) & (e[model] == F.col("best")))
+    rows = rows.select(g, "best", F.get(top, F.lit(0))["r2"].alias("_best_r2"), F.explode(F.filter("_all", taken)).alias("_e"))
+    pairs = rows.select(g, "best", F.col(f"_e.{model}").alias(model), (F.col("_e.r2") - F.col("_best_r2")).alias("d"))
+    out = pairs.groupBy(g, model, "best").agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high")).drop("_g")
     verdict = F.when(F.col(model) == F.col("best"), "best").when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("not distinguishable")
     return out.withColumn("verdict", verdict)
 

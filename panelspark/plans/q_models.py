@@ -183,8 +183,9 @@ def _(t):
 @query("O_E7_compare_to_best_all")
 def _(t):
     rows = _all_blocks(t)
-    rounds = E.bucket_rounds(rows, ["k", "wk"], 1000, 3)
-    return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
+    names = ["feature_set", "model"]
+    rounds = E.bucket_rounds(rows, ["k", "wk"], 1000, 3, names)
+    return _rounded(E.compare_to_best(rounds, E.evaluate(rows, names).select(*names, "r2"), ["B1", "B2"], group="feature_set"), [], 5)
 
 
 @query("O_E8_upsert_results", "SELECT model, stage, grain, feature_set, split, round(CASE WHEN stage = 'tuned' THEN mae + 1 ELSE mae END, 5) AS mae FROM results")

@@ -55,3 +55,10 @@ def test_shapley_values_of_every_row(spark):
     assert daily.count() > 1000
     found = registry.QUERIES["O_X2_family_shapley_all"](spark, SF)
     assert found.count() == 2 * daily.count() and found.select("row_id").distinct().count() == daily.count()
+
+
+def test_best_of_each_feature_set_meets_the_baselines(spark):
+    rounds = spark.createDataFrame([(r, f, m, v + r / 100) for r in (1, 2, 3) for f, m, v in (("all", "B1", 0.1), ("all", "M1", 0.5), ("all", "M2", 0.3), ("exo", "M2", 0.05))], "round long, feature_set string, model string, r2 double")
+    scores = rounds.filter("round = 1").select("feature_set", "model", "r2")
+    found = {(r["feature_set"], r["model"]): (r["best"], r["verdict"]) for r in evaluate.compare_to_best(rounds, scores, ["B1"], group="feature_set").collect()}
+    assert found == {("all", "B1"): ("M1", "worse"), ("all", "M1"): ("M1", "best"), ("all", "M2"): ("M1", "worse"), ("exo", "M2"): ("M2", "best"), ("exo", "B1"): ("M2", "better")}
