@@ -4,6 +4,8 @@ The split that the vocabularies expect (contractions, letters, numbers, other si
 a small automaton over classes of code points, once each class knows what follows it. A code point is
 then a function from state to state; the functions that arise from composing them are few, so that
 composition is a table, and all states are found by an associative scan over whole batches.
+
+Pieces that aren't in the cache are merged side by side, one pair of each a round.
 """
 
 from __future__ import annotations
@@ -11,22 +13,27 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import ship_code
-from .textkit import chunks
+from .textkit import column_chunks
 
 LETTER, NUMBER, OTHER, SPACE, PREFIX, BREAK, SHORT, LONG, RESET = range(9)
 #: States: token closed; in letters, numbers, signs, white space; after a blank that joins what follows;
 #: one or two letters of a contraction to come.
 _STATES = 8
-_CACHED = 1_000_000
+#: Bytes of texts or ids that a task takes at once; code points of a scan; pieces that are looked up at once.
+CHUNK, SEGMENT, PIECES = 500_000, 500_000, 100_000
+#: Bytes in each of two generations of the cache; a piece of more bytes is merged for itself and not kept.
+CACHE_BYTES, LONG_PIECE = 30_000_000, 64
+_NO_MERGE = 1 << 60
 #: The code points of the property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 
@@ -114,14 +121,36 @@ def symbols(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a pre-token starts at each code point."""
+def token_starts(points: np.ndarray, ends: np.ndarray, state: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a pre-token starts at each code point, and the state after each, from the given one on."""
     functions, table, generator = _monoid()
     _, starts = _automaton()
     symbol = symbols(points, ends)
-    after = functions[scan(generator[symbol], table), 0]
-    before = np.concatenate((np.zeros(1, np.uint8), after[:-1]))
-    return starts[before, symbol]
+    after = functions[scan(generator[symbol], table), state]
+    before = np.concatenate((np.array([state], np.uint8), after[:-1]))
+    return starts[before, symbol], after
+
+
+def boundaries(joined: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens and the separators at ends begin in joined, in code points and in UTF-8 bytes.
+
+    The string is scanned in segments: the state goes on from one to the next, and the two code points that
+    a symbol looks ahead at belong to both."""
+    places, offsets = [], []
+    state = size = 0
+    for lo in range(0, len(joined), SEGMENT):
+        part = joined[lo : lo + SEGMENT + 2]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        inside = ends[np.searchsorted(ends, lo) : np.searchsorted(ends, lo + len(points))] - lo
+        starts, after = token_starts(points, inside, state)
+        n = min(SEGMENT, len(points))
+        at = np.flatnonzero(starts[:n])
+        points, state = points[:n], int(after[n - 1])
+        width = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)
+        places.append(at + lo)
+        offsets.append(size + np.where(at > 0, width[at - 1], 0))
+        size += int(width[-1])
+    return np.concatenate(places), np.concatenate(offsets)
 
 
 class Vocabulary:
@@ -130,98 +159,165 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        size = max(self.ranks.values()) + 1
+        self.size = size = max(self.ranks.values()) + 1
         strings = [b""] * size
         for s, r in self.ranks.items():
             strings[r] = s
         self.length = np.fromiter(map(len, strings), np.int64, size)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
-        self.known: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: of all neighbours the pair of the least rank merges first, the leftmost of equals."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        if len(piece) > 64:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = 1 << 60
-        pair = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pair and (least := min(pair)) < none:
-            i = pair.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """As merge, with a heap of pairs over linked parts, for pieces of any length."""
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for s, r in self.ranks.items():
+            for i in range(1, len(s)):
+                left, right = self.ranks.get(s[:i]), self.ranks.get(s[i:])
+                if left is not None and right is not None:
+                    pairs[left * size + right] = r
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()] or [_NO_MERGE], np.int64)
+        #: Ids, as bytes, of short pieces. What the old generation holds stays as long as it is asked for.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        return np.where(self.pairs[at] == key, self.merged[at], _NO_MERGE) if len(self.pairs) else np.full(len(key), _NO_MERGE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of non-empty pieces: of all neighbours in a piece the pair of the least rank merges first, the
+        leftmost of equals. A round makes one merge in every piece that has one left."""
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.append(self._pair_ranks(ids[:-1], ids[1:]), _NO_MERGE)
+        rank[:-1][owner[1:] != owner[:-1]] = _NO_MERGE
+        done = []
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            count = np.diff(np.append(start, len(ids)))
+            least = np.repeat(np.minimum.reduceat(rank, start), count)
+            over = least == _NO_MERGE
+            if over.any():
+                done.append((owner[over], ids[over]))
+                live = ~over
+                owner, ids, rank, least = owner[live], ids[live], rank[live], least[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == least)
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
+            ids[at] = rank[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            owner, ids, rank = owner[stay], ids[stay], rank[stay]
+            at -= np.arange(len(at))  # each merge before a place removed one element
+            at = np.concatenate((at, at[at > 0] - 1))
+            after = np.minimum(at + 1, len(ids) - 1)
+            inside = (after > at) & (owner[at] == owner[after])
+            rank[at] = np.where(inside, self._pair_ranks(ids[at], ids[after]), _NO_MERGE)
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        stop = 4 * np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(pieces)))))
+        raw = ids[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(stop.tolist(), stop[1:].tolist(), strict=False)]
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """As merge, for one piece of any length: a heap of ranks and places over linked parts."""
         ranks, n = self.ranks, len(piece)
-        end, back, ahead = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
+        ahead, back = array("i", range(1, n + 2)), array("i", range(-1, n))
+        wait = array("i", [-1]) * n  # the rank at which a part merges with the next, -1 if it doesn't
+
+        def look(i: int) -> None:
+            j = ahead[i]
+            r = ranks.get(piece[i : ahead[j]]) if j < n else None
+            wait[i] = -1 if r is None else r
+            if r is not None:
+                heapq.heappush(heap, r << 32 | i)
+
+        heap: list[int] = []
+        for i in range(n):
+            look(i)
         while heap:
-            _, i, middle, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != middle or middle >= n or not alive[middle] or end[middle] != stop:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if wait[i] != top >> 32:
                 continue
-            alive[middle] = False
-            end[i], ahead[i] = stop, ahead[middle]
+            gone = ahead[i]
+            wait[gone] = -1
+            ahead[i] = ahead[gone]
             if ahead[i] < n:
                 back[ahead[i]] = i
-                if (r := ranks.get(piece[i : end[ahead[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[ahead[i]]))
-            if back[i] >= 0 and (r := ranks.get(piece[back[i] : stop])) is not None:
-                heapq.heappush(heap, (r, back[i], i, stop))
-        out, i = [], 0
+            look(i)
+            if back[i] >= 0:
+                look(back[i])
+        out, i = array("I"), 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(ranks[piece[i : ahead[i]]])
             i = ahead[i]
-        return out
+        return np.array(out, "<u4").tobytes()
+
+    def _put(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.held += 250 + len(piece) + len(ids)
+
+    def table(self, pieces: list[str]) -> dict[str, bytes]:
+        """A table that has the ids of all the pieces. Those that aren't long are known from then on."""
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        long, fresh, raws = {}, [], []
+        for p in set(pieces).difference(self.young):
+            if (ids := self.old.get(p)) is not None:
+                self._put(p, ids)
+                continue
+            raw = p.encode("utf-8", "surrogatepass")
+            if (r := self.ranks.get(raw)) is not None:
+                self._put(p, r.to_bytes(4, "little"))
+            elif len(raw) > LONG_PIECE:
+                long[p] = self.merge_long(raw)
+            else:
+                fresh.append(p)
+                raws.append(raw)
+        for p, ids in zip(fresh, self.merge(raws), strict=True):
+            self._put(p, ids)
+        return self.young | long if long else self.young
 
     def encode(self, texts: list) -> list[tuple[bytes, bytes]]:
         """Ids and offsets of each text, both as little-endian 32-bit integers; None is an empty text.
 
         offsets: the byte at which each pre-token begins, and the number of bytes."""
+        if not texts:
+            return []
         joined = "\n".join(t or "" for t in texts) + "\n"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
         ends = np.cumsum(np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))) - 1
-        starts = np.flatnonzero(token_starts(points, ends))
-        at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
+        starts, at = boundaries(joined, ends)
         cuts = np.searchsorted(starts, ends)
-        bounds = starts.tolist()
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        known, out, first = self.known, [], 0
-        for cut, end, n in zip(cuts.tolist(), ends.tolist(), (len(t or "") for t in texts), strict=True):
-            places = bounds[first : cut + 1]
-            pieces = [joined[a:b] for a, b in zip(places, places[1:], strict=False)]
-            try:
-                ids = b"".join(map(known.__getitem__, pieces))
-            except KeyError:
-                for p in pieces:
-                    if p not in known:
-                        known[p] = np.array(self.merge(p.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, pieces))
-            offsets = at[starts[first : cut + 1]] - at[end - n]
-            out.append((ids, offsets.astype("<u4").tobytes()))
-            first = cut + 1
-        return out
+        ids: list[list[bytes]] = [[] for _ in texts]
+        doc, stops = 0, cuts.tolist()
+        for lo in range(0, len(starts), PIECES):
+            hi = min(lo + PIECES, len(starts))
+            bounds = [*starts[lo : hi + 1].tolist(), len(joined)]
+            pieces = [joined[a:b] for a, b in zip(bounds, bounds[1 : hi - lo + 1], strict=False)]
+            table, place = self.table(pieces), lo
+            while place < hi:
+                stop = min(stops[doc], hi)
+                ids[doc].append(b"".join(map(table.__getitem__, pieces[place - lo : stop - lo])))
+                if stop < hi:  # the separator after the text
+                    doc, stop = doc + 1, stop + 1
+                place = stop
+        first = np.concatenate(([0], cuts[:-1] + 1))
+        return [(b"".join(x), (at[a : b + 1] - at[a]).astype("<u4").tobytes()) for x, a, b in zip(ids, first.tolist(), stops, strict=True)]
 
     def decode(self, blobs: list) -> list[bytes]:
         """The bytes that ids stand for."""
-        ids = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
-        length = self.length[ids]
-        stop = np.cumsum(length)
-        place = np.arange(int(length.sum())) + np.repeat(self.start[ids] - (stop - length), length)
-        raw = self.bytes[place].tobytes()
-        stop = np.concatenate(([0], stop))
-        edge = stop[np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int64)].tolist()
+        ids = np.frombuffer(b"".join(blobs), "<u4")
+        parts = []
+        for lo in range(0, len(ids), SEGMENT // 4):
+            part = ids[lo : lo + SEGMENT // 4]
+            length = self.length[part]
+            stop = np.cumsum(length)
+            parts.append(self.bytes[np.repeat(self.start[part] - (stop - length), length) + np.arange(stop[-1])].tobytes())
+        raw = b"".join(parts)
+        sizes = np.concatenate(([0], np.cumsum(self.length[ids])))
+        edge = sizes[np.cumsum([0] + [len(b) // 4 for b in blobs])].tolist()
         return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
@@ -236,18 +332,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Both are little-endian 32-bit integers: the ids, and the byte at which each pre-token begins
     followed by the number of bytes. Null and empty texts have no ids and the one offset 0. A null
     doc_id stays null; repeated rows are encoded each for itself; other columns are ignored.
+
+    A task holds about CHUNK bytes of texts at once, or one text, and a cache of 2 x CACHE_BYTES.
     """
     ship_code(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in chunks(texts, 1_000_000):
-                found = words.encode(texts[lo:hi])
-                yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"].iloc[lo:hi], "Int64"), "ids": [x[0] for x in found], "offsets": [x[1] for x in found]})
+        for batch in batches:
+            for lo, hi in column_chunks(batch.column("text"), CHUNK):
+                found = words.encode(batch.column("text")[lo:hi].to_pylist())
+                columns = [batch.column("doc_id")[lo:hi], *(pa.array(x, pa.binary()) for x in zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "offsets"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary, offsets binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, offsets binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,15 +354,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The last offset says how many bytes there must be; another number is an error."""
     ship_code(encoded.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                texts = words.decode(part["ids"].tolist())
-                for text, offsets in zip(texts, part["offsets"], strict=True):
-                    if len(text) != int.from_bytes(offsets[-4:], "little"):
+        for batch in batches:
+            for lo, hi in column_chunks(batch.column("ids"), CHUNK):
+                part = batch.slice(lo, hi - lo)
+                texts = words.decode(part.column("ids").to_pylist())
+                for text, offsets in zip(texts, part.column("offsets"), strict=True):
+                    if len(text) != int.from_bytes(offsets.as_py()[-4:], "little"):
                         raise ValueError("ids don't decode to as many bytes as were encoded")
-                yield part.assign(doc_id=pd.array(part["doc_id"], "Int64"), decoded=texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "offsets", "decoded"])
 
-    return encoded.select("doc_id", "ids", "offsets").mapInPandas(run, "doc_id long, ids binary, offsets binary, decoded binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, ids binary, offsets binary, decoded binary")
