@@ -11,7 +11,9 @@ its length.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,14 +26,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import Scratch
-from .textkit import Words, column_chunks
+from .textkit import column_chunks
 
 WINDOW = 2048
 END_ID = 1
 #: Lengths that triples are made of are those with the largest counts, at most this many.
 TRIPLE_LENGTHS = 96
-#: Strings in each of two generations of the cache.
-_CACHED = 400_000
+#: Bytes of texts that a task takes at once, and of one text that is split at once.
+CHUNK, STRETCH = 500_000, 500_000
+#: Bytes in a generation of a table; longer strings aren't kept.
+TABLE_BYTES, LONG_STRING = 50_000_000, 64
+_BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
 @cache
@@ -42,53 +47,111 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Generations:
-    """Ids, as bytes, of UTF-8 strings without blanks. What a full generation held is kept as long as it is
-    asked for in the next one."""
-
-    def __init__(self):
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes], tokenizer) -> dict[bytes, bytes]:
-        """A table that has all of words."""
-        if len(self.young) > _CACHED:
-            self.young, self.old = {}, self.young
-        missing = []
-        for w in words:
-            if w in self.young:
-                continue
-            if (ids := self.old.get(w)) is None:
-                missing.append(w)
+def _ranges(points: list[int]) -> str:
+    """A regular expression's character class of sorted code points, without the brackets."""
+    p = np.array(points)
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(p) != 1, [True])))
+    return "".join(rf"\u{p[i]:04x}-\u{p[j - 1]:04x}" for i, j in zip(edge[:-1], edge[1:], strict=True))
+
+
+@cache
+def _splitter() -> tuple[re.Pattern, re.Pattern]:
+    """What isn't plain in a text, and the pieces that the tokenizer's own split makes of lower-case plain text.
+
+    Plain code points are alike in all versions of Unicode that a tokenizer may know: of one class since the first
+    whose database is at hand, in normal form whatever is next to them, and one code point of that class in lower
+    case, also at a word's end. A special token's first two signs aren't plain."""
+    old = unicodedata.ucd_3_2_0.category
+    kind: dict[str, list[int]] = {"L": [], "N": [], "": []}
+    for c in range(0x21, 0xD800):
+        x = chr(c)
+        k, low = unicodedata.category(x)[0], x.lower()
+        if k not in "LNPS" or x.isspace() or old(x)[0] != k or 0x1100 <= c < 0x1200 or c == 0x3A3:
+            continue
+        if len(low) == 1 and old(low)[0] == k and unicodedata.is_normalized("NFC", x) and unicodedata.is_normalized("NFC", low):
+            kind[k if k in "LN" else ""].append(c)
+    letters, numbers, others = (_ranges(x) for x in kind.values())
+    odd = re.compile(rf"[^{letters}{numbers}{others}\x20\x09-\x0D]|<\|")
+    return odd, re.compile(rf"'(?:[stmd]|re|ve|ll)|[{letters}]+|[{numbers}]|[{others}]+")
+
+
+@cache
+def _byte_signs() -> dict[int, int]:
+    """The sign of each byte in vocabularies of bytes: itself if it is visible, else one of those from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class Encoder:
+    """Ids, as little-endian 32-bit integers, of texts.
+
+    The tokenizer drops white space and splits the rest by classes of code points before it merges bytes, so that
+    a text's ids are those of its pieces, and these repeat. Strings between blanks that aren't plain go through
+    the whole tokenizer."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.pieces, self.strings = _Table(self._piece), _Table(self._string)
+
+    def _piece(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_byte_signs())
+        return np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+
+    def _string(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _splitter()[1].findall(text.lower())))
+
+    def _stretch(self, text: str) -> bytes:
+        odd = _splitter()[0]
+        if not odd.search(text):
+            return self._plain(text)
+        parts, plain = [], []
+        for string in _BLANK.split(text):
+            if odd.search(string):
+                parts += [self._plain(" ".join(plain)), self.strings[string]]
+                plain = []
             else:
-                self.young[w] = ids
-        for i in range(0, len(missing), 5000):
-            part = missing[i : i + 5000]
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        return self.young
-
-
-_known: dict[str, _Generations] = {}
-
-
-def encode_texts(texts: list, path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. The tokenizer splits at white space and drops it, so
-    texts are encoded string by string, each distinct one once. None is an empty text."""
-    words = Words(texts)
-    if not len(words.start):
-        return [b""] * len(texts)
-    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    strings = [words.raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-    known = _known.setdefault(path, _Generations()).learn(strings, _tokenizer(path))
-    parts = [known[s] for s in strings]
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    begin, length = (np.cumsum(size) - size)[which], size[which]
-    stop = np.concatenate(([0], np.cumsum(length)))
-    raw = flat[np.repeat(begin - stop[:-1], length) + np.arange(stop[-1])].tobytes()
-    edge = (4 * stop[words.first]).tolist()
-    return [raw[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                plain.append(string)
+        return b"".join([*parts, self._plain(" ".join(plain))])
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, a stretch of it at a time; None is an empty text."""
+        parts, at = [], 0
+        while text and at < len(text):
+            blank = _BLANK.search(text, at + STRETCH)
+            stop = blank.end() if blank else len(text)
+            parts.append(self._stretch(text[at:stop]))
+            at = stop
+        return b"".join(parts)
+
+
+class _Table(dict):
+    """Of a function from strings to bytes: values that were asked for of late, in two generations."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find, self.held, self.old = find, 0, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= LONG_STRING:
+            if self.held > TABLE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += 250 + len(key) + len(value)
+        return value
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _tokenize(path: str, end_id: int):
@@ -96,13 +159,14 @@ def _tokenize(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(WINDOW, np.int64)
         windows = 0
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi in column_chunks(batch.column("text")):
-                ids = [x + end for x in encode_texts(batch.column("text")[lo:hi].to_pylist(), path)]
+            for lo, hi in column_chunks(batch.column("text"), CHUNK):
+                ids = [words.encode(x) + end for x in batch.column("text")[lo:hi].to_pylist()]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 rest = n % WINDOW
                 order = np.argsort(rest, kind="stable")
@@ -252,5 +316,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFram
     bases = by_task.groupBy("task").agg(F.sum("windows").alias("w")).select("task", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("windows_base"))
     earlier = W.partitionBy("rest").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = by_task.select("task", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")).join(bases, "task")
-    placed = tokens.join(scratch.save(offsets, "offsets"), ["task", "rest"])
+    # offsets has a row for each length in each task, so that it grows with the corpus: never broadcast
+    placed = tokens.join(scratch.save(offsets, "offsets").hint("shuffle_hash"), ["task", "rest"])
     return placed.mapInPandas(_cut(Plan(count)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
