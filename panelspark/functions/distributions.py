@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
@@ -34,6 +36,8 @@ def t_tail(t: float, freedom: float) -> float:
 
 
 def t_two_sided(t: Column, freedom: Column) -> Column:
+    ship_code(SparkSession.active())
+
     @F.pandas_udf("double")
     def tail(ts: pd.Series, fs: pd.Series) -> pd.Series:
         return pd.Series([t_tail(a, b) if pd.notna(a) and pd.notna(b) and b > 0 else None for a, b in zip(ts, fs, strict=True)], dtype="float64")
@@ -42,6 +46,8 @@ def t_two_sided(t: Column, freedom: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
+    ship_code(SparkSession.active())
+
     @F.pandas_udf("double")
     def tail(zs: pd.Series) -> pd.Series:
         return zs.map(lambda z: math.erfc(abs(z) / math.sqrt(2)) if pd.notna(z) else None).astype("float64")

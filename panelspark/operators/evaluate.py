@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
 from .windows import dedupe_keep
 
 KEY = ["model", "stage", "grain", "feature_set", "split"]
@@ -69,22 +71,37 @@ def _block_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def block_sums(df: DataFrame, block: Sequence[str], model: str = "model") -> DataFrame:
     """Sufficient sums of each block and model, with the block's number from 0 in key order (dense, for integer draws).
 
-    Blocks are entity-weeks: their numbering window is over distinct blocks, far fewer than rows."""
+    Blocks are entity-weeks, numbered inside each value of the first column of block, the entity; only the
+    entities' numbers of blocks, one row each, are added up in one window."""
     sums = _block_sums(df, [*block, model])
-    numbers = sums.select(*block).distinct().withColumn("block", F.row_number().over(W.orderBy(*block)) - 1)
+    blocks = sums.select(*block).distinct()
+    before = F.sum("_n").over(W.orderBy(block[0]).rowsBetween(W.unboundedPreceding, -1))
+    first = blocks.groupBy(block[0]).agg(F.count("*").alias("_n")).select(block[0], F.coalesce(before, F.lit(0)).alias("_first"))
+    own = F.row_number().over(W.partitionBy(block[0]).orderBy(*block))
+    numbers = blocks.join(first, block[0]).select(*block, (F.col("_first") + own - 1).alias("block"))
     return sums.join(numbers, list(block))
 
 
+def draw(round_: Column, place: Column, seed: int) -> Column:
+    """A number below 2^60 from a hash of round, place and seed, which any engine with md5 can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", round_, place, F.lit(seed))), 1, 15), 16, 10).cast("long")
+
+
+def drawn_number(round_: int, place: int, seed: int) -> int:
+    """As draw, on the driver."""
+    return int(hashlib.md5(f"{round_}:{place}:{seed}".encode()).hexdigest()[:15], 16)
+
+
 def resample(sums: DataFrame, rounds: int, seed: int, model: str = "model") -> DataFrame:
     """(round, model, rmse, mae, r2): in each round as many blocks are drawn with replacement as there are,
-    the same for all models. Draws are integer hashes of (round, place); only (round, block) multiplicities
-    meet the sums, never rows. Each block is a place, and tasks share the places. The hash has 1,000,003
-    values, and SQL can repeat it; bucket_rounds draws from any number of blocks, and faster."""
+    the same for all models. Draws are hashes of (round, place); only (round, block) multiplicities meet the
+    sums, never rows. Each block is a place, and tasks share the places. SQL can repeat the draws;
+    bucket_rounds needs no numbers of blocks, and is faster for many."""
     count = sums.agg(F.max("block").cast("long").alias("_last"))
     parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = sums.select(F.col("block").cast("long").alias("place")).distinct().repartition(parts, "place").join(F.broadcast(count))
     draws = places.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("round"), "place", "_last")
-    pick = F.pmod(F.col("round") * 7919 + F.col("place") * 104729 + seed * 31 + F.col("round") * F.col("place") * 613, F.lit(1000003)) % (F.col("_last") + 1)
+    pick = draw(F.col("round"), F.col("place"), seed) % (F.col("_last") + 1)
     times = draws.select("round", pick.alias("block")).groupBy("round", "block").agg(F.count("*").alias("times"))
     met = sums.join(times, "block").groupBy("round", model).agg(*[F.sum(F.col(c) * F.col("times")).alias(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])
     return met.withColumns(_scores(*[F.col(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])).drop("_n", "_y", "_yy", "_ee", "_ae")
@@ -96,6 +113,7 @@ def bucket_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed:
     Blocks lie in hashed buckets. A round first draws how many of its blocks come from each bucket, then each
     bucket draws so many of its own, in a task: together this is drawing from all blocks with replacement.
     Tasks return one sum a round and model. The driver sees the number of blocks in each bucket."""
+    ship_code(df.sparkSession)
     names, parts = _names(model), ["n", "y", "yy", "ee", "ae"]
     keyed = _block_sums(df, [*block, *names]).withColumn("_b", F.pmod(F.xxhash64(*block), F.lit(buckets)).cast("int"))
     sizes = dict(keyed.select("_b", *block).distinct().groupBy("_b").count().collect())  # one row a bucket

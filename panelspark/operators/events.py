@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .evaluate import drawn_number
 from .gram import gram, grams_by_group, solve
 from .reshape import hold_control_columns
 from .stats import average_rank, with_correlation_p
@@ -18,8 +19,10 @@ def event_effect(df: DataFrame, flag: str, covariates: Sequence[str], y: str, wi
     from resampling event windows. logged: y is a logarithm and the effect is expm1 of the coefficient;
     else it is relative to the mean of y where flag is 0.
 
-    One Gram matrix per window is all that is needed: a replicate adds up those drawn. Dummies that a
-    replicate leaves without variation have no coefficient of their own in its minimal-norm solution."""
+    One Gram matrix per window is all that is needed: a replicate adds up those drawn. Windows are those of a
+    calendar, some hundreds at most, and their matrices are on the driver. Dummies that a replicate leaves
+    without variation have no coefficient of their own in its minimal-norm solution. Without rows the effect
+    and its interval are NULL."""
     features = [flag, *covariates]
     made = grams_by_group(gram(df, features, y, None, window), len(features) + 2)
     names = sorted(made)
@@ -32,14 +35,17 @@ def event_effect(df: DataFrame, flag: str, covariates: Sequence[str], y: str, wi
         mean = (matrix[0, -1] - matrix[1, -1]) / n0 if n0 > 0 else np.nan
         return 100 * float(beta / mean)
 
+    schema = "effect_pct double, low double, high double, windows int, rounds int"
+    if not names:
+        return df.sparkSession.createDataFrame([(None, None, None, 0, rounds)], schema)
     total = sum(made.values())
     drawn = []
     for b in range(1, rounds + 1):
-        picks = [(b * 7919 + i * 104729 + seed * 31 + b * i * 613) % 1000003 % len(names) for i in range(len(names))]
+        picks = [drawn_number(b, i, seed) % len(names) for i in range(len(names))]
         times = np.bincount(picks, minlength=len(names))
         drawn.append(effect(sum(int(t) * made[n] for t, n in zip(times, names, strict=True) if t)))
     low, high = np.nanpercentile(drawn, [2.5, 97.5])
-    return df.sparkSession.createDataFrame([(effect(total), float(low), float(high), len(names), rounds)], "effect_pct double, low double, high double, windows int, rounds int")
+    return df.sparkSession.createDataFrame([(effect(total), float(low), float(high), len(names), rounds)], schema)
 
 
 def event_by_entity(df: DataFrame, k: str, flag: str, columns: Sequence[str]) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .gram import Linear
+from .ranks import bins
 from .stats import average_rank
-from .windows import equal_bins, sample_key
+from .windows import sample_key
 
 
 def linear_attribution(df: DataFrame, model: Linear, row: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,20 +28,56 @@ def family_shapley(df: DataFrame, model, families: dict[str, Sequence[str]], row
 
     Every row meets the 2^m coalitions (m <= 7, at most 128), each a row in which absent families have their
     baseline; the model runs once over them, and weighted sums give the values. Sample rows beforehand."""
+    m = len(families)
+    rows = _coalitions(df, model, families, row)
+    size = F.bit_count("_s")
+    weight = lambda i: F.when(_inside(i), _weights(m, 1)[size]).otherwise(-_weights(m, 0)[size])
+    sums = rows.groupBy(row).agg(*[F.sum(weight(i) * F.col("_v")).alias(f"phi_{i}") for i in range(m)])
+    return sums.select(row, F.inline(F.array(*[F.struct(F.lit(n).alias("family"), F.col(f"phi_{i}").alias("phi")) for i, n in enumerate(families)])))
+
+
+def family_interactions(df: DataFrame, model, families: dict[str, Sequence[str]], row: str) -> DataFrame:
+    """(row, family_a, family_b, interaction): exact Shapley interaction index of each two families, the weighted
+    mean, over coalitions of the others, of what both add together beyond what each adds alone.
+
+    Coalitions are those of family_shapley; half of an index belongs to each of its families."""
+    m = len(families)
+    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
+    if not pairs:
+        raise ValueError("at least 2 families")
+    rows = _coalitions(df, model, families, row)
+
+    def weighted(i: int, j: int):
+        others = F.bit_count("_s") - _inside(i).cast("int") - _inside(j).cast("int")
+        sign = F.when(_inside(i) == _inside(j), 1.0).otherwise(-1.0)
+        return F.sum(sign * F.array(*[F.lit(math.factorial(s) * math.factorial(m - s - 2) / math.factorial(m - 1)) for s in range(m - 1)])[others] * F.col("_v"))
+
+    sums = rows.groupBy(row).agg(*[weighted(i, j).alias(f"v_{i}_{j}") for i, j in pairs])
     names = list(families)
-    m = len(names)
+    parts = [F.struct(F.lit(names[i]).alias("family_a"), F.lit(names[j]).alias("family_b"), F.col(f"v_{i}_{j}").alias("interaction")) for i, j in pairs]
+    return sums.select(row, F.inline(F.array(*parts)))
+
+
+def interaction_table(interactions: DataFrame) -> DataFrame:
+    """(family_a, family_b, mean_abs, share) of family_interactions."""
+    out = interactions.groupBy("family_a", "family_b").agg(F.avg(F.abs("interaction")).alias("mean_abs"))  # a row a pair
+    return out.withColumn("share", F.coalesce(F.try_divide(F.col("mean_abs"), F.sum("mean_abs").over(W.partitionBy())), F.lit(0.0)))
+
+
+def _inside(i: int):
+    return F.col("_s").bitwiseAND(F.lit(1 << i)) != 0
+
+
+def _coalitions(df: DataFrame, model, families: dict[str, Sequence[str]], row: str) -> DataFrame:
+    """(row, _s, _v): the model's value for each coalition, whose families are the bits of _s."""
+    m = len(families)
     if m > 7:
         raise ValueError("at most 7 families")
     features = [c for cs in families.values() for c in cs]
     means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
     rows = df.select(row, *features).join(F.broadcast(means)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1))))
-    inside = lambda i: F.col("_s").bitwiseAND(F.lit(1 << i)) != 0
-    rows = rows.withColumns({c: F.when(inside(i), F.col(c)).otherwise(F.col(f"_m_{c}")) for i, n in enumerate(names) for c in families[n]})
-    scored = model.transform(rows, "_v").select(row, "_s", "_v")
-    size = F.bit_count("_s")
-    weight = lambda i: F.when(inside(i), _weights(m, 1)[size]).otherwise(-_weights(m, 0)[size])
-    sums = scored.groupBy(row).agg(*[F.sum(weight(i) * F.col("_v")).alias(f"phi_{i}") for i in range(m)])
-    return sums.select(row, F.inline(F.array(*[F.struct(F.lit(n).alias("family"), F.col(f"phi_{i}").alias("phi")) for i, n in enumerate(names)])))
+    rows = rows.withColumns({c: F.when(_inside(i), F.col(c)).otherwise(F.col(f"_m_{c}")) for i, n in enumerate(families) for c in families[n]})
+    return model.transform(rows, "_v").select(row, "_s", "_v")
 
 
 def _weights(m: int, own: int):
@@ -66,9 +103,11 @@ def family_shares(importance: DataFrame, families: DataFrame, group: Sequence[st
 
 
 def effect_by_bins(effects: DataFrame, row: str, driver: str, modifier: str, sensor: str, deciles: int = 10, terciles: int = 3) -> DataFrame:
-    """Mean, standard error and n of effect by bins of the driver and of the modifier; rows without a sensor are left out."""
-    rows = effects.filter(F.col(sensor) == 1)
-    rows = rows.withColumns({"driver_bin": equal_bins([driver, row], deciles), "modifier_bin": equal_bins([modifier, row], terciles)})
+    """Mean, standard error and n of effect by bins of the driver and of the modifier. Rows without a sensor,
+    a driver or a modifier are left out. row: distinct integers; equal values are binned in its order."""
+    rows = effects.filter((F.col(sensor) == 1) & F.col(driver).isNotNull() & F.col(modifier).isNotNull())
+    made = bins(rows, {driver: deciles, modifier: terciles}, row)
+    rows = rows.withColumns({"driver_bin": made[driver], "modifier_bin": made[modifier]})
     return rows.groupBy("driver_bin", "modifier_bin").agg(F.avg("effect").alias("mean"), (F.stddev_samp("effect") / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
 
 
@@ -84,7 +123,11 @@ def case_attributions(phi: DataFrame, cases: DataFrame, row: str, top: int = 10)
     return rows.withColumn("place", place).filter(F.col("place") <= top)
 
 
-def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int, buckets: int = 64) -> DataFrame:
+#: Buckets of a permutation at least, and rows of one at most, on average.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
+
+
+def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int, buckets: int = BUCKETS) -> DataFrame:
     """df with columns exchanged jointly between rows: each row gets those of the row whose place in a
     hashed order of its bucket is its own place in key order.
 
@@ -98,10 +141,14 @@ def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int, buckets
     return takers.join(givers, ["_b", "_n"]).drop("_b", "_n").select(*df.columns)
 
 
-def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]], row: str, y: str, repeats: int = 5, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """(family, drop_mean, drop_sd): how much r2 falls when a family's columns are shuffled jointly, over repeats."""
+def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]], row: str, y: str, repeats: int = 5, seed: int = 0, buckets: int | None = None) -> DataFrame:
+    """(family, drop_mean, drop_sd): how much r2 falls when a family's columns are shuffled jointly, over repeats.
+    Rows are exchanged inside buckets, as many as hold BUCKET_ROWS rows each unless given."""
     from .evaluate import evaluate
 
+    if buckets is None:
+        buckets = max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+
     def scored(rows: DataFrame) -> DataFrame:
         return model.transform(rows, "y_pred").select(F.col(y).alias("y_true"), "y_pred", *[c for c in ("family", "repeat") if c in rows.columns])
 

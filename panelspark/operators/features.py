@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import literal, percentiles
 from .stats import corr_matrix
 
 
 def split_cutoffs(df: DataFrame, t: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """One row: the days that the quantiles of the rows' times fall on."""
-    seconds = F.unix_micros(F.col(t).cast("timestamp"))
-    day = lambda q: F.to_date(F.timestamp_micros(F.percentile(seconds, q).cast("long")))
-    return df.agg(day(train).alias("cut_validation"), day(train + validation).alias("cut_test"))
+    micros = df.select(F.unix_micros(F.col(t).cast("timestamp")).alias("_t"))
+    cuts = percentiles(micros, {"_t": [train, train + validation]})["_t"]
+    day = lambda v: F.to_date(F.timestamp_micros(F.lit(None if v is None else int(v)).cast("long")))
+    return df.sparkSession.range(1).select(day(cuts[0]).alias("cut_validation"), day(cuts[1]).alias("cut_test"))
 
 
 def chrono_split(df: DataFrame, t: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
@@ -26,10 +28,16 @@ def chrono_split(df: DataFrame, t: str, train: float = 0.70, validation: float =
 
 
 def impute_train_median(df: DataFrame, columns: Sequence[str], split: str = "split") -> DataFrame:
-    """`<c>_available` says what was there; NULLs then get the median of the train rows."""
-    medians = df.filter(F.col(split) == "train").agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
-    out = df.withColumns({f"{c}_available": F.col(c).isNotNull().cast("int") for c in columns}).join(F.broadcast(medians))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*medians.columns)
+    """`<c>_available` says what was there; NULLs then get the exact median of the train rows, and stay if there is none."""
+    medians = percentiles(df.filter(F.col(split) == "train"), {c: [0.5] for c in columns})
+    out = df.withColumns({f"{c}_available": F.col(c).isNotNull().cast("int") for c in columns})
+    return out.withColumns({c: F.coalesce(F.col(c), literal(medians[c][0])) for c in columns})
+
+
+def dispersion_proxy(df: DataFrame, driver: str, wind: str, split: str = "split", name: str = "proxy") -> DataFrame:
+    """log1p of the driver by one more than the wind, which is the train rows' median where it is NULL; NULL without either."""
+    (median,) = percentiles(df.filter(F.col(split) == "train"), {wind: [0.5]})[wind]
+    return df.withColumn(name, F.log1p(driver) / (1 + F.coalesce(F.col(wind), literal(median))))
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,7 +79,7 @@ def prune_correlated(df: DataFrame, columns: Sequence[str], derived: Sequence[st
     """(feature, kept, reason) from the train rows: constants go, and then, in the order of derived tokens
     in the name and position, a column whose absolute correlation with a kept one is above limit.
 
-    Correlations are one aggregate; the greedy pass is over the square of the columns, on the driver."""
+    Correlations are sums of matrices; the greedy pass is over the square of the columns, on the driver."""
     train = df.filter(F.col(split) == "train")
     constant = {r["column"] for r in constant_columns(train, columns).filter("is_constant").collect()}
     left = [c for c in columns if c not in constant]
@@ -89,6 +97,15 @@ def prune_correlated(df: DataFrame, columns: Sequence[str], derived: Sequence[st
     return df.sparkSession.createDataFrame(rows, "feature string, kept int, reason string")
 
 
+def prune_sets(df: DataFrame, sets: dict[str, Sequence[str]], derived: Sequence[str] = ("lag", "roll", "prior"), limit: float = 0.95, split: str = "split") -> DataFrame:
+    """(set, feature, kept, reason): each set, as the exogenous and the autoregressive features, is pruned for itself."""
+    out = None
+    for name, columns in sets.items():
+        part = prune_correlated(df, columns, derived, limit, split).select(F.lit(name).alias("set"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def feature_roles(df: DataFrame, target: str, weight: str | None, metadata: Sequence[str], trend: Sequence[str], autoregressive: Sequence[str], pruned: Sequence[str] = ()) -> DataFrame:
     """(feature, role) of every column: target, weight, metadata, trend, pruned, autoregressive (by prefix), exogenous."""
     rows = []

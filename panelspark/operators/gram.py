@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 
 def gram(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, group: str | None = None) -> DataFrame:
     """(group, i, j, value), i <= j, of the design 1, features, y; rows with a NULL in it are left out.
 
     Each task sums its rows per group and the sums meet in one aggregation: a group costs the square
     of the columns per task, whatever its rows."""
+    ship_code(df.sparkSession)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     g = F.lit("all") if group is None else F.col(group).cast("string")
     names = [*features, y]
@@ -62,10 +65,15 @@ def square(rows: pd.DataFrame, n: int) -> np.ndarray:
 
 
 def grams_by_group(table: DataFrame, n: int) -> dict[str, np.ndarray]:
-    """Matrices on the driver: groups times the square of the columns."""
+    """Matrices on the driver: groups times the square of the columns, so for a few groups, as splits are."""
     return {g: square(rows, n) for g, rows in table.toPandas().groupby("g")}
 
 
+def _of(made: dict[str, np.ndarray], group: str, n: int) -> np.ndarray:
+    """A group's matrix, of zeros if it has no rows."""
+    return made[group] if group in made else np.zeros((n, n))
+
+
 def solve(matrix: np.ndarray, alpha: float = 0.0, use: Sequence[int] | None = None) -> np.ndarray:
     """Intercept and coefficients of ridge regression with an unpenalised intercept; 0 for features not used.
 
@@ -105,8 +113,8 @@ class Linear:
 
 def ridge_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float, weight: str | None = None) -> Linear:
     """Weighted ridge regression, minimising the weighted squares plus alpha times the coefficients' squares."""
-    made = grams_by_group(gram(df, features, y, weight), len(features) + 2)
-    matrix = made.get("all", np.zeros((len(features) + 2,) * 2))
+    n = len(features) + 2
+    matrix = _of(grams_by_group(gram(df, features, y, weight), n), "all", n)
     return Linear(tuple(features), tuple(float(b) for b in solve(matrix, alpha)))
 
 
@@ -124,19 +132,23 @@ def _scores(matrix: np.ndarray, beta: np.ndarray) -> tuple[float | None, float |
 
 def search_alpha(df: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float], split: str = "split", weight: str | None = None) -> DataFrame:
     """(alpha, rmse_train, rmse_validation, rmse_test, best): all penalties from one scan. The first of the
-    least validation errors wins; only the winner's test error is given."""
-    made = grams_by_group(gram(df, features, y, weight, split), len(features) + 2)
-    betas = [solve(made["train"], a) for a in alphas]
-    validation = [_scores(made["validation"], b)[0] for b in betas]
-    best = int(np.argmin(validation))
-    rows = [(float(a), _scores(made["train"], b)[0], v, _scores(made["test"], b)[0] if i == best else None, i == best) for i, (a, b, v) in enumerate(zip(alphas, betas, validation, strict=True))]
+    least validation errors wins; only the winner's test error is given. The errors of a split without rows
+    are NULL, and without validation rows none is best."""
+    n = len(features) + 2
+    made = grams_by_group(gram(df, features, y, weight, split), n)
+    train, test = _of(made, "train", n), _of(made, "test", n)
+    betas = [solve(train, a) for a in alphas]
+    validation = [_scores(_of(made, "validation", n), b)[0] for b in betas]
+    best = int(np.argmin(validation)) if None not in validation and len(alphas) else None
+    rows = [(float(a), _scores(train, b)[0], v, _scores(test, b)[0] if i == best else None, i == best) for i, (a, b, v) in enumerate(zip(alphas, betas, validation, strict=True))]
     return df.sparkSession.createDataFrame(rows, "alpha double, rmse_train double, rmse_validation double, rmse_test double, best boolean")
 
 
 def learning_curve(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, tick: str, steps: int = 5, split: str = "split") -> DataFrame:
     """(fraction, n, rmse_train, rmse_validation) of fits on growing prefixes of each entity's train rows.
 
-    A row's bucket is the first prefix that holds it; the buckets' Gram matrices are added up."""
+    A row's bucket is the first prefix that holds it; the buckets' Gram matrices are added up. Errors of
+    splits without rows are NULL."""
     from pyspark.sql import Window as W
 
     r = F.row_number().over(W.partitionBy(k, split).orderBy(tick))
@@ -144,25 +156,31 @@ def learning_curve(df: DataFrame, features: Sequence[str], y: str, alpha: float,
     first = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(steps)), lambda s: F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * s / steps))))
     bucket = F.when(F.col(split) == "train", first.cast("string")).when(F.col(split) == "validation", "validation")
     rows = df.withColumns({"_r": r, "_n": n}).withColumn("_b", bucket).filter(F.col("_b").isNotNull())
-    made = grams_by_group(gram(rows, features, y, None, "_b"), len(features) + 2)
-    total, out = np.zeros((len(features) + 2,) * 2), []
+    size = len(features) + 2
+    made = grams_by_group(gram(rows, features, y, None, "_b"), size)
+    total, out = np.zeros((size, size)), []
     for s in range(1, steps + 1):
-        total = total + made.get(str(s), 0)
+        total = total + _of(made, str(s), size)
         beta = solve(total, alpha)
-        out.append((s / steps, int(total[0, 0]), _scores(total, beta)[0], _scores(made["validation"], beta)[0]))
+        out.append((s / steps, int(total[0, 0]), _scores(total, beta)[0], _scores(_of(made, "validation", size), beta)[0]))
     return df.sparkSession.createDataFrame(out, "fraction double, n long, rmse_train double, rmse_validation double")
 
 
 def leave_one_entity_out(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, min_rows: int = 30) -> DataFrame:
-    """(entity, n, rmse, r2) of the ridge fitted on all other entities, exactly: all less the entity's matrix."""
-    made = grams_by_group(gram(df, features, y, None, k), len(features) + 2)
-    total = sum(made.values())
-    rows = []
-    for name, own in sorted(made.items()):
-        if own[0, 0] >= min_rows:
-            rmse, r2 = _scores(own, solve(total - own, alpha))
-            rows.append((name, int(own[0, 0]), rmse, r2))
-    return df.sparkSession.createDataFrame(rows, "entity string, n long, rmse double, r2 double")
+    """(entity, n, rmse, r2) of the ridge fitted on all other entities, exactly: all less the entity's matrix.
+
+    Only the sum of all matrices comes to the driver; each entity's is solved in a task."""
+    n = len(features) + 2
+    table = gram(df, features, y, None, k)
+    total = square(table.groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas(), n)
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = square(pdf, n)
+        rmse, r2 = _scores(own, solve(total - own, alpha))
+        return pd.DataFrame({"entity": pdf["g"].iloc[:1], "n": [int(own[0, 0])], "rmse": [rmse], "r2": [r2]}).astype({"rmse": float, "r2": float})
+
+    large = table.filter((F.col("i") == 0) & (F.col("j") == 0) & (F.col("value") >= min_rows)).select("g")
+    return table.join(large, "g", "left_semi").groupBy("g").applyInPandas(solved, "entity string, n long, rmse double, r2 double")
 
 
 def summarise_left_out(scores: DataFrame, reference: DataFrame) -> DataFrame:
@@ -173,16 +191,17 @@ def summarise_left_out(scores: DataFrame, reference: DataFrame) -> DataFrame:
 
 def ablation(df: DataFrame, families: dict[str, Sequence[str]], y: str, alpha: float, weight: str | None = None, split: str = "split") -> DataFrame:
     """(variant, rmse_validation, rmse_test and their changes against full): without each family, without
-    weights; every fit is a part of one Gram matrix per split."""
+    weights; every fit is a part of one Gram matrix per split. Errors of splits without rows are NULL."""
     features = [c for cs in families.values() for c in cs]
     size = len(features) + 2
     scored = grams_by_group(gram(df, features, y, None, split), size)
-    fitted = grams_by_group(gram(df.filter(F.col(split) == "train"), features, y, weight), size)["all"]
+    fitted = _of(grams_by_group(gram(df.filter(F.col(split) == "train"), features, y, weight), size), "all", size)
     variants = {"full": (fitted, range(len(features)))}
     for name, columns in families.items():
         variants[f"minus {name}"] = (fitted, [i for i, c in enumerate(features) if c not in columns])
     if weight:
-        variants["no weights"] = (scored["train"], range(len(features)))
-    found = {n: tuple(_scores(scored[s], solve(m, alpha, u))[0] for s in ("validation", "test")) for n, (m, u) in variants.items()}
-    rows = [(n, v, t, v - found["full"][0], t - found["full"][1]) for n, (v, t) in found.items()]
+        variants["no weights"] = (_of(scored, "train", size), range(len(features)))
+    found = {n: tuple(_scores(_of(scored, s, size), solve(m, alpha, u))[0] for s in ("validation", "test")) for n, (m, u) in variants.items()}
+    change = lambda a, b: None if a is None or b is None else a - b
+    rows = [(n, v, t, change(v, found["full"][0]), change(t, found["full"][1])) for n, (v, t) in found.items()]
     return df.sparkSession.createDataFrame(rows, "variant string, rmse_validation double, rmse_test double, change_validation double, change_test double")

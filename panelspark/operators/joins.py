@@ -60,20 +60,22 @@ def one_to_one_join_checked(a: DataFrame, b: DataFrame, keys: Sequence[str]) ->
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), F.lit(2)) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, assigned: str | None = None) -> DataFrame:
     """Nearest of sites (site, lat, lon) to each of points (id, lat, lon): site and distance_km to 0.1.
 
-    sites is a dimension of a few thousand rows at most. With assigned, flag is OK if one of the
+    sites is a dimension of a few thousand rows at most and goes to the tasks as one array. Every point stays,
+    equal ones too; without sites, or without a place, site and distance are NULL. With assigned, flag is OK if one of the
     assigned name (up to " (") and the found one contains the other, whatever the case, else REVIEW.
     """
     there = sites.select(F.col("site").alias("_site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    best = F.min(F.struct(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("d"), "_site"))
     packed = there.agg(F.collect_list(F.struct("_site", "_lat", "_lon")).alias("_all"))
-    rows = points.join(F.broadcast(packed)).withColumn("_s", F.explode("_all")).drop("_all").select("*", "_s.*").drop("_s")
-    found = rows.groupBy(*points.columns).agg(best.alias("_b")).select(*points.columns, F.col("_b._site").alias("site"), F.round("_b.d", 1).alias("distance_km"))
+    far = lambda s: haversine_km(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"])
+    known = F.filter(F.transform("_all", lambda s: F.struct(far(s).alias("d"), s["_site"].alias("s"))), lambda x: x["d"].isNotNull())
+    best = points.join(F.broadcast(packed)).withColumn("_b", F.array_min(known))
+    found = best.select(*points.columns, F.col("_b.s").alias("site"), F.round("_b.d", 1).alias("distance_km"))
     if assigned is None:
         return found
     a, b = F.lower(F.split_part(F.col(assigned), F.lit(" ("), F.lit(1))), F.lower("site")

@@ -26,6 +26,8 @@ class Fitted:
 
 def _fit(estimator, df: DataFrame, features: Sequence[str], y: str, weight: str | None) -> Fitted:
     rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.dropna(subset=[*features, y]))
+    if rows.isEmpty():
+        raise ValueError("no rows to fit a tree on")
     estimator.setFeaturesCol("_v").setLabelCol(y)
     return Fitted((estimator.setWeightCol(weight) if weight else estimator).fit(rows), features)
 

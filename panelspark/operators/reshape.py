@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOURS = [f"hour_{h:02d}" for h in range(24)]
@@ -45,13 +46,15 @@ def sequence_windows(df: DataFrame, k: str, tick: str, features: Sequence[str],
     """For each row its `length - 1` exact earlier steps and itself, oldest first, as `sequence`, an
     array of (avail, x). A missing step has avail 0 and zeros. (k, tick) must be unique.
 
-    Each row is offered to the later rows it may serve and joined by equality on (k, tick)."""
+    A range frame of each entity's rows in order of tick, an integer, holds the steps: one exchange, one sort."""
     x = F.array(*[F.col(f).cast("double") for f in features])
-    rows = df.select(k, tick, x.alias("_x"))
-    offers = rows.select(k, F.col(tick).alias("_from"), "_x", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("_j"))
-    offers = offers.select(k, (F.col("_from") + F.col("_j") * step).alias(tick), F.col("_j"), "_x")
-    met = df.select(k, tick).join(offers, [k, tick]).groupBy(k, tick).agg(F.map_from_entries(F.collect_list(F.struct("_j", "_x"))).alias("_m"))
+    past = W.partitionBy(k).orderBy(tick).rangeBetween(-(length - 1) * step, 0)
+    entry = F.when(F.col(tick).isNotNull(), F.struct(F.col(tick).cast("long").alias("t"), x.alias("x")))  # collect_list skips NULL
+    rows = df.withColumn("_m", F.map_from_entries(F.collect_list(entry).over(past)))
     zeros = F.array(*[F.lit(0.0)] * len(features))
-    place = lambda j: F.struct(F.when(F.col("_m")[j].isNull(), 0.0).otherwise(1.0).alias("avail"), F.coalesce(F.col("_m")[j], zeros).alias("x"))
-    made = met.withColumn("sequence", F.array(*[place(F.lit(j)) for j in range(length - 1, -1, -1)])).drop("_m")
-    return df.join(made, [k, tick])
+
+    def place(j: int) -> Column:
+        found = F.col("_m")[F.col(tick).cast("long") - j * step]
+        return F.struct(F.when(found.isNull(), 0.0).otherwise(1.0).alias("avail"), F.coalesce(found, zeros).alias("x"))
+
+    return rows.withColumn("sequence", F.array(*[place(j) for j in range(length - 1, -1, -1)])).drop("_m")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_two_sided, t_two_sided
+from ..shipping import ship_code
+from .ranks import literal, percentiles
 
 
 def daily_rollup(df: DataFrame, keys: Sequence[str], columns: Sequence[str], sum_patterns: Sequence[str]) -> DataFrame:
@@ -52,8 +56,9 @@ def thin_entities(df: DataFrame, k: str, min_units: float = 90, scale: float = 1
 
 
 def train_median(df: DataFrame, column: str, split: str = "split") -> DataFrame:
-    """One row, one column: the exact median of the train rows."""
-    return df.filter(F.col(split) == "train").agg(F.percentile(column, 0.5).alias(column))
+    """One row, one column: the exact median of the train rows, NULL if there are none."""
+    (median,) = percentiles(df.filter(F.col(split) == "train"), {column: [0.5]})[column]
+    return df.sparkSession.range(1).select(literal(median).alias(column))
 
 
 def missing_report(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,10 +133,10 @@ def entity_summary(df: DataFrame, k: str, means: Sequence[str], attributes: Sequ
 
 
 def distribution_stats(df: DataFrame, y: str) -> DataFrame:
-    """Count, mean, deviation, quartiles, population skewness and excess kurtosis."""
-    q = F.percentile(y, [0.25, 0.5, 0.75])
-    out = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), q.alias("_q"), F.skewness(y).alias("skew"), F.kurtosis(y).alias("excess_kurtosis"))
-    return out.select("n", "mean", "sd", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))], "skew", "excess_kurtosis")
+    """Count, mean, deviation, exact quartiles, population skewness and excess kurtosis."""
+    quartiles = percentiles(df, {y: [0.25, 0.5, 0.75]})[y]
+    out = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.skewness(y).alias("skew"), F.kurtosis(y).alias("excess_kurtosis"))
+    return out.select("n", "mean", "sd", *[literal(q).alias(c) for q, c in zip(quartiles, ("q1", "median", "q3"), strict=True)], "skew", "excess_kurtosis")
 
 
 def boxplot_stats(df: DataFrame, k: str, y: str) -> DataFrame:
@@ -157,11 +162,40 @@ def with_correlation_p(df: DataFrame) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every two of columns, a before b, pairwise complete, from one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    complete = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = df.agg(*[F.corr(F.when(complete(a, b), F.col(a)), F.when(complete(a, b), F.col(b))).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    """(a, b, r) for every two of columns, a before b, pairwise complete; NULL and NaN are missing. r is NULL
+    below two complete rows and for columns that don't vary in them.
+
+    Each task sums products of whole batches as matrices, of values less the column's mean, so that a pair
+    costs one row a task, whatever the rows."""
+    columns = list(columns)
+    first, second = np.triu_indices(len(columns), 1)
+    if not len(first):
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    ship_code(df.sparkSession)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = rows.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in rows.columns]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((len(names), len(first)))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 10_000):
+                x = pdf.iloc[lo : lo + 10_000].to_numpy(float, na_value=np.nan) - shift
+                there = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                s, q = x.T @ there, (x * x).T @ there  # [i, j]: of column i where j is there too
+                held += np.stack([m[first, second] for m in (there.T @ there, s, s.T, q, q.T, x.T @ x)])
+        yield pd.DataFrame({"i": np.arange(len(first)), **dict(zip(names, held, strict=True))})
+
+    total = rows.mapInPandas(sums, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
+    n, sa, sb, saa, sbb, sab = (F.col(c) for c in names)
+    va, vb = n * saa - sa * sa, n * sbb - sb * sb
+    varies = (n > 1) & (va > 1e-12 * n * saa) & (vb > 1e-12 * n * sbb)
+    name = lambda at: F.element_at(F.array(*map(F.lit, columns)), at + 1)
+    pair = F.broadcast(df.sparkSession.createDataFrame(list(zip(range(len(first)), first.tolist(), second.tolist(), strict=True)), "i int, p int, q int"))
+    r = F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (n * sab - sa * sb) / F.sqrt(va * vb))))
+    return total.join(pair, "i").select(name(F.col("p")).alias("a"), name(F.col("q")).alias("b"), r.alias("r"))
 
 
 def group_corr(df: DataFrame, k: str, x: str, y: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import literal, percentiles
+
 
 def by_time(k: str | Sequence[str], tick: str) -> WindowSpec:
     return W.partitionBy(*([k] if isinstance(k, str) else k)).orderBy(tick)
@@ -122,16 +124,16 @@ def pick_cases(df: DataFrame, row: str, y: str, wind: str, subset: Column) -> Da
     """(case, row): largest y; y nearest the median; nearest the subset's median among its calm (wind at
     most its lower third) and windy (its upper third) rows. Ties go to the smaller row."""
     near = lambda m: F.min_by(row, F.struct(F.abs(F.col(y) - m), F.col(row)))
-    marks = df.agg(F.percentile(y, 0.5).alias("_median"))
-    inner = df.filter(subset).agg(F.percentile(wind, 1 / 3).alias("_low"), F.percentile(wind, 2 / 3).alias("_high"))
-    all_ = df.withColumn("_sub", F.coalesce(subset, F.lit(False))).join(F.broadcast(marks)).join(F.broadcast(inner))
-    calm, windy = F.col("_sub") & (F.col(wind) <= F.col("_low")), F.col("_sub") & (F.col(wind) >= F.col("_high"))
-    centre = all_.agg(F.percentile(F.when(calm, F.col(y)), 0.5).alias("_calm"), F.percentile(F.when(windy, F.col(y)), 0.5).alias("_windy"))
-    rows = all_.join(F.broadcast(centre))
-    picked = lambda c, m: F.min_by(F.when(c, F.col(row)), F.when(c, F.struct(F.abs(F.col(y) - F.col(m)), F.col(row))))
+    inside = F.coalesce(subset, F.lit(False))
+    marks = percentiles(df.select(F.col(y).alias("y"), F.when(inside, F.col(wind)).alias("wind")), {"y": [0.5], "wind": [1 / 3, 2 / 3]})
+    median, (low, high) = literal(marks["y"][0]), map(literal, marks["wind"])
+    calm, windy = inside & (F.col(wind) <= low), inside & (F.col(wind) >= high)
+    centre = percentiles(df.select(F.when(calm, F.col(y)).alias("calm"), F.when(windy, F.col(y)).alias("windy")), {"calm": [0.5], "windy": [0.5]})
+    rows = df
+    picked = lambda c, m: F.min_by(F.when(c, F.col(row)), F.when(c, F.struct(F.abs(F.col(y) - m), F.col(row))))
     found = rows.agg(
-        F.min_by(row, F.struct(-F.col(y), F.col(row))).alias("highest"), near(F.col("_median")).alias("typical"),
-        picked(calm, "_calm").alias("calm"), picked(windy, "_windy").alias("windy"),
+        F.min_by(row, F.struct(-F.col(y), F.col(row))).alias("highest"), near(median).alias("typical"),
+        picked(calm, literal(centre["calm"][0])).alias("calm"), picked(windy, literal(centre["windy"][0])).alias("windy"),
     )
     return found.unpivot([], ["highest", "typical", "calm", "windy"], "case", "row")
 

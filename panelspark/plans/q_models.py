@@ -83,6 +83,19 @@ def _(t):
     return _rounded(G.search_alpha(t.marked, ["x", "wind"], "y", [0.5, 100.0, 10000.0]), [], 5)
 
 
+_TRIED = M.candidates({"alpha": [0.5, 30.0, 100.0, 3000.0, 10000.0]}, [{"alpha": 10.0}], 5, 7)
+_TRIALS = ", ".join(f"({i}, CAST({c['alpha']} AS DOUBLE))" for i, c in enumerate(_TRIED))
+
+
+@query("O_M5_search_candidates", f"""WITH s AS (SELECT {_SUMS} FROM marked WHERE split = 'train'), al AS (SELECT * FROM (VALUES {_TRIALS}) AS v(trial, alpha)), sa AS (SELECT s.*, alpha FROM s, al), r AS ({_ridge_sql('sa', 'alpha')}),
+    e AS (SELECT alpha, split, sqrt(avg(pow(y - b0 - bx * x - bz * wind, 2))) AS rmse FROM marked, r GROUP BY alpha, split), w AS (SELECT alpha, max(rmse) FILTER (WHERE split = 'validation') AS v, max(rmse) FILTER (WHERE split = 'test') AS z FROM e GROUP BY alpha)
+    SELECT CAST(trial AS INTEGER) AS trial, '[(''alpha'', ' || alpha || ')]' AS parameters, round(v, 5) AS validation, CASE WHEN v = (SELECT min(v) FROM w) THEN round(z, 5) END AS test, v = (SELECT min(v) FROM w) AS best FROM al JOIN w USING (alpha)""")
+def _(t):
+    fit = lambda rows, c: G.ridge_fit(rows, ["x", "wind"], "y", c["alpha"])
+    rmse = lambda rows: E.evaluate(rows.withColumnRenamed("y", "y_true")).first()["rmse"]
+    return _rounded(M.search(t.marked, _TRIED, fit, rmse)[1], [], 5)
+
+
 @query("O_M6_generalisation_gap", """WITH w AS (SELECT model, stage, feature_set, max(rmse) FILTER (WHERE split = 'train') AS a, max(rmse) FILTER (WHERE split = 'validation') AS b, max(r2) FILTER (WHERE split = 'train') AS c, max(r2) FILTER (WHERE split = 'validation') AS e FROM results GROUP BY model, stage, feature_set)
     SELECT model, stage, feature_set, round(b - a, 5) AS rmse_gap, round((b - a) / a, 5) AS relative_gap, round(c - e, 5) AS r2_gap, CASE WHEN (b - a) / a > 0.001 AND c - e > 0.001 THEN 'high' WHEN (b - a) / a > 0.001 OR c - e > 0.001 THEN 'moderate' ELSE 'low' END AS risk FROM w""")
 def _(t):
@@ -145,9 +158,9 @@ def _(t):
     return _rounded(E.error_breakdown(rows, ["kind", "flag", "single"], "k"), [], 5)
 
 
-_BLOCKS = """s AS (SELECT k, isoyear(d) * 100 + week(d) AS wk, model, count(*) AS n, sum(y_true) AS y, sum(y_true * y_true) AS yy, sum(pow(y_true - y_pred, 2)) AS ee, sum(abs(y_true - y_pred)) AS ae FROM preds WHERE stage = 'default' AND split = 'test' AND k < 20 GROUP BY ALL),
+_BLOCKS = """s AS (SELECT k, isoyear(d) * 100 + week(d) AS wk, model, count(*) AS n, sum(y_true) AS y, sum(y_true * y_true) AS yy, sum(pow(y_true - y_pred, 2)) AS ee, sum(abs(y_true - y_pred)) AS ae FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY ALL),
     b AS (SELECT k, wk, row_number() OVER (ORDER BY k, wk) - 1 AS block FROM (SELECT DISTINCT k, wk FROM s) u), c AS (SELECT max(block) AS last FROM b), r AS (SELECT unnest(range(1, 21)) AS rnd), pl AS (SELECT unnest(range(0, CAST(last + 1 AS BIGINT))) AS place, last FROM c),
-    t AS (SELECT rnd, ((rnd * 7919 + place * 104729 + 93 + rnd * place * 613) % 1000003) % (last + 1) AS block, count(*) AS times FROM r, pl GROUP BY ALL),
+    t AS (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || place || ':3'), 1, 15) AS BIGINT) % (last + 1) AS block, count(*) AS times FROM r, pl GROUP BY ALL),
     z AS (SELECT t.rnd, s.model, sum(n * times) AS n, sum(y * times) AS y, sum(yy * times) AS yy, sum(ee * times) AS ee, sum(ae * times) AS ae FROM s JOIN b ON s.k = b.k AND s.wk = b.wk JOIN t ON t.block = b.block GROUP BY t.rnd, s.model), v AS (SELECT rnd, model, sqrt(ee / n) AS rmse, ae / n AS mae, 1 - ee / (yy - y * y / n) AS r2 FROM z)"""
 
 
@@ -156,14 +169,9 @@ def _all_blocks(t):
     return t.preds.filter("stage = 'default' AND split = 'test'").withColumn("wk", week)
 
 
-def _blocks(t):
-    """The entities that the SQL takes; the queries named _all take all of them."""
-    return _all_blocks(t).filter("k < 20")
-
-
 @query("O_E6_block_bootstrap", f"WITH {_BLOCKS} SELECT model, round(quantile_cont(r2, 0.025), 5) AS r2_low, round(quantile_cont(r2, 0.975), 5) AS r2_high, round(quantile_cont(rmse, 0.025), 5) AS rmse_low, round(quantile_cont(rmse, 0.975), 5) AS rmse_high, round(quantile_cont(mae, 0.025), 5) AS mae_low, round(quantile_cont(mae, 0.975), 5) AS mae_high FROM v GROUP BY model")
 def _(t):
-    return _rounded(E.block_bootstrap(_blocks(t), ["k", "wk"], 20, 3), [], 5)
+    return _rounded(E.block_bootstrap(_all_blocks(t), ["k", "wk"], 20, 3), [], 5)
 
 
 @query("O_E6_block_bootstrap_all")
@@ -171,11 +179,11 @@ def _(t):
     return _rounded(E.intervals(E.bucket_rounds(_all_blocks(t), ["k", "wk"], 1000, 3)), [], 5)
 
 
-@query("O_E7_compare_to_best", f"""WITH {_BLOCKS}, sc AS (SELECT model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' AND k < 20 GROUP BY model), be AS (SELECT model AS best FROM sc WHERE model NOT IN ('B1', 'B2') ORDER BY r2 DESC, model DESC LIMIT 1),
+@query("O_E7_compare_to_best", f"""WITH {_BLOCKS}, sc AS (SELECT model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY model), be AS (SELECT model AS best FROM sc WHERE model NOT IN ('B1', 'B2') ORDER BY r2 DESC, model DESC LIMIT 1),
     q AS (SELECT v.model, be.best, v.r2 - w.r2 AS d FROM v JOIN v w ON w.rnd = v.rnd JOIN be ON w.model = be.best), o AS (SELECT model, best, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM q GROUP BY model, best)
     SELECT model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
 def _(t):
-    rows = _blocks(t)
+    rows = _all_blocks(t)
     rounds = E.resample(E.block_sums(rows, ["k", "wk"]), 20, 3)
     return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
 
@@ -224,6 +232,20 @@ def _(t):
     return _rounded(X.family_shapley(t.daily, LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
 
 
+class _Product:
+    """x times wind, and rain."""
+
+    def transform(self, df, name="y_pred"):
+        return df.withColumn(name, F.col("x") * F.col("wind") + F.col("rain"))
+
+
+@query("O_X2_family_interactions", """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind FROM daily), i AS (SELECT avg(abs((d.x - m.x) * (d.wind - m.wind))) AS v FROM daily d, m)
+    SELECT 'drivers' AS family_a, 'wind' AS family_b, round(v, 4) AS mean_abs, 1.0 AS share FROM i UNION ALL SELECT 'drivers', 'rain', 0.0, 0.0 UNION ALL SELECT 'wind', 'rain', 0.0, 0.0""")
+def _(t):
+    pairs = X.family_interactions(t.daily, _Product(), {"drivers": ["x"], "wind": ["wind"], "rain": ["rain"]}, "row_id")
+    return _rounded(X.interaction_table(pairs), [], 4)
+
+
 _IMPORTANCE = "SELECT feature, avg(abs(phi)) AS mean_abs, corr(value, phi) AS direction FROM phi GROUP BY feature"
 
 
@@ -251,10 +273,12 @@ def _(t):
     return _rounded(X.importance_by_group(t.phi, "kind", 2), [], 5)
 
 
-@query("O_X7_case_attributions", """WITH m AS (SELECT quantile_cont(y, 0.5) AS med FROM daily), c AS (SELECT 'highest' AS "case", (SELECT row_id FROM daily ORDER BY y DESC, row_id LIMIT 1) AS row_id UNION ALL SELECT 'typical', (SELECT row_id FROM daily, m ORDER BY abs(y - med), row_id LIMIT 1))
+@query("O_X7_case_attributions", """WITH m AS (SELECT quantile_cont(y, 0.5) AS med FROM daily), q AS (SELECT quantile_cont(wind, 1 / 3) AS low, quantile_cont(wind, 2 / 3) AS high FROM daily WHERE kind = 1),
+    calm AS (SELECT row_id, y FROM daily, q WHERE kind = 1 AND wind <= low), windy AS (SELECT row_id, y FROM daily, q WHERE kind = 1 AND wind >= high), c AS (SELECT 'highest' AS "case", (SELECT row_id FROM daily ORDER BY y DESC, row_id LIMIT 1) AS row_id UNION ALL SELECT 'typical', (SELECT row_id FROM daily, m ORDER BY abs(y - med), row_id LIMIT 1)
+    UNION ALL SELECT 'calm', (SELECT row_id FROM calm ORDER BY abs(y - (SELECT quantile_cont(y, 0.5) FROM calm)), row_id LIMIT 1) UNION ALL SELECT 'windy', (SELECT row_id FROM windy ORDER BY abs(y - (SELECT quantile_cont(y, 0.5) FROM windy)), row_id LIMIT 1))
     SELECT c."case", c.row_id, p.feature, round(p.value, 5) AS value, round(p.phi, 5) AS phi, CAST(row_number() OVER (PARTITION BY c."case" ORDER BY abs(p.phi) DESC, p.feature) AS INTEGER) AS place FROM c JOIN phi p ON p.row_id = c.row_id QUALIFY row_number() OVER (PARTITION BY c."case" ORDER BY abs(p.phi) DESC, p.feature) <= 2""")
 def _(t):
-    cases = pick_cases(t.daily, "row_id", "y", "wind", F.col("kind") == 1).filter(F.col("case").isin("highest", "typical"))
+    cases = pick_cases(t.daily, "row_id", "y", "wind", F.col("kind") == 1)
     out = X.case_attributions(t.phi, cases, "row_id", 2)
     return _rounded(out.select("case", "row_id", "feature", "value", "phi", "place"), [], 5)
 
@@ -286,7 +310,7 @@ def _(t):
 
 
 @query("O_H1_event_effect", f"""WITH z AS (SELECT k % 23 AS g, CAST(flag AS DOUBLE) AS x, wind, ln(1 + y) AS y FROM daily), s AS (SELECT {_SUMS} FROM z), f AS ({_ridge_sql('s', '0')}), w AS (SELECT CAST(g AS VARCHAR) AS g, {_SUMS} FROM z GROUP BY g), i AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS c FROM w), r AS (SELECT unnest(range(1, 21)) AS rnd),
-    t AS (SELECT rnd, ((rnd * 7919 + pos * 104729 + 62 + rnd * pos * 613) % 1000003) % c AS pick FROM i, r), u AS (SELECT t.rnd, sum(n) AS n, sum(sx) AS sx, sum(sz) AS sz, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxz) AS sxz, sum(szz) AS szz, sum(sxy) AS sxy, sum(szy) AS szy FROM t JOIN i ON i.pos = t.pick GROUP BY t.rnd), v AS ({_ridge_sql('u', '0')})
+    t AS (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || pos || ':2'), 1, 15) AS BIGINT) % c AS pick FROM i, r), u AS (SELECT t.rnd, sum(n) AS n, sum(sx) AS sx, sum(sz) AS sz, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxz) AS sxz, sum(szz) AS szz, sum(sxy) AS sxy, sum(szy) AS szy FROM t JOIN i ON i.pos = t.pick GROUP BY t.rnd), v AS ({_ridge_sql('u', '0')})
     SELECT round(100 * (exp(f.bx) - 1), 5) AS effect_pct, round(quantile_cont(100 * (exp(v.bx) - 1), 0.025), 5) AS low, round(quantile_cont(100 * (exp(v.bx) - 1), 0.975), 5) AS high, CAST((SELECT count(*) FROM w) AS INTEGER) AS windows, 20 AS rounds FROM v, f GROUP BY f.bx""")
 def _(t):
     rows = t.daily.select((F.col("k") % 23).cast("string").alias("g"), F.col("flag").cast("double").alias("flag"), "wind", F.log1p("y").alias("y"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features, reshape
-from ..operators.stats import train_median
+from ..operators.features import dispersion_proxy
 from .testbed import query
 
 
@@ -93,8 +93,7 @@ def _(t):
 @query("O_P11_dispersion_proxy", """WITH m AS (SELECT quantile_cont(gappy, 0.5) AS m FROM marked WHERE split = 'train')
     SELECT row_id, round(ln(1 + x) / (1 + coalesce(gappy, m)), 6) AS proxy FROM marked, m""")
 def _(t):
-    median = train_median(t.marked, "gappy").withColumnRenamed("gappy", "_m")
-    return t.marked.join(F.broadcast(median)).select("row_id", r6(F.log1p("x") / (1 + F.coalesce("gappy", "_m")), "proxy"))
+    return dispersion_proxy(t.marked, "x", "gappy").select("row_id", r6("proxy", "proxy"))
 
 
 @query("O_P12_rain_flags", "SELECT row_id, CAST(rain > 1 AS INTEGER) AS rain_wet, CAST(rain > 10 AS INTEGER) AS rain_heavy, round(ln(1 + greatest(rain, 0)), 6) AS rain_log1p FROM daily")

@@ -159,6 +159,15 @@ def _(t):
     return X.prune_correlated(rows, ["lag_x", "x", "y", "wind", "one"])
 
 
+@query("O_F7_prune_sets", """WITH c AS (SELECT corr(x, y) AS b, corr(x, wind) AS e, corr(y, wind) AS f, corr(x * 2 + wind * 0.001, x + wind * 0.002) AS g FROM marked WHERE split = 'train')
+    SELECT 'exogenous' AS "set", 'x' AS feature, 1 AS kept, '' AS reason FROM c UNION ALL SELECT 'exogenous', 'y', CAST(abs(b) <= 0.95 AS INTEGER), CASE WHEN abs(b) > 0.95 THEN 'correlated with x' ELSE '' END FROM c
+    UNION ALL SELECT 'exogenous', 'wind', CAST(abs(e) <= 0.95 AND abs(f) <= 0.95 AS INTEGER), '' FROM c UNION ALL SELECT 'autoregressive', 'lag_x', 1, '' FROM c
+    UNION ALL SELECT 'autoregressive', 'lag_w', CAST(abs(g) <= 0.95 AS INTEGER), CASE WHEN abs(g) > 0.95 THEN 'correlated with lag_x' ELSE '' END FROM c UNION ALL SELECT 'autoregressive', 'one', 0, 'constant' FROM c""")
+def _(t):
+    rows = t.marked.withColumns({"lag_x": F.col("x") * 2 + F.col("wind") * 0.001, "lag_w": F.col("x") + F.col("wind") * 0.002, "one": F.lit(1)})
+    return X.prune_sets(rows, {"exogenous": ["x", "y", "wind"], "autoregressive": ["lag_x", "lag_w", "one"]})
+
+
 @query("O_F8_feature_roles", """SELECT r.feature, r.role, count(*) AS n FROM (VALUES ('k', 'metadata'), ('tick', 'trend'), ('x', 'exogenous'), ('y', 'target'), ('wind', 'exogenous'), ('n', 'weight'), ('lag_y', 'autoregressive')) AS r(feature, role) CROSS JOIN daily GROUP BY r.feature, r.role""")
 def _(t):
     rows = t.daily.select("k", "tick", "x", "y", "wind", "n", F.lit(0.0).alias("lag_y"))

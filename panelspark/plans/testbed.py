@@ -60,9 +60,9 @@ VIEWS = {
     "dim": "SELECT s_suppkey AS k, s_name AS road, n_name AS place, s_nationkey AS nation, s_acctbal AS acct FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "phi": """
         SELECT row_id, kind, feature, value, phi FROM (
-          SELECT row_id, kind, 'x' AS feature, x AS value, 1.5 * (x - avg(x) OVER ()) AS phi FROM daily
-          UNION ALL SELECT row_id, kind, 'wind', wind, -0.25 * (wind - avg(wind) OVER ()) FROM daily
-          UNION ALL SELECT row_id, kind, 'rain', rain, 0.5 * (rain - avg(rain) OVER ()) FROM daily
+          SELECT row_id, kind, 'x' AS feature, x AS value, 1.5 * (x - mx) AS phi FROM daily CROSS JOIN (SELECT avg(x) AS mx FROM daily) AS a
+          UNION ALL SELECT row_id, kind, 'wind', wind, -0.25 * (wind - mw) FROM daily CROSS JOIN (SELECT avg(wind) AS mw FROM daily) AS b
+          UNION ALL SELECT row_id, kind, 'rain', rain, 0.5 * (rain - mr) FROM daily CROSS JOIN (SELECT avg(rain) AS mr FROM daily) AS c
         ) AS u
     """,
 }
