@@ -2,10 +2,15 @@
 
 Pages of one host are merged into a tree whose nodes are branches: the tags, classes and ids from the
 root down. A branch's importance comes from two entropies over the host's distinct pages: of its
-texts, which is low for what many pages repeat, and of its presentation, the number of its blocks.
-Branches of low importance are removed from each page, along with those that their tag, role, class
-or id names as navigation, advert, form, comment and the like. If a page marks its article or main
-part, only that is kept.
+texts, the content, which is low for what many pages repeat, and of its presentation, the number of
+its blocks. Importance counts as evidence for or against a branch, the more the more pages have it.
+
+Tags, roles, class and id names shift what evidence a branch needs: an article or main part needs
+none, a plain branch goes if its host repeats it, one that is named as a header or widget stays only if
+its pages differ in it. What differs from page to page and still isn't main text (menus, adverts,
+forms, reader comments) is shifted further than importance can make good.
+
+Parsing is linear in the page: no scan goes twice over the same signs, and no stack is searched.
 """
 
 from __future__ import annotations
@@ -14,168 +19,244 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, ship_code
+from .runtime import Scratch, fresh, ship_code
+from .textkit import column_chunks
 
-#: Distinct pages that a branch needs to be judged; importance below which it goes; weight of texts
-#: against presentation; levels that tell branches apart.
-MIN_PAGES, LOW, TEXT_WEIGHT, LEVELS = 8, 0.35, 0.9, 24
+#: Branches of a host whose evidence may lie in one row.
+BRANCHES = 4096
+#: Weight of texts against presentation in a branch's importance.
+TEXT_WEIGHT = 0.9
+#: What a plain branch has before evidence, and one in an article or main part has besides.
+PLAIN, ARTICLE = 0.35, 0.65
+#: Shifts by tag, role and name. Evidence lies between -1 and 1.
+NEVER, FIRM, SOFT, MILD = -9.0, -1.75, -1.3, -0.9
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*>""", re.S)
+_START = re.compile(r"<(?=[a-zA-Z/!?])")
+_STOP = re.compile(r"""[>"']""")
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _WORD = re.compile(r"[a-z]+")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input br".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = set("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body".split())
-_NOISE_TAGS = set("head nav footer aside form script style noscript template iframe object svg button select textarea dialog menu".split())
-_NOISE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: Words of class and id names that say what a branch is.
-_NOISE_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "newsletter subscribe subscription popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
-    "related recommended recommendations share sharing social comment comments respond disqus reply replies pagination pager widget widgets "
-    "login signup search copyright disclaimer toolbar".split()
+_CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+_NEVER_TAGS = set("head script style noscript template iframe object svg select button textarea".split())
+_FIRM_TAGS = set("nav footer aside form dialog menu".split())
+_FIRM_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Tags whose class and id say what they hold; in others every word must be one of those below.
+_CONTAINERS = set("div section ul ol dl table aside nav header footer form details fieldset".split())
+#: Words of class and id names for what isn't main text whether or not it differs from page to page,
+#: for what may be either, and for main text.
+_FIRM_WORDS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe "
+    "subscription popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs related recommended recommendations share sharing "
+    "comment comments commentlist respond disqus reply replies pagination pager login signup".split()
 )
+_SOFT_WORDS = set("banner notice notices overlay header footer masthead social widget widgets search copyright disclaimer toolbar".split())
+_MAIN_WORDS = set("article content entry post story text body main title headline image figure caption".split())
+_ARTICLE_WORDS = set("comment comments reply replies ad ads advert sponsored related promo".split())
 
 
 class Block(NamedTuple):
-    path: str
+    path: int
     text: str
-    noise: bool
-    place: int  # 2 in an article, 1 in a main part, 0 elsewhere
+    shift: float  # the lowest of the branch's shifts
+    inside: bool  # in an article or main part
+
+
+@lru_cache(8192)
+def _describe(tag: str, source: str) -> tuple[str, float]:
+    """A node's name in the tree, and the shift of its tag, role and names."""
+    name, words, role = tag, [], ""
+    for key, a, b, c in _ATTRIBUTE.findall(source):
+        key, value = key.lower(), (a or b or c).lower()
+        if key == "role":
+            role = value.strip()
+        elif key in ("class", "id"):
+            found = _WORD.findall(value)
+            words += found
+            name += ("." if key == "class" else "#") + "-".join(found)
+    if tag in _NEVER_TAGS:
+        return name, NEVER
+    if tag in _FIRM_TAGS or role in _FIRM_ROLES:
+        return name, FIRM
+    if tag in ("html", "body", "main"):
+        return name, 0.0
+    if tag == "article":
+        return name, FIRM if _ARTICLE_WORDS.intersection(words) else 0.0
+    firm = any(w in _FIRM_WORDS for w in words)
+    soft = sum(w in _SOFT_WORDS for w in words)
+    if tag not in _CONTAINERS:
+        every = bool(words) and all(w in _FIRM_WORDS or w in _SOFT_WORDS for w in words)
+        return name, (FIRM if firm else MILD) if every else 0.0
+    if firm:
+        return name, FIRM
+    if not soft or any(w in _MAIN_WORDS for w in words):
+        return name, 0.0
+    return name, SOFT if soft == len(words) else MILD
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+@lru_cache(65536)
+def _child_path(parent: int, name: str) -> int:
+    return _hash(parent.to_bytes(8, "little", signed=True), name.encode("utf-8", "surrogatepass"))
 
 
 class _Node:
-    __slots__ = ("name", "tag", "noise", "place", "path", "depth")
+    __slots__ = ("tag", "path", "shift", "inside", "inline", "held")
 
     def __init__(self, tag: str, source: str, parent: _Node | None):
-        name, words, role = tag, set(), ""
-        if " " in source or "\n" in source or "\t" in source:
-            for key, a, b, c in _NAMES.findall(source):
-                value = (a or b or c).lower()
-                if key.lower() == "role":
-                    role = value.strip()
-                else:
-                    found = _WORD.findall(value)
-                    words.update(found)
-                    name += ("." if key.lower() == "class" else "#") + "-".join(found)
-        self.tag, self.name = tag, name
-        self.depth = parent.depth + 1 if parent else 1
-        self.path = f"{parent.path}/{name}" if parent and self.depth <= LEVELS else (parent.path if parent else name)
-        above = parent.place if parent else 0
-        noise = tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag not in ("html", "body", "article", "main") and bool(words & _NOISE_WORDS)) or (tag == "header" and not above)
-        if tag == "article":
-            noise |= bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "related"})
-        self.noise = noise or bool(parent and parent.noise)
-        self.place = max(above, 2 if tag == "article" and not self.noise else 1 if (tag == "main" or role == "main") and not self.noise else 0)
+        name, shift = (_describe if len(source) < 1000 else _describe.__wrapped__)(tag, source)
+        inside = bool(parent and parent.inside)
+        if tag == "header" and not inside:
+            shift = FIRM
+        self.tag, self.path = tag, _child_path(parent.path if parent else 0, name)
+        self.shift = min(shift, parent.shift) if parent else shift
+        self.inside = inside or (self.shift >= 0 and (tag in ("article", "main") or 'role="main"' in source))
+        self.inline: list[_Node] = []  # open inline elements since this block began, and how many of each tag
+        self.held: dict[str, int] = {}
+
+
+class _Tags:
+    """Ends of tags: the first `>` outside quotes; a quote that is never closed is an ordinary sign."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.known = page, page.rfind(">"), {}
+
+    def end(self, at: int) -> int:
+        """The place after the tag that begins at `at`, or -1 if it has no end."""
+        if self.last < at:
+            return -1
+        page, here, passed = self.page, at, []
+        while True:
+            if (found := self.known.get(here)) is not None:
+                break
+            passed.append(here)
+            m = _STOP.search(page, here)
+            if not m or m[0] == ">":
+                found = m.end() if m else -1
+                break
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                found = -1
+                break
+        for p in passed:
+            self.known[p] = found
+        return found if found >= 0 else page.find(">", at) + 1 or -1
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. Tags that may be left out are closed as browsers do; what isn't
     a tag is text; an unclosed comment or script goes on to the end."""
     out: list[Block] = []
-    stack: list[_Node] = []
+    root = _Node("", "", None)
+    stack, opened = [root], {"": 1}
     text: list[str] = []
+    tags, at = _Tags(page), 0
 
     def flush() -> None:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined:
-                top = next((n for n in reversed(stack) if n.tag not in _INLINE), None)
-                last = stack[-1] if stack else None
-                out.append(Block(top.path if top else "", joined, bool(last and last.noise), last.place if last else 0))
+                top = stack[-1]
+                here = top.inline[-1] if top.inline else top
+                out.append(Block(top.path, joined, here.shift, here.inside))
 
-    def pop(at: int) -> None:
+    def pop() -> None:
         flush()
-        del stack[at:]
+        opened[stack.pop().tag] -= 1
 
-    at = 0
     while True:
-        m = _TOKEN.search(page, at)
+        m = _START.search(page, at)
         if not m:
             text.append(page[at:])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-        at = m.end()
-        source = m[0]
-        named = _TAG.match(source)
+        at = m.start()
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        named = _TAG.match(page, at)
+        stop = tags.end(at + 1) if named else page.find(">", at) + 1 if page[at + 1] in "!?/" and tags.last > at else -1
+        if stop < 0:
+            text.append("<")
+            at += 1
+            continue
+        source, at = page[at:stop], stop
         if not named:
             continue
         tag = named[1].lower()
+        top = stack[-1]
         if source[1] == "/":
             if tag == "br":
                 text.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    if tag in _INLINE and any(n.tag not in _INLINE for n in stack[i:]):
+            elif tag in _INLINE:
+                while top.held.get(tag):
+                    if top.inline[-1].shift < top.shift:
+                        flush()
+                    gone = top.inline.pop().tag
+                    top.held[gone] -= 1
+                    if gone == tag:
                         break
-                    pop(i) if tag not in _INLINE or stack[i].noise else stack.__delitem__(slice(i, None))
-                    break
+            elif opened.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
         if tag in _RAW:
             if tag != "textarea" or not source.endswith("/>"):
                 end = _RAW[tag].search(page, at)
                 at = end.end() if end else len(page)
-            if tag not in ("title", "textarea"):
-                continue
             continue
-        if tag in ("br", "hr", "wbr"):
+        if tag in _VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
                 text.append(" ")
             continue
-        if tag in _VOID:
-            continue
         if tag in _INLINE:
-            node = _Node(tag, source, stack[-1] if stack else None)
-            if node.noise and not (stack and stack[-1].noise):
+            node = _Node(tag, source, top.inline[-1] if top.inline else top)
+            if node.shift < top.shift:
                 flush()
-            stack.append(node)
+            top.inline.append(node)
+            top.held[tag] = top.held.get(tag, 0) + 1
             continue
         flush()
-        if tag in _CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in _CLOSES[tag]:
-                    pop(i)
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "p":
-                    pop(i)
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
-        while stack and stack[-1].tag in _INLINE and not stack[-1].noise:
-            stack.pop()
-        stack.append(_Node(tag, source, stack[-1] if stack else None))
-        if source.endswith("/>") and tag not in ("p", "div", "li"):
-            stack.pop()
+        closes = _CLOSES.get(tag, ("p",))
+        while stack[-1].tag in closes:
+            pop()
+        top = stack[-1]
+        parent = top.inline[-1] if top.inline and top.inline[-1].shift < top.shift else top
+        node = _Node(tag, source, parent)
+        if parent is top:
+            top.inline, top.held = [], {}  # formatting that is still open doesn't go on
+        if not (source.endswith("/>") and tag not in ("p", "div", "li")):
+            stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def main_text(page: str, low: set[str]) -> str:
-    """The page's text without noise and without low branches; these stay if nothing else would."""
-    found = [b for b in blocks(page) if not b.noise]
-    best = max((b.place for b in found), default=0)
-    found = [b for b in found if b.place == best]
-    if low:
-        kept = [b for b in found if not any(b.path == p or b.path.startswith(p + "/") for p in low)]
-        found = kept or found
-    return "\n".join(b.text for b in found)
+def main_text(page: str, evidence: dict[int, float]) -> str:
+    """The page's text without branches that shift and evidence speak against. If evidence alone leaves
+    nothing, as on pages that all of a host's repeat, what isn't shifted stays."""
+    found = blocks(page)
+    kept = [b for b in found if b.shift + PLAIN + (ARTICLE if b.inside and b.shift >= 0 else 0) + evidence.get(b.path, 0.0) >= -1e-9]
+    return "\n".join(b.text for b in kept or [b for b in found if b.shift >= 0])
 
 
 def host(url: F.Column) -> F.Column:
@@ -183,43 +264,38 @@ def host(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, page, path, text, blocks): of a page, how many blocks of a branch have a text; page and text are hashes."""
-    for pdf in batches:
-        rows: list[tuple] = []
-        for site, page in zip(pdf["host"], pdf["html"], strict=True):
-            counts: dict[tuple[str, str], int] = {}
-            for b in blocks(page):
-                counts[b.path, b.text] = counts.get((b.path, b.text), 0) + 1
-            whole = _hash(page)
-            rows += [(site, whole, path, _hash(text), n) for (path, text), n in counts.items()]
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["host", "page", "path", "text", "blocks"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["host", "page", "path", "text", "blocks"])
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, path, text, blocks): how many blocks of a branch have a text; text is a hash."""
+    names = ["host", "page", "path", "text", "blocks"]
+    for batch in batches:
+        for lo, hi in column_chunks(batch.column("html")):
+            part = batch.slice(lo, hi - lo)
+            rows: list[tuple] = []
+            for site, page, html in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True):
+                counts: dict[tuple[int, str], int] = {}
+                for b in blocks(html):
+                    counts[b.path, b.text] = counts.get((b.path, b.text), 0) + 1
+                rows += [(site, page, path, _hash(text.encode("utf-8", "surrogatepass")), n) for (path, text), n in counts.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
 
 def merged_pages(pages: DataFrame) -> DataFrame:
-    """(host, path, page, text, blocks): the branches of each host's pages (url, html) with their texts.
+    """(host, page, path, text, blocks): the branches of each host's distinct pages, from pages (host, page, html).
 
-    page and text are hashes, so that equal pages of a host count once. Pages without a host are left out.
-    """
+    page says which pages of a host are equal; equal pages count once. path and text are hashes."""
     ship_code(pages.sparkSession)
-    known = pages.select(host(F.col("url")).alias("host"), "html").filter((F.col("host") != "") & F.col("html").isNotNull())
-    rows = known.mapInPandas(_features, "host string, page long, path string, text long, blocks long")
-    return rows.groupBy("host", "path", "page", "text").agg(F.first("blocks").alias("blocks"))
+    rows = pages.select("host", "page", "html").mapInArrow(_features, "host string, page long, path long, text long, blocks long")
+    return rows.groupBy("host", "page", "path", "text").agg(F.first("blocks").alias("blocks"))
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every branch, from the rows of merged_pages.
+    """(host, path, pages, importance) of every branch with text, from the rows of merged_pages.
 
     Of m pages with the branch, a text on n of them has the entropy log(n) / log(m); texts weigh by
-    their pages. The presentation's entropy is that of the number of blocks a page. Branches above
-    others have the means of those below, weighted alike.
+    their pages. The presentation's entropy is that of the number of blocks a page. On one page both
+    are 1. Importance is 1 less the texts' entropy, and the presentation's, weighted. A branch above
+    others is unimportant if all those below are, so that these decide.
     """
     per_page = rows.groupBy("host", "path", "page").agg(F.sum("blocks").alias("blocks"))
     styles = per_page.groupBy("host", "path", "blocks").agg(F.count("*").alias("n"))
@@ -228,31 +304,49 @@ def style_tree(rows: DataFrame) -> DataFrame:
     style = style.withColumn("shown", F.when(F.col("pages") > 1, F.col("spread") / F.log("pages")).otherwise(1.0))
     texts = rows.groupBy("host", "path", "text").agg(F.count("*").alias("n"))
     texts = texts.groupBy("host", "path").agg(F.sum("n").alias("weight"), F.sum(F.col("n") * F.log("n")).alias("repeats"))
-    leaf = texts.join(style, ["host", "path"])
-    leaf = leaf.withColumn("said", F.when(F.col("pages") > 1, 1 - F.col("repeats") / F.col("weight") / F.log("pages")).otherwise(1.0))
-    leaf = leaf.withColumn("own", TEXT_WEIGHT * F.greatest("said", F.lit(0.0)) + (1 - TEXT_WEIGHT) * F.col("shown"))
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    branch = leaf.select("host", F.explode(prefixes).alias("path"), "weight", "pages", "own")
-    return branch.groupBy("host", "path").agg(F.max("pages").alias("pages"), (F.sum(F.col("own") * F.col("weight")) / F.sum("weight")).alias("importance"))
+    both = texts.join(style, ["host", "path"])
+    said = F.when(F.col("pages") > 1, 1 - F.col("repeats") / F.col("weight") / F.log("pages")).otherwise(1.0)
+    return both.select("host", "path", "pages", (TEXT_WEIGHT * F.greatest(said, F.lit(0.0)) + (1 - TEXT_WEIGHT) * F.col("shown")).alias("importance"))
 
 
-def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def evidence_of(pages: F.Column, importance: F.Column) -> F.Column:
+    """From -1 for a branch that many pages repeat to 1 for one in which they differ; 0 for a branch of one page."""
+    return (pages - 1) / (pages + 1) * (2 * importance - 1)
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with text, the main text, and n_chars, its code points.
 
     Blocks are joined by newlines; white space in a block is one space. Null and empty html give an
     empty text. A page without a host (null or odd url) is judged by its own markup alone. Repeated
-    rows are extracted alike. Other columns pass through; text and n_chars are replaced; html goes.
+    rows are extracted alike, and count once in their host's tree. Other columns pass through, whatever
+    their names; text and n_chars are replaced; html goes. An empty table gives an empty one.
+
+    Pages are parsed once for the trees and once for their texts. Hosts have their branches' evidence in one
+    row each, which Spark broadcasts only if all are small; the pages of a host of more than BRANCHES
+    branches get that of their own branches alone.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    tree = style_tree(merged_pages(pages)).filter((F.col("pages") >= min_pages) & (F.col("importance") < low))
-    lows = scratch.save(tree.groupBy("host").agg(F.collect_set("path").alias("_low")), "low")
+    pages = pages.drop("text", "n_chars")
+    site, page, found, own = fresh(pages, "site", "page", "found", "own")
+    keyed = pages.withColumns({site: host(F.col("url")), page: F.xxhash64("html")})
+    known = keyed.filter((F.col(site) != "") & F.col("html").isNotNull()).select(F.col(site).alias("host"), F.col(page).alias("page"), "html")
+    rows = scratch.save(merged_pages(known), "branches")
+    tree = style_tree(rows).filter("pages > 1").select("host", "path", evidence_of(F.col("pages"), F.col("importance")).alias("evidence"))
+    tree = scratch.save(tree, "tree")
+    branches = F.collect_list(F.struct("path", "evidence"))
+    wide = scratch.save(tree.groupBy("host").count().filter(F.col("count") > BRANCHES).select("host"), "wide-hosts")
+    usual = tree.join(wide, "host", "left_anti").groupBy(F.col("host").alias(site)).agg(branches.alias(found))
+    keyed = keyed.join(scratch.save(usual, "evidence"), site, "left")
+    if not wide.isEmpty():
+        met = rows.join(wide, "host", "left_semi").select("host", "page", "path").distinct().join(tree, ["host", "path"])
+        met = met.groupBy(F.col("host").alias(site), F.col("page").alias(page)).agg(branches.alias(own))
+        keyed = keyed.join(scratch.save(met, "own-evidence"), [site, page], "left").withColumn(found, F.coalesce(found, own)).drop(own)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages_, lows_ in batches:
-            yield pd.Series([main_text(p or "", set(x) if x is not None else set()) for p, x in zip(pages_, lows_, strict=True)], dtype=object)
+        for htmls, lists in batches:
+            known = ({e["path"]: e["evidence"] for e in x} if x is not None else {} for x in lists)
+            yield pd.Series([main_text(h or "", x) for h, x in zip(htmls, known, strict=True)], dtype=object)
 
-    rows = pages.withColumn("_host", host(F.col("url"))).join(lows.withColumnRenamed("host", "_host"), "_host", "left")
-    rows = rows.withColumn("text", text("html", "_low"))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_low", "html")
+    return keyed.withColumn("text", text("html", found)).withColumn("n_chars", F.length("text").cast("long")).drop(site, page, found, "html")

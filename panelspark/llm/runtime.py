@@ -1,42 +1,22 @@
-"""What every operator here needs from a session: shared scratch tables, and its own code on executors."""
+"""What every operator here needs: shared scratch tables, and names that no column has."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from ..shipping import shared_dir, ship_code
 
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="panelspark-")) / "panelspark_code.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(package.rglob("*.py")):
-            archive.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A folder of our own only if it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="panelspark-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
@@ -52,6 +32,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table bucketed and sorted by key. Its name leaves the catalog at once; the files stay."""
+        path, table = f"{self.root}/{name}", f"panelspark_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        saved = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return saved
+
     def drop(self, name: str) -> None:
         """Remove a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
