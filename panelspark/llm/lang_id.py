@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship_code
+from .runtime import fresh, ship_code
 from .textkit import chunks
 
 WINDOW = 256
@@ -182,5 +182,6 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
             names, scores = net.predict(texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    found = docs.withColumn("_found", apply(F.col("text")))
-    return found.withColumns({"held_out": held_out(), "lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    (name,) = fresh(docs, "found")
+    found = docs.withColumn(name, apply(F.col("text")))
+    return found.withColumns({"held_out": held_out(), "lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}).drop(name)
