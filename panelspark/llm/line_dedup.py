@@ -19,9 +19,9 @@ LG_K = 12
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: its 128-bit hash, document, position and site. rid ties it to its
-    row: it is the text's 128-bit hash, so that only rows equal in doc_id and text share it with doc_id."""
-    rid = F.unhex(F.md5(F.col("text")))
+    """A row for each line that isn't blank: its 128-bit hash, document, position and site. doc_id and rid, the
+    text's hash, tie it to its row."""
+    rid = F.xxhash64("text")
     split = docs.select(rid.alias("rid"), "doc_id", F.col("source").cast("string").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = F.trim("line")
     return split.filter(line != "").select(F.unhex(F.md5(line)).alias("key"), "site", "rid", "doc_id", "pos")
@@ -64,7 +64,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     lines = F.split("text", "\n", -1)
     everything = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.transform(F.array_except(everything, F.col(removed)), lambda i: F.element_at(lines, i + 1))
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.unhex(F.md5(F.col("text"))) == F.col(rid))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(rid))
     return (
         docs.join(hits, same, "left")
         .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
