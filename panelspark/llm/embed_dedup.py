@@ -24,10 +24,15 @@ from .streams import key_runs
 
 COSINE = 0.9
 #: Bound of the sample that the tree is fitted on; cells at most; leading coordinates of boxes; rows of a tile.
-SAMPLE, CELLS, LEAD, TILE = 8192, 256, 8, 4096
+SAMPLE, CELLS, LEAD, TILE = 8192, 1024, 8, 4096
 #: Coordinates between two tests of the bound, and rows compared at once.
 STEP, BLOCK = 24, 512
-_SLACK, _SLACK_SINGLE = 1e-9, 1e-5
+_SLACK = 1e-9
+
+
+def _slack_single(d: int) -> float:
+    """Rounding of an inner product of unit vectors of d coordinates in single precision, at most."""
+    return 1e-6 + 2.0**-23 * (d + 4)
 
 
 def usable_vectors(vectors: DataFrame) -> F.Column:
@@ -37,8 +42,12 @@ def usable_vectors(vectors: DataFrame) -> F.Column:
     return F.coalesce(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some, F.lit(False))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column])
+def _matrix(column, d: int = 0) -> np.ndarray:
+    """Rows of d coordinates, or as many as the longest has; shorter ones end in zeros."""
+    out = np.zeros((len(column), max(d, max(map(len, column), default=0))))
+    for i, x in enumerate(column):
+        out[i, : len(x)] = x
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -46,23 +55,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
-    for pdf in batches:
-        if len(pdf):
-            u = _unit(_matrix(pdf["embedding"]))
-            total = u.T @ u if total is None else total + u.T @ u
-    if total is not None:
+def _moments(d: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d, d))
+        for pdf in batches:
+            if len(pdf):
+                u = _unit(_matrix(pdf["embedding"], d))
+                total += u.T @ u
         yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
 
+    return run
+
 
 def rotation(vectors: DataFrame) -> np.ndarray | None:
     """Columns: principal directions of all unit vectors, the strongest first. Only their second
     moments, the square of the dimension, come to the driver."""
-    rows = vectors.select("embedding").mapInPandas(_moments, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
-    if not len(rows):
+    d = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    if d is None:
         return None
-    d = round(len(rows) ** 0.5)
+    rows = vectors.select("embedding").mapInPandas(_moments(d), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
     moments = np.zeros(d * d)
     moments[rows["place"]] = rows["value"]
     return np.ascontiguousarray(np.linalg.eigh(moments.reshape(d, d))[1][:, ::-1])
@@ -94,19 +105,24 @@ def _celled(turn: np.ndarray, tree: Tree):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                lead = (_unit(_matrix(pdf["embedding"])) @ turn)[:, :LEAD]
+                lead = (_unit(_matrix(pdf["embedding"], len(turn))) @ turn)[:, :LEAD]
                 yield pdf.assign(cell=tree.cell(lead), lead=list(lead))
 
     return run
 
 
 def near_cells(boxes: pd.DataFrame, cosine: float) -> list[tuple[int, int]]:
-    """Pairs (a <= b) of cells whose boxes are no farther apart than vectors of that cosine."""
+    """Pairs (a <= b) of cells whose boxes, and balls around their centres, are no farther apart than vectors of that cosine."""
     cell = boxes["cell"].to_numpy()
-    low, high = _matrix(boxes["low"]), _matrix(boxes["high"])
-    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
-    near = (gap * gap).sum(-1) <= 2 - 2 * cosine + _SLACK
-    return [(int(cell[i]), int(cell[j])) for i, j in zip(*np.nonzero(near), strict=True) if cell[i] <= cell[j]]
+    low, high, centre = (_matrix(boxes[c]) for c in ("low", "high", "centre"))
+    reach = boxes["radius"].to_numpy(float)
+    out = []
+    for i in range(len(cell)):
+        gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
+        apart = np.maximum(0, np.sqrt(((centre[i] - centre) ** 2).sum(1)) - reach[i] - reach - _SLACK)
+        near = np.maximum((gap * gap).sum(1), apart * apart) <= 2 - 2 * cosine + _SLACK
+        out += [(int(cell[i]), int(cell[j])) for j in np.flatnonzero(near & (cell >= cell[i]))]
+    return out
 
 
 def _suffix_norms(p: np.ndarray, done: int) -> np.ndarray:
@@ -122,6 +138,7 @@ def compare(x: np.ndarray, y: np.ndarray, turn: np.ndarray, cosine: float) -> np
     """
     px, py = _unit(x) @ turn, _unit(y) @ turn
     d = px.shape[1]
+    slack = _slack_single(d)
     out = np.zeros((len(x), len(y)), bool)
 
     def leading(p: np.ndarray, done: int) -> np.ndarray:
@@ -135,7 +152,7 @@ def compare(x: np.ndarray, y: np.ndarray, turn: np.ndarray, cosine: float) -> np
             if done not in right:
                 right[done] = leading(py, done)
             bound = leading(a, done) @ right[done].T
-            alive = bound >= cosine - _SLACK_SINGLE
+            alive = bound >= cosine - slack
             count = int(np.count_nonzero(alive))
             if count * 50 < alive.size:
                 break
@@ -143,7 +160,7 @@ def compare(x: np.ndarray, y: np.ndarray, turn: np.ndarray, cosine: float) -> np
             continue
         sure = np.zeros_like(alive)
         if done == d:  # the bound is the cosine
-            sure = bound >= cosine + _SLACK_SINGLE
+            sure = bound >= cosine + slack
             alive &= ~sure
         i, j = np.divmod(np.flatnonzero(alive), alive.shape[1])
         for k in range(0, len(i), 200_000):
@@ -177,7 +194,7 @@ def _links(turn: np.ndarray, cosine: float):
             if not len(at[0]) or not len(at[1]):
                 continue
             ids, copies = [g["rep"][i] for i in at], [g["copies"][i].astype(np.float64) for i in at]
-            near = compare(*(_matrix(g["embedding"][i]) for i in at), turn, cosine)
+            near = compare(*(_matrix(g["embedding"][i], len(turn)) for i in at), turn, cosine)
             if same:
                 near[np.arange(len(near)), np.arange(len(near))] = False
             if not near.any():
@@ -205,7 +222,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     the other rows linked directly, copies among them; component_id is the smallest vec_id reachable;
     kept says whether it is the row's own. Null or empty vectors, zero vectors, and vectors with null
     or non-finite components are linked with nothing; so is a null vec_id, whose component is null and
-    which isn't kept. Repeated rows are copies. All vectors have one length. Other columns are ignored.
+    which isn't kept. Repeated rows are copies. A shorter vector counts as one that ends in zeros, but is no
+    copy of that. Other columns are ignored. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -220,7 +238,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     n = classes.count()
     drawn = classes.orderBy(F.xxhash64("rep", F.lit(29)), "rep").limit(SAMPLE).select("embedding").toPandas()
     depth = int(np.ceil(np.log2(min(CELLS, max(1, n / TILE)))))
-    tree = Tree((_unit(_matrix(drawn["embedding"])) @ turn)[:, :LEAD], depth)
+    tree = Tree((_unit(_matrix(drawn["embedding"], len(turn))) @ turn)[:, :LEAD], depth)
     element = classes.schema["embedding"].dataType.simpleString()
     celled = scratch.save(classes.mapInPandas(_celled(turn, tree), f"embedding {element}, rep long, copies long, cell int, lead array<double>"), "cells")
     lead = range(min(LEAD, turn.shape[0]))
@@ -228,8 +246,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.count("*").alias("n"),
         F.array(*[F.min(F.col("lead")[i]) for i in lead]).alias("low"),
         F.array(*[F.max(F.col("lead")[i]) for i in lead]).alias("high"),
+        F.array(*[F.avg(F.col("lead")[i]) for i in lead]).alias("centre"),
     )
-    boxes = boxes.toPandas()
+    off = F.aggregate(F.zip_with("lead", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    balls = celled.join(F.broadcast(boxes.select("cell", "centre")), "cell").groupBy("cell").agg(F.sqrt(F.max(off)).alias("radius"))  # a row a cell
+    boxes = boxes.join(balls, "cell").toPandas()
     tiles = dict(zip(boxes["cell"], (-(-boxes["n"] // TILE)).astype(int), strict=True))
     visits = []
     for a, b in near_cells(boxes, cosine):
