@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import fresh, ship_code
-from .textkit import chunks
+from .textkit import chunks, mix
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Bounds of the training sample: rows, characters a row, languages.
-MAX_ROWS, MAX_CHARS, MAX_LANGS = 6000, 512, 256
+#: Bound of the training sample, in windows.
+MAX_ROWS = 12_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -32,26 +32,6 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_sample(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_langs: int = MAX_LANGS) -> pd.DataFrame:
-    """A bounded sample (text, lang) of labelled rows, about as many of each language, one excerpt a row.
-
-    The excerpt lies anywhere in the text. The rows chosen depend on doc_id alone.
-    """
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], max_rows / len(counts) / row["count"]).otherwise(share)
-    draw = F.xxhash64("doc_id", F.lit("language sample"))
-    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
-    excerpt = F.substring("text", (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(max_chars))
-    chosen = labelled.filter(F.pmod(draw, F.lit(1_000_003)) < share * 1_000_003).select(draw.alias("draw"), "doc_id", excerpt.alias("text"), "lang")
-    rows = chosen.orderBy("draw", "doc_id", "text").limit(max_rows).toPandas()
-    return rows[["text", "lang"]]
-
-
 def cut_windows(parts: list[bytes], window: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text index of windows that cover all the bytes of the joined parts; neighbours overlap."""
     size = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -67,6 +47,40 @@ def gather_windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, window:
     return np.where(place < end[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
 
 
+def _drawn(share: dict[str, float]):
+    """Windows of whole texts that a hash of row and place draws, at the share of their language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, langs, keys = pdf["text"].tolist(), pdf["lang"].tolist(), pdf["key"].to_numpy().view(np.uint64)
+            for lo, hi in chunks(texts, 1_000_000):
+                parts = [t.encode("utf-8", "replace") for t in texts[lo:hi]]
+                start, end, doc = cut_windows(parts)
+                with np.errstate(over="ignore"):
+                    draw = mix(keys[lo:hi][doc] + np.arange(len(doc), dtype=np.uint64)) >> np.uint64(11)
+                at = np.flatnonzero(draw < np.array([share[x] for x in langs[lo:hi]])[doc] * 2.0**53)
+                raw = b"".join(parts)
+                yield pd.DataFrame({"draw": draw[at].astype(np.int64), "lang": [langs[lo + i] for i in doc[at]], "window": [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]})
+
+    return run
+
+
+def training_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> pd.DataFrame:
+    """A bounded sample (window, lang) of the windows of all labelled rows that aren't held out, as many of each
+    language. Windows are drawn from anywhere in a text; which ones depends on doc_id and text alone.
+
+    To the driver come one count a language and max_rows windows at most."""
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    step = WINDOW - max(WIDTHS) + 1
+    windows = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - max(WIDTHS) + 1) / step))
+    counts = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.sum(windows).alias("n")).collect()}
+    if not counts:
+        return pd.DataFrame({"window": [], "lang": []})
+    share = {lang: min(1.0, max_rows / len(counts) / n) for lang, n in counts.items()}
+    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).mapInPandas(_drawn(share), "draw long, lang string, window binary")
+    return rows.orderBy("draw", "window").limit(max_rows).toPandas()[["window", "lang"]]
+
+
 class ByteNet:
     """Filters of several widths over one-hot bytes (byte 0 pads), max pooling, rectifier, softmax."""
 
@@ -99,7 +113,7 @@ class ByteNet:
             out[i : i + 64] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, least_steps: int = 800, rate: float = 0.01, seed: int = 11) -> ByteNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, least_steps: int = 800, rate: float = 0.01, seed: int = 11) -> ByteNet:
         """Adam on the cross-entropy; the gradient of max pooling goes to the place of the maximum. A small
         sample is gone through more often, for least_steps in all."""
         rng = np.random.default_rng(seed)
@@ -110,7 +124,8 @@ class ByteNet:
         for _ in range(max(epochs, -(-least_steps // parts))):
             for at in np.array_split(rng.permutation(len(x)), parts):
                 step += 1
-                z, where = self.pooled(x[at], self.pair_tables(), arg=True)
+                batch = x[at]
+                z, where = self.pooled(batch, self.pair_tables(), arg=True)
                 h = np.maximum(z, 0)
                 logits = h @ self.out + self.out_bias
                 p = np.exp(logits - logits.max(1, keepdims=True))
@@ -120,8 +135,10 @@ class ByteNet:
                 dz = np.split((p @ self.out.T) * (z > 0), len(WIDTHS), axis=1)
                 grads = [np.zeros_like(w) for w in self.weights]
                 for grad, place, g in zip(grads, where, dz, strict=True):
+                    rows, column = np.arange(len(at))[:, None], np.arange(g.shape[1])[None, :]
                     for j in range(len(grad)):
-                        np.add.at(grad[j], (x[at][np.arange(len(at))[:, None], place + j], np.arange(g.shape[1])[None, :]), g)
+                        byte = batch[rows, place + j].astype(np.int64)
+                        grad[j] = np.bincount((byte * g.shape[1] + column).ravel(), g.ravel(), grad[j].size).reshape(grad[j].shape)
                 grads += [g.sum(0) for g in dz] + [h.T @ p, p.sum(0)]
                 for k, (param, grad) in enumerate(zip(params, grads, strict=True)):
                     first[k] = 0.9 * first[k] + 0.1 * grad
@@ -156,11 +173,12 @@ class ByteNet:
 
 def train(docs: DataFrame, **bounds: int) -> ByteNet:
     """A network for the languages of docs, learned from text and lang of rows that aren't held out."""
+    ship_code(docs.sparkSession)
     sample = training_sample(docs, **bounds)
     langs = sorted(sample.lang.unique())
     net = ByteNet(langs)
     if len(langs) > 1:
-        parts = [t.encode("utf-8", "replace") for t in sample.text]
+        parts = [bytes(w) for w in sample.window]
         start, end, doc = cut_windows(parts)
         x = gather_windows(np.frombuffer(b"".join(parts) or b"\0", np.uint8), start, end)
         net.fit(x, np.searchsorted(langs, sample.lang)[doc])

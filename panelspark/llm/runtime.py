@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import shared_dir, ship_code
 
+__all__ = ["Scratch", "fresh", "ship_code"]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []
