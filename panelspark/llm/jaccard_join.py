@@ -30,14 +30,18 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TOKENS, BRANCH, DEPTH = 32, 2, 3
 #: Sets in a bucket, and shingles in it, that are compared at once.
 TILE_SETS, TILE_SHINGLES = 1024, 4_000_000
+DEAL_BYTES = 8_000_000
 _MULTIPLIERS = (np.random.default_rng(5).integers(1, 2**31, TOKENS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
 def runs_for(recall: float, similarity: float) -> int:
     """Runs so that a pair at the threshold shares a bucket in one of them with the probability recall,
-    even if each run splits it DEPTH times."""
+    even if each run splits it DEPTH times. More than TOKENS, one a run, are an error: ask for less recall."""
     stay = 1 - (1 - similarity) ** BRANCH
-    return min(TOKENS, math.ceil(math.log(1 - recall) / math.log(1 - similarity * stay**DEPTH)))
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - similarity * stay**DEPTH)) if similarity < 1 else 1
+    if runs > TOKENS:
+        raise ValueError(f"recall {recall} at similarity {similarity} takes {runs} runs; at most {TOKENS} can be made")
+    return runs
 
 
 def shingles(texts: list, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -173,21 +177,25 @@ def _candidates(similarity: float):
 
 
 def _deal(width: int):
-    """The shingles of a document for each tile that compares it."""
+    """The shingles of a document for each tile that compares it, about DEAL_BYTES at once."""
+    columns = [*KEY, "tile", "rep", "copies", "n", "paths", "shingles"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo, hi in chunks(texts, 500_000):
                 flat, first = shingles(texts[lo:hi], width)
-                rows = [
-                    (p["path"], p["ti"], p["tj"], p["tile"], rep, copies, len(own) // 8, paths, own)
-                    for i, (rep, copies, paths, places) in enumerate(pdf[["rep", "copies", "paths", "places"]].iloc[lo:hi].itertuples(index=False))
-                    for own in [flat[first[i] : first[i + 1]].tobytes()]
-                    for p in places
-                ]
-                for k in range(0, len(rows), 2000):
-                    yield pd.DataFrame(rows[k : k + 2000], columns=[*KEY, "tile", "rep", "copies", "n", "paths", "shingles"])
+                rows, size = [], 0
+                for i, (rep, copies, paths, places) in enumerate(pdf[["rep", "copies", "paths", "places"]].iloc[lo:hi].itertuples(index=False)):
+                    own = flat[first[i] : first[i + 1]].tobytes()
+                    for p in places:
+                        rows.append((p["path"], p["ti"], p["tj"], p["tile"], rep, copies, len(own) // 8, paths, own))
+                        size += len(own) + len(paths)
+                        if size > DEAL_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return run
 
