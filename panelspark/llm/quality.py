@@ -145,11 +145,12 @@ def classify(docs: DataFrame, neighbours: Neighbours) -> DataFrame:
     with the three names are replaced. An empty table gives an empty one.
     """
     ship_code(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(neighbours)  # MAX_ROWS vectors of LATENT coordinates, and the axes
 
     @F.pandas_udf("double")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(neighbours.score(texts.tolist()))
+            yield pd.Series(sent.value.score(texts.tolist()))
 
     scored = docs.withColumn("score", apply(F.col("text")))
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
