@@ -40,11 +40,12 @@ def forest_fit(df: DataFrame, features: Sequence[str], y: str, weight: str | Non
     return _fit(RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), df, features, y, weight)
 
 
-def gbt_fit(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, validation: str | None = None, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 0) -> Fitted:
+def gbt_fit(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, validation: str | None = None, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 0, sample: float = 0.8, columns: str = "0.8") -> Fitted:
     """Boosted trees. With validation, a boolean column, they stop when its rows' error stops falling.
 
-    Columns are sampled per node and there are no penalties on leaves: not the model of other boosting libraries."""
-    estimator = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    sample and columns: shares of rows a round and of columns a node, "all" for no sampling. There are no
+    penalties on leaves: not the model of other boosting libraries."""
+    estimator = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=columns, seed=seed)
     return _fit(estimator.setValidationIndicatorCol(validation) if validation else estimator, df, features, y, weight)
 
 

@@ -69,6 +69,55 @@ def _(t):
     return E.evaluate(fitted.transform(rows).withColumnRenamed("y", "y_true"), ["split"])
 
 
+_LEVELS = ("kind", "flag", "slot")
+
+
+def _split_sql(name: str, source: str, target: str) -> str:
+    """Table expressions ending in <name>_b (f, v, ml, mr): the column and value of the best first split of target,
+    and the means on its sides. The columns have few values, so that a tree tries every place between them."""
+    values = " UNION ALL ".join(f"SELECT '{c}' AS f, CAST({c} AS DOUBLE) AS v, {target} AS t FROM {source}" for c in _LEVELS)
+    return f"""{name}_c AS (SELECT f, v, count(*) AS n, sum(t) AS s FROM ({values}) u GROUP BY f, v),
+    {name}_w AS (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v) AS nl, sum(s) OVER (PARTITION BY f ORDER BY v) AS sl, sum(n) OVER (PARTITION BY f) AS nn, sum(s) OVER (PARTITION BY f) AS ss FROM {name}_c),
+    {name}_b AS (SELECT f, v, sl / nl AS ml, (ss - sl) / (nn - nl) AS mr FROM {name}_w WHERE nl < nn ORDER BY sl * sl / nl + (ss - sl) * (ss - sl) / (nn - nl) DESC LIMIT 1)"""
+
+
+_SIDE = "CASE WHEN CASE f WHEN 'kind' THEN kind WHEN 'flag' THEN flag ELSE slot END <= v THEN ml ELSE mr END"
+_TREE_SCORES = "count(*) AS n, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae, round(1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 4) AS r2"
+
+
+@query("O_M2_one_split", f"WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql('one', 'tr', 'y')}, e AS (SELECT split, y, {_SIDE} AS p FROM marked, one_b) SELECT split, {_TREE_SCORES} FROM e GROUP BY split")
+def _(t):
+    fitted = M.tree_fit(t.marked.filter("split = 'train'"), _LEVELS, "y", depth=1)
+    return _rounded(E.evaluate(fitted.transform(t.marked).withColumnRenamed("y", "y_true"), ["split"]), [], 4)
+
+
+@query("O_M3_two_rounds", f"""WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql('one', 'tr', 'y')}, res AS (SELECT kind, flag, slot, 2 * (y - {_SIDE}) AS z FROM tr, one_b), {_split_sql('two', 'res', 'z')},
+    f AS (SELECT split, kind, flag, slot, y, {_SIDE} AS p1 FROM marked, one_b), e AS (SELECT split, y, p1 + 0.1 * {_SIDE} AS p FROM f, two_b) SELECT split, {_TREE_SCORES} FROM e GROUP BY split""")
+def _(t):
+    fitted = M.gbt_fit(t.marked.filter("split = 'train'"), _LEVELS, "y", rounds=2, depth=1, sample=1.0, columns="all")
+    return _rounded(E.evaluate(fitted.transform(t.marked).withColumnRenamed("y", "y_true"), ["split"]), [], 4)
+
+
+#: Ridge on windows of two steps of x: the earlier step's availability and value, the own value; the own availability
+#: is constant and has no part.
+_WINDOW_FIT = """f AS (SELECT m.row_id, m.split, m.y, CASE WHEN p.k IS NULL THEN 0.0 ELSE 1.0 END AS a, coalesce(p.x, 0.0) AS b, m.x AS c FROM marked m LEFT JOIN daily p ON p.k = m.k AND p.tick = m.tick - 1),
+    s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, regr_sxx(a, a) + 10 AS aa, regr_sxy(a, b) AS ab, regr_sxy(a, c) AS ac, regr_sxx(b, b) + 10 AS bb, regr_sxy(b, c) AS bc, regr_sxx(c, c) + 10 AS cc, regr_sxy(a, y) AS ra, regr_sxy(b, y) AS rb, regr_sxy(c, y) AS rc FROM f WHERE split = 'train'),
+    d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+    g AS (SELECT *, (ra * (bb * cc - bc * bc) - ab * (rb * cc - bc * rc) + ac * (rb * bc - bb * rc)) / det AS ba, (aa * (rb * cc - rc * bc) - ra * (ab * cc - bc * ac) + ac * (ab * rc - rb * ac)) / det AS bb2, (aa * (bb * rc - bc * rb) - ab * (ab * rc - rb * ac) + ra * (ab * bc - bb * ac)) / det AS bc2 FROM d),
+    h AS (SELECT ba, bb2, bc2, my - ba * ma - bb2 * mb - bc2 * mc AS b0 FROM g)"""
+
+
+def _two_steps(t):
+    rows = reshape.sequence_windows(t.marked, "k", "tick", ["x"], 1, 2)
+    return M.window_ridge(rows, ["x"], "y", 2, 10.0, F.col("split") == "train")
+
+
+@query("O_M4_two_steps", f"WITH {_WINDOW_FIT}, e AS (SELECT split, y, b0 + ba * a + bb2 * b + bc2 * c AS p FROM f, h) SELECT split, {_TREE_SCORES} FROM e GROUP BY split")
+def _(t):
+    model, flat = _two_steps(t)
+    return _rounded(E.evaluate(model.transform(flat).withColumnRenamed("y", "y_true"), ["split"]), [], 4)
+
+
 @query("O_M4_window_ridge")
 def _(t):
     rows = reshape.sequence_windows(t.marked, "k", "tick", ["x", "y"], 1, 3)
@@ -297,6 +346,14 @@ def _(t):
     return _rounded(X.window_importance(flat, model, ["x"], 2, "row_id", "target", 1), [], 6)
 
 
+@query("O_X9_two_steps", f"""WITH {_WINDOW_FIT}, o AS (SELECT *, row_id % 64 AS bk, row_number() OVER (PARTITION BY row_id % 64 ORDER BY row_id) AS n, row_number() OVER (PARTITION BY row_id % 64 ORDER BY (row_id * 7919) % 1000003, row_id) AS m FROM f),
+    j AS (SELECT o.y, o.a, o.b, o.c, q.a AS a2, q.b AS b2, q.c AS c2 FROM o JOIN o q ON q.bk = o.bk AND q.m = o.n), p AS (SELECT y, b0 + ba * a + bb2 * b + bc2 * c AS p, b0 + ba * a2 + bb2 * b2 + bc2 * c AS p0, b0 + ba * a + bb2 * b + bc2 * c2 AS p1 FROM j, h),
+    r AS (SELECT sum(pow(y - p, 2)) AS e, sum(pow(y - p0, 2)) AS e0, sum(pow(y - p1, 2)) AS e1, sum(y * y) - sum(y) * sum(y) / count(*) AS t FROM p) SELECT 'position 0' AS family, round((e0 - e) / t, 4) AS drop_mean, 0.0 AS drop_sd FROM r UNION ALL SELECT 'position 1', round((e1 - e) / t, 4), 0.0 FROM r""")
+def _(t):
+    model, flat = _two_steps(t)
+    return _rounded(X.window_importance(flat, model, ["x"], 2, "row_id", "y", 1), [], 4)
+
+
 @query("O_X10_rank_agreement", """WITH s AS (SELECT CAST(kind AS VARCHAR) AS m, month(d) AS f, avg(y) AS v FROM daily GROUP BY 1, 2), j AS (SELECT a.m AS a, b.m AS b, a.f, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.f = b.f AND a.m < b.m), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) AS rb FROM j) SELECT a, b, count(*) AS n, round(corr(ra, rb), 5) AS rho FROM r GROUP BY a, b""")
 def _(t):
     scores = t.daily.groupBy(F.col("kind").cast("string").alias("method"), F.month("d").alias("family")).agg(F.avg("y").alias("value"))
@@ -309,6 +366,12 @@ def _(t):
     return M.tree_importance(M.tree_fit(rows, ["x", "wind", "rain"], "y"), rows)
 
 
+@query("O_X11_one_split", f"WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql('one', 'tr', 'y')} SELECT c AS feature, CASE WHEN c = (SELECT f FROM one_b) THEN 1.0 ELSE 0.0 END AS importance FROM (VALUES ('kind'), ('flag'), ('slot')) AS v(c)")
+def _(t):
+    rows = t.marked.filter("split = 'train'")
+    return M.tree_importance(M.tree_fit(rows, _LEVELS, "y", depth=1), rows)
+
+
 @query("O_H1_event_effect", f"""WITH z AS (SELECT k % 23 AS g, CAST(flag AS DOUBLE) AS x, wind, ln(1 + y) AS y FROM daily), s AS (SELECT {_SUMS} FROM z), f AS ({_ridge_sql('s', '0')}), w AS (SELECT CAST(g AS VARCHAR) AS g, {_SUMS} FROM z GROUP BY g), i AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS c FROM w), r AS (SELECT unnest(range(1, 21)) AS rnd),
     t AS (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || pos || ':2'), 1, 15) AS BIGINT) % c AS pick FROM i, r), u AS (SELECT t.rnd, sum(n) AS n, sum(sx) AS sx, sum(sz) AS sz, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxz) AS sxz, sum(szz) AS szz, sum(sxy) AS sxy, sum(szy) AS szy FROM t JOIN i ON i.pos = t.pick GROUP BY t.rnd), v AS ({_ridge_sql('u', '0')})
     SELECT round(100 * (exp(f.bx) - 1), 5) AS effect_pct, round(quantile_cont(100 * (exp(v.bx) - 1), 0.025), 5) AS low, round(quantile_cont(100 * (exp(v.bx) - 1), 0.975), 5) AS high, CAST((SELECT count(*) FROM w) AS INTEGER) AS windows, 20 AS rounds FROM v, f GROUP BY f.bx""")
