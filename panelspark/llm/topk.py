@@ -241,7 +241,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     pivots = choose_pivots(sample, min(PIVOTS, max(16, round(sizes[0]["n"] ** 0.5))))
     index = scratch.save(whole.mapInPandas(_keyed(pivots, layout), "vec_id long, pivot int, distance double, norm double, x binary"), "index")
     cells = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"), F.max("norm").alias("norm")).toPandas()
-    cells = make_groups(cells, pivots, GROUP)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = make_groups(cells, pivots, min(GROUP, max(ANNULUS, -(-sizes[0]["n"] // tasks))))  # fewer rows a group while tasks would idle
     # a row a pivot, PIVOTS at most
     dealt = F.broadcast(spark.createDataFrame(cells[["pivot", "first", "parts"]].astype(int), "pivot int, first int, parts int"))
     group = (F.col("first") + F.pmod(F.xxhash64("vec_id", "x"), F.col("parts"))).cast("int")
