@@ -59,6 +59,8 @@ def _drawn(share: dict[str, float]):
                 with np.errstate(over="ignore"):
                     draw = mix(keys[lo:hi][doc] + np.arange(len(doc), dtype=np.uint64)) >> np.uint64(11)
                 at = np.flatnonzero(draw < np.array([share[x] for x in langs[lo:hi]])[doc] * 2.0**53)
+                if not len(at):
+                    continue
                 raw = b"".join(parts)
                 yield pd.DataFrame({"draw": draw[at].astype(np.int64), "lang": [langs[lo + i] for i in doc[at]], "window": [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]})
 
