@@ -528,6 +528,8 @@ def test_training_windows_are_of_whole_texts(spark):
     assert len(sample) <= 60 and set(sample.lang) == {"long", "rare"}
     places = {long.find(bytes(w).decode()) // 1000 for w in sample.window[sample.lang == "long"]}
     assert len(places) > 4  # from all parts of the texts
+    none = lang_id.training_sample(df.repartition(40).withColumn("lang", F.lit("long")), max_rows=1)
+    assert len(none) <= 1  # most tasks draw nothing
 
 
 def test_jaccard_runs_are_never_capped():
