@@ -144,11 +144,9 @@ def search_alpha(df: DataFrame, features: Sequence[str], y: str, alphas: Sequenc
     return df.sparkSession.createDataFrame(rows, "alpha double, rmse_train double, rmse_validation double, rmse_test double, best boolean")
 
 
-def learning_curve(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, tick: str, steps: int = 5, split: str = "split") -> DataFrame:
-    """(fraction, n, rmse_train, rmse_validation) of fits on growing prefixes of each entity's train rows.
-
-    A row's bucket is the first prefix that holds it; the buckets' Gram matrices are added up. Errors of
-    splits without rows are NULL."""
+def _prefix_fits(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, tick: str, steps: int, split: str) -> tuple[list[tuple[float, np.ndarray, np.ndarray]], np.ndarray]:
+    """(fraction, Gram matrix, coefficients) of the fit on each prefix of the entities' train rows, and the matrix of
+    the validation rows. A row's bucket is the first prefix that holds it; the buckets' matrices are added up."""
     from pyspark.sql import Window as W
 
     r = F.row_number().over(W.partitionBy(k, split).orderBy(tick))
@@ -158,14 +156,37 @@ def learning_curve(df: DataFrame, features: Sequence[str], y: str, alpha: float,
     rows = df.withColumns({"_r": r, "_n": n}).withColumn("_b", bucket).filter(F.col("_b").isNotNull())
     size = len(features) + 2
     made = grams_by_group(gram(rows, features, y, None, "_b"), size)
-    total, out = np.zeros((size, size)), []
+    total, fits = np.zeros((size, size)), []
     for s in range(1, steps + 1):
         total = total + _of(made, str(s), size)
-        beta = solve(total, alpha)
-        out.append((s / steps, int(total[0, 0]), _scores(total, beta)[0], _scores(_of(made, "validation", size), beta)[0]))
+        fits.append((s / steps, total, solve(total, alpha)))
+    return fits, _of(made, "validation", size)
+
+
+def learning_curve(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, tick: str, steps: int = 5, split: str = "split") -> DataFrame:
+    """(fraction, n, rmse_train, rmse_validation) of fits on growing prefixes of each entity's train rows. Errors of
+    splits without rows are NULL."""
+    fits, validation = _prefix_fits(df, features, y, alpha, k, tick, steps, split)
+    out = [(f, int(m[0, 0]), _scores(m, beta)[0], _scores(validation, beta)[0]) for f, m, beta in fits]
     return df.sparkSession.createDataFrame(out, "fraction double, n long, rmse_train double, rmse_validation double")
 
 
+def learning_curve_by_entity(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, tick: str, steps: int = 5, split: str = "split") -> DataFrame:
+    """(fraction, entity, n, rmse, r2) of learning_curve's fits on the validation rows of each entity that has any.
+
+    Each entity's matrix is scored in a task; r2 is NULL for a constant target."""
+    fits, _ = _prefix_fits(df, features, y, alpha, k, tick, steps, split)
+    size = len(features) + 2
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = square(pdf, size)
+        rows = [(f, pdf["g"].iloc[0], int(own[0, 0]), *_scores(own, beta)) for f, _, beta in fits]
+        return pd.DataFrame(rows, columns=["fraction", "entity", "n", "rmse", "r2"]).astype({"rmse": float, "r2": float})
+
+    table = gram(df.filter(F.col(split) == "validation"), features, y, None, k)
+    return table.groupBy("g").applyInPandas(scored, "fraction double, entity string, n long, rmse double, r2 double")
+
+
 def leave_one_entity_out(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, min_rows: int = 30) -> DataFrame:
     """(entity, n, rmse, r2) of the ridge fitted on all other entities, exactly: all less the entity's matrix.
 

@@ -162,6 +162,14 @@ def _(t):
     return _rounded(G.learning_curve(t.marked, ["x", "wind"], "y", 10.0, "k", "tick"), [], 5)
 
 
+@query("O_M7_curve_by_entity", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY k, split ORDER BY tick) AS r, count(*) OVER (PARTITION BY k, split) AS c FROM marked), f AS (SELECT unnest([1, 2, 3, 4, 5]) AS st),
+    s AS (SELECT st, {_SUMS} FROM m, f WHERE split = 'train' AND r <= greatest(1, ceil(c * st / 5.0)) GROUP BY st), b AS ({_ridge_sql('s', '10')})
+    SELECT b.st / 5.0 AS fraction, CAST(m.k AS VARCHAR) AS entity, count(*) AS n, round(sqrt(avg(pow(m.y - b0 - bx * m.x - bz * m.wind, 2))), 4) AS rmse,
+    CASE WHEN sum(m.y * m.y) - sum(m.y) * sum(m.y) / count(*) > 1e-9 THEN round(1 - sum(pow(m.y - b0 - bx * m.x - bz * m.wind, 2)) / (sum(m.y * m.y) - sum(m.y) * sum(m.y) / count(*)), 4) END AS r2 FROM m, b WHERE m.split = 'validation' GROUP BY b.st, m.k""")
+def _(t):
+    return _rounded(G.learning_curve_by_entity(t.marked, ["x", "wind"], "y", 10.0, "k", "tick"), [], 4)
+
+
 @query("O_M8_leave_one_entity_out", f"""WITH o AS (SELECT k, {_SUMS} FROM daily GROUP BY k), a AS (SELECT {_SUMS} FROM daily), s AS (SELECT o.k, a.n - o.n AS n, a.sx - o.sx AS sx, a.sz - o.sz AS sz, a.sy - o.sy AS sy, a.sxx - o.sxx AS sxx, a.sxz - o.sxz AS sxz, a.szz - o.szz AS szz, a.sxy - o.sxy AS sxy, a.szy - o.szy AS szy FROM o, a), b AS ({_ridge_sql('s', '10')})
     SELECT CAST(d.k AS VARCHAR) AS entity, count(*) AS n, round(sqrt(avg(pow(y - b0 - bx * x - bz * wind, 2))), 5) AS rmse, round(1 - sum(pow(y - b0 - bx * x - bz * wind, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 5) AS r2 FROM daily d JOIN b ON b.k = d.k GROUP BY d.k HAVING count(*) >= 30""")
 def _(t):

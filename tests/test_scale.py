@@ -124,6 +124,7 @@ def test_splits_without_rows(spark):
         found = gram.search_alpha(df, ["x"], "y", [1.0, 2.0]).collect()
         assert len(found) == 2 and not any(r["best"] for r in found)
         assert gram.learning_curve(df, ["x"], "y", 1.0, "k", "tick").count() == 5
+        assert gram.learning_curve_by_entity(df, ["x"], "y", 1.0, "k", "tick").count() == 0
         assert gram.ablation(df, {"a": ["x"]}, "y", 1.0).count() == 2
         assert gram.leave_one_entity_out(df, ["x"], "y", 1.0, "k", 10).count() == df.select("k").distinct().count()
         assert events.event_effect(df.withColumn("w", F.lit("a")), "flag", [], "y", "w", 5).count() == 1
