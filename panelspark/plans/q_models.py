@@ -11,7 +11,7 @@ from ..operators import explain as X
 from ..operators import gram as G
 from ..operators import models as M
 from ..operators import reshape
-from ..operators.windows import pick_cases, sample_rows
+from ..operators.windows import pick_cases
 from .q_joins import _rounded
 from .q_scalars import r6
 from .testbed import query
@@ -279,12 +279,11 @@ def _(t):
     return _rounded(X.linear_attribution(t.daily, LINEAR, "row_id"), [], 5)
 
 
-@query("O_X2_family_shapley", """WITH s AS (SELECT * FROM daily ORDER BY (row_id * 7919 + 104729) % 1000003, row_id LIMIT 1000) SELECT row_id, 'drivers' AS family, round(1.5 * (x - avg(x) OVER ()), 5) AS phi FROM s UNION ALL SELECT row_id, 'weather', round(-0.25 * (wind - avg(wind) OVER ()) + 0.5 * (rain - avg(rain) OVER ()), 5) FROM s""")
-def _(t):
-    return _rounded(X.family_shapley(sample_rows(t.daily, "row_id", 1000, 1), LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
+_SHAPLEY = """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind, avg(rain) AS rain FROM daily) SELECT row_id, 'drivers' AS family, round(1.5 * (d.x - m.x), 5) AS phi FROM daily d, m UNION ALL SELECT row_id, 'weather', round(-0.25 * (d.wind - m.wind) + 0.5 * (d.rain - m.rain), 5) FROM daily d, m"""
 
 
-@query("O_X2_family_shapley_all", """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind, avg(rain) AS rain FROM daily) SELECT row_id, 'drivers' AS family, round(1.5 * (d.x - m.x), 5) AS phi FROM daily d, m UNION ALL SELECT row_id, 'weather', round(-0.25 * (d.wind - m.wind) + 0.5 * (d.rain - m.rain), 5) FROM daily d, m""")
+@query("O_X2_family_shapley", _SHAPLEY)
+@query("O_X2_family_shapley_all", _SHAPLEY)
 def _(t):
     return _rounded(X.family_shapley(t.daily, LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
 
