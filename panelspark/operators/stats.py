@@ -182,10 +182,15 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for pdf in batches:
             for lo in range(0, len(pdf), 10_000):
                 x = pdf.iloc[lo : lo + 10_000].to_numpy(float, na_value=np.nan) - shift
-                there = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x)
-                s, q = x.T @ there, (x * x).T @ there  # [i, j]: of column i where j is there too
-                held += np.stack([m[first, second] for m in (there.T @ there, s, s.T, q, q.T, x.T @ x)])
+                gone = np.isnan(x)
+                if gone.any():
+                    there = (~gone).astype(float)
+                    x[gone] = 0
+                    n, s, q = there.T @ there, x.T @ there, (x * x).T @ there  # [i, j]: of column i where j is there too
+                else:
+                    square = (len(columns), len(columns))
+                    n, s, q = np.full(square, float(len(x))), *(np.broadcast_to(v[:, None], square) for v in (x.sum(0), (x * x).sum(0)))
+                held += np.stack([m[first, second] for m in (n, s, s.T, q, q.T, x.T @ x)])
         yield pd.DataFrame({"i": np.arange(len(first)), **dict(zip(names, held, strict=True))})
 
     total = rows.mapInPandas(sums, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
