@@ -58,11 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over documents; each result is written and read again."""
+    """The stages, one after the other, over documents; each result is written and read again, and removed when
+    the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.save(docs, name)
+            if i:
+                scratch.drop(STAGES[i - 1][0])
     return docs
