@@ -30,9 +30,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -43,6 +43,11 @@ class Scratch:
         self.spark.sql(f"DROP TABLE {table}")
         return saved
 
+    def folder(self, name: str) -> None:
+        """Make a folder for files that tasks write themselves."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
     def drop(self, name: str) -> None:
         """Remove a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
