@@ -279,7 +279,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     is the smallest doc_id reachable by links. A document of fewer than width words has one n-gram
     of them all. Null, empty and blank texts have no n-grams and no links. A null doc_id is linked
     with nothing and keeps a null class. Repeated rows are copies of each other; a doc_id with
-    several texts is one document with the links of each. Other columns of docs are ignored.
+    several texts is one document with the links of each; its rows without words have none. Other columns of docs are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -314,5 +314,6 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     rows = member.join(linked, "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    rest = docs.join(sets.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    wordless = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rest = docs.filter(wordless).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows.unionByName(rest)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import fresh, ship_code
@@ -69,18 +70,21 @@ def _drawn(share: dict[str, float]):
 
 def training_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> pd.DataFrame:
     """A bounded sample (window, lang) of the windows of all labelled rows that aren't held out, as many of each
-    language. Windows are drawn from anywhere in a text; which ones depends on doc_id and text alone.
+    language; a language with fewer than its share of max_rows keeps them all. Windows are drawn from anywhere in a text;
+    which ones depends on doc_id and text alone.
 
-    To the driver come one count a language and max_rows windows at most."""
+    To the driver come one count a language and max_rows windows at most, or one a language."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     step = WINDOW - max(WIDTHS) + 1
     windows = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - max(WIDTHS) + 1) / step))
     counts = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.sum(windows).alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"window": [], "lang": []})
-    share = {lang: min(1.0, max_rows / len(counts) / n) for lang, n in counts.items()}
+    quota = max(1, max_rows // len(counts))
+    share = {lang: min(1.0, quota / n) for lang, n in counts.items()}
     rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).mapInPandas(_drawn(share), "draw long, lang string, window binary")
-    return rows.orderBy("draw", "window").limit(max_rows).toPandas()[["window", "lang"]]
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "window"))  # of some more than the quota at most
+    return rows.withColumn("place", place).filter(F.col("place") <= quota).orderBy("draw", "window").toPandas()[["window", "lang"]]
 
 
 class ByteNet:

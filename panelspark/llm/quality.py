@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Neigh
 
     Up to max_rows rows are drawn by a hash of doc_id, whatever their label, so that votes and prior
     have the labels' own ratio for any number of rows; a row with several labels counts as the largest,
-    a null label as none. Term weights are of all rows of docs.
+    a null label as none; of a doc_id's texts the least is taken. Term weights are of all rows of docs.
     """
     ship_code(docs.sparkSession)
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -131,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Neigh
                 x = weighted(texts[lo:hi], idf)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi], "quality": pdf["quality"].iloc[lo:hi], "x": [v.tobytes() for v in x]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(vectors, "doc_id long, quality int, x binary").toPandas()
-    rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.mapInPandas(vectors, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id")
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]) if len(rows) else np.zeros((0, TERMS), np.float32)
     return Neighbours(x, rows["quality"].to_numpy(np.float64), idf)
 
