@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import quality
 from panelspark.operators import evaluate
 from panelspark.plans import q_joins, q_models, registry, testbed
 
@@ -31,14 +30,6 @@ def test_many_rounds_of_many_blocks(spark):
     assert evaluate.resample(blocks, 200, 3).count() == 200  # round x place x 613 is beyond 32 bits
 
 
-def test_quality_has_the_ratio_of_labels_at_any_size(spark):
-    docs = spark.createDataFrame([(i, f"some words number {i % 7}") for i in range(2000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(2000)], "doc_id long, quality int")
-    whole, part = quality.train(docs, labels), quality.train(docs, labels, max_rows=400)
-    assert len(part.labels) == 400 and part.prior == pytest.approx(whole.prior, abs=0.05) and whole.prior == pytest.approx(0.875, abs=0.03)
-    assert part.score([""])[0] == part.prior and float(np.mean(part.labels)) > 0.8
-
-
 def test_monitor_table_has_every_row_and_several_files(spark, monkeypatch):
     made, merge = [], "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(merge, "false")
