@@ -10,6 +10,10 @@ none, a plain branch goes if its host repeats it, one that is named as a header
 its pages differ in it. What differs from page to page and still isn't main text (menus, adverts,
 forms, reader comments) is shifted further than importance can make good.
 
+A name counts only if all its words say the same (`share-buttons`, but neither `share-price` nor
+`no-sidebar`), and never against a branch that holds the page's main part. If names would leave nothing of
+a page, the branches in which its host's pages differ stay whatever their names, but for comments and adverts.
+
 Parsing is linear in the page: no scan goes twice over the same signs, and no stack is searched.
 """
 
@@ -61,6 +65,13 @@ _FIRM_WORDS = set(
     "comment comments commentlist respond disqus reply replies pagination pager login signup".split()
 )
 _SOFT_WORDS = set("banner notice notices overlay header footer masthead social widget widgets search copyright disclaimer toolbar".split())
+_STATE_WORDS = set("no not non has have with without is are hide hidden show open closed js".split())
+#: Words beside which the others keep their meaning.
+_BESIDE_WORDS = set(
+    "list box block wrapper wrap container area section bar inner outer top bottom left right page site global primary secondary main item items link links row col "
+    "column panel group button buttons btn icon icons slot unit zone title heading head foot body text content post posts article articles story stories news thread "
+    "field email mobile desktop fixed sticky small large first last author form".split()
+)
 _MAIN_WORDS = set("article content entry post story text body main title headline image figure caption".split())
 _ARTICLE_WORDS = set("comment comments reply replies ad ads advert sponsored related promo".split())
 
@@ -70,38 +81,56 @@ class Block(NamedTuple):
     text: str
     shift: float  # the lowest of the branch's shifts
     inside: bool  # in an article or main part
+    bare: float  # the lowest shift but for names, comments' and adverts' names among them
+
+
+def _said(name: str) -> tuple[str, list[str]]:
+    """What a class or id name says: firm, soft, main or nothing; and its words."""
+    words = _WORD.findall(name)
+    if not words or words[0] in _STATE_WORDS or words[-1] in _STATE_WORDS or ("sidebar" in words and "content" in words):
+        return "", words  # a state, or a layout of both
+    if all(w in _FIRM_WORDS or w in _SOFT_WORDS or w in _BESIDE_WORDS or len(w) == 1 for w in words):
+        if any(w in _FIRM_WORDS for w in words):
+            return "firm", words
+        if any(w in _SOFT_WORDS for w in words):
+            return ("main" if any(w in _MAIN_WORDS for w in words) else "soft"), words
+    return ("main" if any(w in _MAIN_WORDS for w in words) else ""), words
 
 
 @lru_cache(8192)
-def _describe(tag: str, source: str) -> tuple[str, float]:
-    """A node's name in the tree, and the shift of its tag, role and names."""
-    name, words, role = tag, [], ""
+def _describe(tag: str, source: str) -> tuple[str, float, float, bool]:
+    """A node's name in the tree, the shift of its tag, role and names, that but for names (those of comments and
+    adverts count), and whether it is a main part."""
+    name, said, role = tag, [], ""
     for key, a, b, c in _ATTRIBUTE.findall(source):
         key, value = key.lower(), (a or b or c).lower()
         if key == "role":
             role = value.strip()
         elif key in ("class", "id"):
-            found = _WORD.findall(value)
-            words += found
-            name += ("." if key == "class" else "#") + "-".join(found)
+            found = [_said(x) for x in value.split()]
+            said += found
+            name += ("." if key == "class" else "#") + "-".join(w for _, words in found for w in words)
     if tag in _NEVER_TAGS:
-        return name, NEVER
+        return name, NEVER, NEVER, False
+    if tag == "form" and not role:
+        return name, FIRM, 0.0, False
     if tag in _FIRM_TAGS or role in _FIRM_ROLES:
-        return name, FIRM
+        return name, FIRM, FIRM, False
     if tag in ("html", "body", "main"):
-        return name, 0.0
+        return name, 0.0, 0.0, tag == "main"
+    firm = [words for what, words in said if what == "firm"]
+    beside = FIRM if any(_ARTICLE_WORDS.intersection(words) for words in firm) else 0.0
     if tag == "article":
-        return name, FIRM if _ARTICLE_WORDS.intersection(words) else 0.0
-    firm = any(w in _FIRM_WORDS for w in words)
-    soft = sum(w in _SOFT_WORDS for w in words)
+        return name, beside, beside, beside == 0.0
+    soft = sum(what == "soft" for what, _ in said)
     if tag not in _CONTAINERS:
-        every = bool(words) and all(w in _FIRM_WORDS or w in _SOFT_WORDS for w in words)
-        return name, (FIRM if firm else MILD) if every else 0.0
+        every = bool(said) and len(firm) + soft == len(said)
+        return name, (FIRM if firm else MILD) if every else 0.0, beside if every else 0.0, False
     if firm:
-        return name, FIRM
-    if not soft or any(w in _MAIN_WORDS for w in words):
-        return name, 0.0
-    return name, SOFT if soft == len(words) else MILD
+        return name, FIRM, beside, False
+    if not soft or any(what == "main" for what, _ in said):
+        return name, 0.0, 0.0, role == "main"
+    return name, SOFT if all(w in _SOFT_WORDS for _, words in said for w in words) else MILD, 0.0, False
 
 
 def _hash(*parts: bytes) -> int:
@@ -114,19 +143,27 @@ def _child_path(parent: int, name: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "shift", "inside", "inline", "held")
+    __slots__ = ("tag", "path", "parent", "own", "bare", "part", "holds", "shift", "least", "inside", "inline", "held")
 
     def __init__(self, tag: str, source: str, parent: _Node | None):
-        name, shift = (_describe if len(source) < 1000 else _describe.__wrapped__)(tag, source)
-        inside = bool(parent and parent.inside)
-        if tag == "header" and not inside:
-            shift = FIRM
-        self.tag, self.path = tag, _child_path(parent.path if parent else 0, name)
-        self.shift = min(shift, parent.shift) if parent else shift
-        self.inside = inside or (self.shift >= 0 and (tag in ("article", "main") or 'role="main"' in source))
+        name, self.own, self.bare, self.part = (_describe if len(source) < 1000 else _describe.__wrapped__)(tag, source)
+        self.tag, self.path, self.parent = tag, _child_path(parent.path if parent else 0, name), parent
+        self.holds = False  # whether the page's main part is below
+        self.settle()
         self.inline: list[_Node] = []  # open inline elements since this block began, and how many of each tag
         self.held: dict[str, int] = {}
 
+    def settle(self) -> None:
+        """Shifts from the parent's and the node's own; a node that holds the main part has none by name."""
+        above = self.parent
+        inside = bool(above and above.inside)
+        shift, bare = (self.bare if self.holds else self.own), self.bare
+        if self.tag == "header" and not inside:
+            shift = bare = FIRM
+        self.shift = min(shift, above.shift) if above else shift
+        self.least = min(bare, above.least) if above else bare
+        self.inside = inside or (self.shift >= 0 and self.part)
+
 
 class _Tags:
     """Ends of tags: the first `>` outside quotes; a quote that is never closed is an ordinary sign."""
@@ -159,9 +196,9 @@ class _Tags:
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. Tags that may be left out are closed as browsers do; what isn't
     a tag is text; an unclosed comment or script goes on to the end."""
-    out: list[Block] = []
+    out: list[tuple[_Node, _Node, str]] = []
     root = _Node("", "", None)
-    stack, opened = [root], {"": 1}
+    stack, opened, made, articles = [root], {"": 1}, [root], 0
     text: list[str] = []
     tags, at = _Tags(page), 0
 
@@ -172,7 +209,7 @@ def blocks(page: str) -> list[Block]:
             if joined:
                 top = stack[-1]
                 here = top.inline[-1] if top.inline else top
-                out.append(Block(top.path, joined, here.shift, here.inside))
+                out.append((top, here, joined))
 
     def pop() -> None:
         flush()
@@ -230,6 +267,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _INLINE:
             node = _Node(tag, source, top.inline[-1] if top.inline else top)
+            made.append(node)
             if node.shift < top.shift:
                 flush()
             top.inline.append(node)
@@ -242,21 +280,31 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         parent = top.inline[-1] if top.inline and top.inline[-1].shift < top.shift else top
         node = _Node(tag, source, parent)
+        made.append(node)
+        if node.part and (tag != "article" or not articles):  # the first article, else a main part
+            above = parent
+            while above and not above.holds:
+                above.holds, above = True, above.parent
+        articles += node.part
         if parent is top:
             top.inline, top.held = [], {}  # formatting that is still open doesn't go on
         if not (source.endswith("/>") and tag not in ("p", "div", "li")):
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return out
+    for node in made:  # parents come before their children
+        node.settle()
+    return [Block(top.path, joined, here.shift, here.inside, here.least) for top, here, joined in out]
 
 
 def main_text(page: str, evidence: dict[int, float]) -> str:
     """The page's text without branches that shift and evidence speak against. If evidence alone leaves
-    nothing, as on pages that all of a host's repeat, what isn't shifted stays."""
+    nothing, as on pages that all of a host's repeat, what isn't shifted stays; if names leave nothing, what
+    its host's pages differ in."""
     found = blocks(page)
     kept = [b for b in found if b.shift + PLAIN + (ARTICLE if b.inside and b.shift >= 0 else 0) + evidence.get(b.path, 0.0) >= -1e-9]
-    return "\n".join(b.text for b in kept or [b for b in found if b.shift >= 0])
+    kept = kept or [b for b in found if b.shift >= 0] or [b for b in found if b.bare >= 0 and evidence.get(b.path, 0.0) > 0]
+    return "\n".join(b.text for b in kept)
 
 
 def host(url: F.Column) -> F.Column:
