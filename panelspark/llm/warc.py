@@ -39,6 +39,8 @@ DATE = "1970-01-01T00:00:00Z"
 LEAST, ARCHIVE, LINES, FILES = 0, 1 << 30, 1000, 4096
 #: Captures of a file of blocks, about.
 FILE_ROWS = 1_000_000
+#: Bytes of an archive that one task reads in a row, about.
+READ = 1 << 24
 _LEVEL = 6
 _NAMES = uuid.UUID("6b9f4c1e-53f0-5d0e-8f5c-0f3d6c3a9b11")
 _CAPTURE = "key string, page_id long, file string, offset long, length long, type string"
@@ -193,9 +195,11 @@ def _indexed(folder: str):
 
 @dataclass(frozen=True)
 class CaptureIndex:
-    """Archives and their index in a folder: the files of blocks, in order, with their first and last keys. FILES of them at most."""
+    """Archives and their index in a folder: the files of blocks, in order, with their first and last keys, FILES of them at most;
+    and in how many tasks the archives are read."""
 
     folder: str
+    tasks: int
     files: tuple[str, ...]
     firsts: tuple[str, ...]
     lasts: tuple[str, ...]
@@ -239,7 +243,7 @@ class CaptureIndex:
                 yield pd.DataFrame(found, columns=["key", *_LINE]).astype({"page_id": "Int64"})
 
         met = self.blocks(keys.repartition("key").sortWithinPartitions("key"))
-        return met.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(run, _CAPTURE)
+        return met.repartition(self.tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(run, _CAPTURE)
 
     def read(self, captures: DataFrame) -> DataFrame:
         """The records of captures (file, offset, length), each by its own range: page_id, url, date, record_type, payload_bytes,
@@ -260,7 +264,7 @@ class CaptureIndex:
                     if rows:
                         yield _frame(rows)
 
-        near = captures.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (64 << 20)))
+        near = captures.select("file", "offset", "length").repartition(self.tasks, "file", F.floor(F.col("offset") / READ))
         return near.sortWithinPartitions("file", "offset").mapInPandas(run, _RECORD)
 
 
@@ -287,16 +291,17 @@ def write_archives(pages: DataFrame, date: str | None = None, least: int = LEAST
 
 def build_index(spark: SparkSession, captures: DataFrame, folder: str, scratch: Scratch) -> CaptureIndex:
     """Sort captures into files of blocks beside the archives."""
-    n = captures.count()
+    size = captures.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    n = size["n"]
     if not n:
-        return CaptureIndex(folder, (), (), ())
+        return CaptureIndex(folder, 1, (), (), ())
     parts = min(max(-(-n // FILE_ROWS), min(-(-n // LINES), 32)), FILES)
     order = ["key", "page_id", "file", "offset"]
     ranged = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # a row a file, and all of them cross the driver: FILES, or as many as Spark makes of parts
     made = scratch.save(ranged.mapInPandas(_indexed(folder), "file string, first string, last string, blocks int"), "files").collect()
     made.sort(key=lambda r: (r["first"], r["last"]))
-    return CaptureIndex(folder, *(tuple(r[c] for r in made) for c in ("file", "first", "last")))
+    return CaptureIndex(folder, max(min(-(-n // LINES), 32), -(-size["bytes"] // (4 * READ))), *(tuple(r[c] for r in made) for c in ("file", "first", "last")))
 
 
 def archive_and_read(pages: DataFrame, least: int = LEAST) -> DataFrame:
