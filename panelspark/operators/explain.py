@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .gram import Linear
+from .permute import permuted, ranked
 from .ranks import bins
 from .stats import average_rank
-from .windows import sample_key
 
 
 def linear_attribution(df: DataFrame, model: Linear, row: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -123,41 +123,37 @@ def case_attributions(phi: DataFrame, cases: DataFrame, row: str, top: int = 10)
     return rows.withColumn("place", place).filter(F.col("place") <= top)
 
 
-#: Buckets of a permutation at least, and rows of one at most, on average.
-BUCKETS, BUCKET_ROWS = 64, 1_000_000
+def _exchanged(rows: DataFrame, n: int, columns: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """rows, ranked, once for each seed, as `repeat` from 0 on, with the columns of the row at the permuted rank."""
+    to = F.inline(F.array(*[F.struct(F.lit(i).alias("repeat"), permuted(F.col("_rank"), n, seed).alias("_to")) for i, seed in enumerate(seeds)]))
+    takers = rows.drop(*columns).select("*", to)
+    return takers.join(rows.select(F.col("_rank").alias("_to"), *columns), "_to").drop("_to")
 
 
-def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int, buckets: int = BUCKETS) -> DataFrame:
-    """df with columns exchanged jointly between rows: each row gets those of the row whose place in a
-    hashed order of its bucket is its own place in key order.
+def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int) -> DataFrame:
+    """df with columns exchanged jointly between rows: each row gets those of the row whose place in the order of row is
+    its own place, sent elsewhere by a keyed permutation of all places. row: distinct values."""
+    rows, n = ranked(df, [row], "_rank")
+    return _exchanged(rows, n, columns, [seed]).select(*df.columns)
 
-    Buckets are of the key, so a window never holds all rows; rows are exchanged inside buckets."""
-    b = F.pmod(F.col(row), F.lit(buckets))
-    own = W.partitionBy("_b").orderBy(row)
-    mixed = W.partitionBy("_b").orderBy(sample_key(row, seed), row)
-    keyed = df.withColumn("_b", b)
-    takers = keyed.drop(*columns).withColumn("_n", F.row_number().over(own))
-    givers = keyed.select("_b", *columns, row).withColumn("_n", F.row_number().over(mixed)).drop(row)
-    return takers.join(givers, ["_b", "_n"]).drop("_b", "_n").select(*df.columns)
 
+def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]], row: str, y: str, repeats: int = 5, seed: int = 0) -> DataFrame:
+    """(family, drop_mean, drop_sd): how much r2 falls when a family's columns are shuffled jointly over all rows, over repeats.
 
-def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]], row: str, y: str, repeats: int = 5, seed: int = 0, buckets: int | None = None) -> DataFrame:
-    """(family, drop_mean, drop_sd): how much r2 falls when a family's columns are shuffled jointly, over repeats.
-    Rows are exchanged inside buckets, as many as hold BUCKET_ROWS rows each unless given."""
+    Rows are ranked and saved once; each family is one join by rank for all repeats. Give the columns that the model
+    needs, as all of df's are joined."""
     from .evaluate import evaluate
 
-    if buckets is None:
-        buckets = max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    rows, n = ranked(df, [row], "_rank")
 
     def scored(rows: DataFrame) -> DataFrame:
         return model.transform(rows, "y_pred").select(F.col(y).alias("y_true"), "y_pred", *[c for c in ("family", "repeat") if c in rows.columns])
 
-    whole = evaluate(scored(df)).select(F.col("r2").alias("_whole"))
+    whole = evaluate(scored(rows)).select(F.col("r2").alias("_whole"))
     parts = None
     for name, columns in groups.items():
-        for r in range(repeats):
-            one = scored(shuffled(df, row, columns, seed + r, buckets).withColumns({"family": F.lit(name), "repeat": F.lit(r)}))
-            parts = one if parts is None else parts.unionByName(one)
+        one = scored(_exchanged(rows, n, columns, range(seed, seed + repeats)).withColumn("family", F.lit(name)))
+        parts = one if parts is None else parts.unionByName(one)
     found = evaluate(parts, ["family", "repeat"]).join(F.broadcast(whole))
     return found.withColumn("_d", F.col("_whole") - F.col("r2")).groupBy("family").agg(F.avg("_d").alias("drop_mean"), F.stddev_pop("_d").alias("drop_sd"))
 

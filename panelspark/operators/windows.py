@@ -139,12 +139,12 @@ def pick_cases(df: DataFrame, row: str, y: str, wind: str, subset: Column) -> Da
 
 
 def sample_key(key: str, seed: int) -> Column:
-    """A pseudo-random order of integer keys that any engine can repeat."""
-    return F.pmod(F.col(key) * 7919 + seed * 104729, F.lit(1000003))
+    """A number below 2^60 from a hash of the key, whatever its type, and the seed, which any engine with md5 can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """At most n rows without replacement; the same ones whatever the partitions."""
+    """At most n rows without replacement, the first ones by the key's hash; the same ones whatever the partitions."""
     return df.orderBy(sample_key(key, seed), key).limit(n)
 
 

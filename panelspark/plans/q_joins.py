@@ -267,23 +267,35 @@ def _(t):
     return rows.select(F.lit("files").alias("entity_id"), "k", "d", sum(there[1:], there[0]).alias("hours"), sum((F.coalesce(h, F.lit(0.0)) for h in HOURS), F.lit(0.0)).alias("total"))
 
 
-def _monitor(t, hourly):
-    """Rows of hourly through files in the monitor's layout, as many files as tasks, each with a header."""
+def _monitor(t, layouts):
+    """Rows of hourly through files in the monitor's layouts (condition, columns), as many files as tasks, each with a header."""
     path = _folder(t, "monitor")
-    rows = hourly.select(F.date_format("d", "dd/MM/yyyy").alias("Date"), F.format_string("%02d:00", "h").alias("Time"), F.col("y").alias("NO2 1h average"), F.col("x").alias("WSP m/s"), F.col("k").alias("station"))
-    rows.write.option("header", True).csv(path)
-    read = T.read_monitor_table(t.spark, path, {"target": ["NO2"], "wind": ["WSP"], "ozone": ["OZONE"], "k": ["station"]})
-    return read.select(F.col("k").cast("long").alias("k"), "date", "hour_ending", F.round("target", 4).alias("target"), F.round("wind", 4).alias("wind"), "ozone")
+    for i, (kept, columns) in enumerate(layouts):
+        t.hourly.filter(kept).select(*columns).write.option("header", True).csv(f"{path}/{i}")
+    read = T.read_monitor_table(t.spark, f"{path}/*", {"target": ["NO2"], "wind": ["WSP"], "ozone": ["OZONE"], "co": ["CO"], "k": ["station"]}, {"co": ["OZONE"]})
+    return read.select(F.col("k").cast("long").alias("k"), "date", "hour_ending", F.round("target", 4).alias("target"), F.round("wind", 4).alias("wind"), "ozone", "co")
+
+
+def _monitor_columns():
+    date, time = F.date_format("d", "dd/MM/yyyy").alias("Date"), F.format_string("%02d:00", "h").alias("Time")
+    return date, time, F.col("y").alias("NO2 1h average"), F.col("x").alias("WSP m/s"), F.col("k").alias("station")
 
 
 @query("O_S2_read_monitor_table", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, round(x, 4) AS wind, CAST(NULL AS DOUBLE) AS ozone FROM hourly")
 def _(t):
-    return _monitor(t, t.hourly)
+    return _monitor(t, [("true", _monitor_columns())]).drop("co")
 
 
-@query("O_S2_read_monitor_table_all", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, round(x, 4) AS wind, CAST(NULL AS DOUBLE) AS ozone FROM hourly")
+@query("O_S2_read_monitor_table_all", "SELECT k, d AS date, h AS hour_ending, round(y, 4) AS target, CASE WHEN k % 3 <> 1 THEN round(x, 4) END AS wind, CASE WHEN k % 3 = 1 THEN x * 2 END AS ozone, CASE WHEN k % 3 = 2 THEN x + 0.5 END AS co FROM hourly")
 def _(t):
-    return _monitor(t, t.hourly)
+    """All rows, in three layouts: as above; another order without wind but with ozone; another with a quoted name and CO."""
+    date, time, target, wind, k = _monitor_columns()
+    ozone = (F.col("x") * 2).alias("Ozone [pphm]")
+    return _monitor(t, [
+        ("k % 3 = 0", (date, time, target, wind, k)),
+        ("k % 3 = 1", (k, ozone, time, date.alias("DATE"), target.alias("no2 [pphm], hourly"))),
+        ("k % 3 = 2", (wind.alias("wsp"), (F.col("x") + 0.5).alias("CO ppm"), target.alias('8h "NO2"'), date, k, time)),
+    ])
 
 
 @query("O_S3_read_daily_series", """WITH r AS (SELECT d, sum(n) AS rain FROM daily WHERE kind <> 0 GROUP BY d), a AS (SELECT d, max(k) AS tmax FROM daily WHERE kind = 1 GROUP BY d), b AS (SELECT d, min(k) AS tmin FROM daily WHERE kind = 2 GROUP BY d)

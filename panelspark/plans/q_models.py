@@ -283,7 +283,6 @@ _SHAPLEY = """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind, avg(rain) AS rai
 
 
 @query("O_X2_family_shapley", _SHAPLEY)
-@query("O_X2_family_shapley_all", _SHAPLEY)
 def _(t):
     return _rounded(X.family_shapley(t.daily, LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id"), [], 5)
 
@@ -295,6 +294,12 @@ class _Product:
         return df.withColumn(name, F.col("x") * F.col("wind") + F.col("rain"))
 
 
+@query("O_X2_family_shapley_all", """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind, avg(rain) AS rain FROM daily), v AS (SELECT row_id, d.x - m.x AS dx, d.wind - m.wind AS dw, d.rain - m.rain AS dr, m.x AS mx, m.wind AS mw FROM daily d, m)
+    SELECT row_id, 'drivers' AS family, round(dx * mw + dx * dw / 2, 4) AS phi FROM v UNION ALL SELECT row_id, 'wind', round(dw * mx + dx * dw / 2, 4) FROM v UNION ALL SELECT row_id, 'rain', round(dr, 4) FROM v""")
+def _(t):
+    return _rounded(X.family_shapley(t.daily, _Product(), {"drivers": ["x"], "wind": ["wind"], "rain": ["rain"]}, "row_id"), [], 4)
+
+
 @query("O_X2_family_interactions", """WITH m AS (SELECT avg(x) AS x, avg(wind) AS wind FROM daily), i AS (SELECT avg(abs((d.x - m.x) * (d.wind - m.wind))) AS v FROM daily d, m)
     SELECT 'drivers' AS family_a, 'wind' AS family_b, round(v, 4) AS mean_abs, 1.0 AS share FROM i UNION ALL SELECT 'drivers', 'rain', 0.0, 0.0 UNION ALL SELECT 'wind', 'rain', 0.0, 0.0""")
 def _(t):
@@ -339,11 +344,27 @@ def _(t):
     return _rounded(out.select("case", "row_id", "feature", "value", "phi", "place"), [], 5)
 
 
-@query("O_X8_permutation_importance", """WITH p AS (SELECT row_id, row_id % 64 AS b, x, wind, rain, y, 2 + 1.5 * x - 0.25 * wind + 0.5 * rain AS f FROM daily), rp AS (SELECT unnest([0, 1]) AS rep), o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY row_id) AS n FROM p),
-    g AS (SELECT rep, b, x, row_number() OVER (PARTITION BY rep, b ORDER BY (row_id * 7919 + (4 + rep) * 104729) % 1000003, row_id) AS n FROM p, rp), w AS (SELECT 1 - sum(pow(y - f, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p),
-    s AS (SELECT g.rep, 1 - sum(pow(o.y - (2 + 1.5 * g.x - 0.25 * o.wind + 0.5 * o.rain), 2)) / (sum(o.y * o.y) - sum(o.y) * sum(o.y) / count(*)) AS r2 FROM o JOIN g ON g.b = o.b AND g.n = o.n GROUP BY g.rep) SELECT 'drivers' AS family, round(avg(w.r2 - s.r2), 5) AS drop_mean, round(stddev_pop(w.r2 - s.r2), 5) AS drop_sd FROM s, w""")
+def _permuted_sql(place: str) -> str:
+    """Where the keyed permutation sends a place: two sides a x b, in turns moved by md5 of seed, turn and the other side."""
+    left, right = f"({place} // b)", f"({place} % b)"
+    for turn in range(4):
+        moved = lambda side, other, m, t=turn: f"(({side} + CAST('0x' || substr(md5(seed || ':{t}:' || {other}), 1, 15) AS BIGINT)) % {m})"
+        left, right = (left, moved(right, left, "b")) if turn % 2 else (moved(left, right, "a"), right)
+    return f"{left} * b + {right}"
+
+
+def _ways_sql(rows: str, seeds: str) -> str:
+    """Table expressions ending in ways (seed, r, q): of each place r of rows the one that it is sent to."""
+    return f"""size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT CAST(count(*) AS BIGINT) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM {rows}) u),
+    way AS (SELECT seed, r, {_permuted_sql("r")} AS q, n, a, b FROM (SELECT r FROM {rows}) u, size, (VALUES {seeds}) AS v(seed) UNION ALL SELECT seed, r, {_permuted_sql("q")}, n, a, b FROM way WHERE q >= n), ways AS (SELECT seed, r, q FROM way WHERE q < n)"""
+
+
+@query("O_X8_permutation_importance", f"""WITH RECURSIVE p AS (SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS r, x, wind, rain, y, 2 + 1.5 * x - 0.25 * wind + 0.5 * rain AS f FROM daily), {_ways_sql("p", "(4), (5), (6), (7), (8)")}, t AS (SELECT 1 - sum(pow(y - f, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p),
+    s AS (SELECT seed, 1 - sum(pow(o.y - (2 + 1.5 * g.x - 0.25 * o.wind + 0.5 * o.rain), 2)) / (sum(o.y * o.y) - sum(o.y) * sum(o.y) / count(*)) AS drivers, 1 - sum(pow(o.y - (2 + 1.5 * o.x - 0.25 * g.wind + 0.5 * g.rain), 2)) / (sum(o.y * o.y) - sum(o.y) * sum(o.y) / count(*)) AS weather FROM ways JOIN p o ON o.r = ways.r JOIN p g ON g.r = ways.q GROUP BY seed)
+    SELECT 'drivers' AS family, round(avg(t.r2 - drivers), 5) AS drop_mean, round(stddev_pop(t.r2 - drivers), 5) AS drop_sd FROM s, t UNION ALL SELECT 'weather', round(avg(t.r2 - weather), 5), round(stddev_pop(t.r2 - weather), 5) FROM s, t""")
 def _(t):
-    return _rounded(X.permutation_importance(t.daily, LINEAR, {"drivers": ["x"]}, "row_id", "y", 2, 4), [], 5)
+    rows = t.daily.select("row_id", "x", "wind", "rain", "y")
+    return _rounded(X.permutation_importance(rows, LINEAR, {"drivers": ["x"], "weather": ["wind", "rain"]}, "row_id", "y", 5, 4), [], 5)
 
 
 @query("O_X9_window_importance")
@@ -353,8 +374,8 @@ def _(t):
     return _rounded(X.window_importance(flat, model, ["x"], 2, "row_id", "target", 1), [], 6)
 
 
-@query("O_X9_two_steps", f"""WITH {_WINDOW_FIT}, o AS (SELECT *, row_id % 64 AS bk, row_number() OVER (PARTITION BY row_id % 64 ORDER BY row_id) AS n, row_number() OVER (PARTITION BY row_id % 64 ORDER BY (row_id * 7919) % 1000003, row_id) AS m FROM f),
-    j AS (SELECT o.y, o.a, o.b, o.c, q.a AS a2, q.b AS b2, q.c AS c2 FROM o JOIN o q ON q.bk = o.bk AND q.m = o.n), p AS (SELECT y, b0 + ba * a + bb2 * b + bc2 * c AS p, b0 + ba * a2 + bb2 * b2 + bc2 * c AS p0, b0 + ba * a + bb2 * b + bc2 * c2 AS p1 FROM j, h),
+@query("O_X9_two_steps", f"""WITH RECURSIVE {_WINDOW_FIT}, o AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS r FROM f), {_ways_sql("o", "(0)")},
+    j AS (SELECT o.y, o.a, o.b, o.c, g.a AS a2, g.b AS b2, g.c AS c2 FROM ways JOIN o ON o.r = ways.r JOIN o g ON g.r = ways.q), p AS (SELECT y, b0 + ba * a + bb2 * b + bc2 * c AS p, b0 + ba * a2 + bb2 * b2 + bc2 * c AS p0, b0 + ba * a + bb2 * b + bc2 * c2 AS p1 FROM j, h),
     r AS (SELECT sum(pow(y - p, 2)) AS e, sum(pow(y - p0, 2)) AS e0, sum(pow(y - p1, 2)) AS e1, sum(y * y) - sum(y) * sum(y) / count(*) AS t FROM p) SELECT 'position 0' AS family, round((e0 - e) / t, 4) AS drop_mean, 0.0 AS drop_sd FROM r UNION ALL SELECT 'position 1', round((e1 - e) / t, 4), 0.0 FROM r""")
 def _(t):
     model, flat = _two_steps(t)

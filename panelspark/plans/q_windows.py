@@ -103,7 +103,7 @@ def _(t):
     return Wn.pick_cases(t.daily, "row_id", "y", "wind", F.col("kind") == 1)
 
 
-@query("O_K5_sample_rows", "SELECT row_id, round(x, 6) AS x FROM daily ORDER BY (row_id * 7919 + 5 * 104729) % 1000003, row_id LIMIT 500")
+@query("O_K5_sample_rows", "SELECT row_id, round(x, 6) AS x FROM daily ORDER BY CAST('0x' || substr(md5('5:' || row_id), 1, 15) AS BIGINT), row_id LIMIT 500")
 def _(t):
     return Wn.sample_rows(t.daily, "row_id", 500, 5).select("row_id", r6(F.col("x"), "x"))
 

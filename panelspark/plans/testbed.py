@@ -126,7 +126,10 @@ def duck_sql(query: str) -> str:
     if not needed:
         return body
     views = ", ".join(f"{v} AS ({_render(VIEWS[v], DUCK)})" for v in needed)
-    return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views} {body}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     own = "file://" + tempfile.mkdtemp(prefix="panelspark-shared-")
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def saved(df: DataFrame, purpose: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and read again whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

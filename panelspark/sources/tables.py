@@ -24,26 +24,49 @@ def read_wide_hours(spark: SparkSession, path: str, fields: str, hours: Sequence
     return raw.select(F.split_part(name, F.lit(" - "), F.lit(1)).alias("entity_id"), *raw.columns).withColumns({h: F.expr(f"try_cast({h} AS double)") for h in hours})
 
 
-def read_monitor_table(spark: SparkSession, path: str, roles: dict[str, Sequence[str]], skip: int = 0, without: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Hourly readings with Date (dd/MM/yyyy) and Time (HH:mm, 01:00 to 24:00), headers after skip lines.
-
-    roles: output column -> parts of headers, the first column with one of them is it, unless it also has
-    a part listed in without. Roles without a column are NULL. Bad values and dates are NULL."""
-    lines = spark.read.option("wholetext", False).text(path).select("value").filter(F.trim("value") != "")
-    head = lines.limit(skip + 1).collect()[skip]["value"]  # the header line
-    columns = [c.strip().strip('"') for c in head.split(",")]
-    raw = spark.read.schema(", ".join(f"`{i}` string" for i in range(len(columns)))).csv(path)
-    raw = raw.filter(F.col("`0`").rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$"))
-    at = {c.lower(): i for i, c in enumerate(columns)}
-    made = {
-        "date": F.expr(f"to_date(try_to_timestamp(trim(`{at['date']}`), 'd/M/yyyy'))"),
-        "hour_ending": F.expr(f"try_cast(split_part(trim(`{at['time']}`), ':', 1) AS int)"),
-    }
-    for role, parts in roles.items():
-        bad = [w.lower() for w in (without or {}).get(role, ())]
-        found = next((i for c, i in at.items() if any(p.lower() in c for p in parts) and not any(w in c for w in bad)), None)
-        made[role] = F.lit(None).cast("double") if found is None else F.expr(f"try_cast(trim(`{found}`) AS double)")
-    return raw.select(*[c.alias(n) for n, c in made.items()])
+#: Fields of a line of a monitor's file at most.
+FIELDS = 64
+
+
+def monitor_headers(lines: DataFrame) -> DataFrame:
+    """(file, names): the names, in lower case, of the columns of each file of lines (file, place, fields), from its header:
+    its first line with the names date and time. Lines before it, whatever their number, are a preamble."""
+    names = F.transform("fields", lambda c: F.lower(F.trim(c)))
+    named = lines.withColumn("names", names).filter(F.array_contains("names", "date") & F.array_contains("names", "time"))
+    return named.groupBy("file").agg(F.min_by("names", "place").alias("names"))
+
+
+def read_monitor_table(spark: SparkSession, path: str | list[str], roles: dict[str, Sequence[str]], without: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Hourly readings of any number of files with Date (dd/MM/yyyy) and Time (HH:mm, 01:00 to 24:00), each with columns of its
+    own in an order of its own.
+
+    roles: output column -> parts of headers. In each file the first column whose name has one of them is it, unless it
+    also has a part listed in without; whatever the case. Where a file has no such column the role is NULL. Bad values and dates are
+    NULL; lines whose date isn't d/M/y, headers and preambles among them, are no rows, and a file without a header has none.
+
+    A file's header is a row of a table, joined back to its lines, which are read as arrays of FIELDS fields at most."""
+    fields = ", ".join(f"c{i} string" for i in range(FIELDS))
+    raw = spark.read.text(path).filter(F.trim("value") != "").withColumns({"file": F.col("_metadata.file_path"), "place": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))})
+    parsed = F.from_csv("value", F.lit(fields), {"mode": "PERMISSIVE"})
+    lines = raw.withColumn("_c", parsed).select("file", "place", F.array(*[F.col(f"_c.c{i}") for i in range(FIELDS)]).alias("fields"))
+    heads = monitor_headers(lines.filter(F.arrays_overlap(F.transform("fields", lambda c: F.lower(F.trim(c))), F.array(F.lit("date")))))
+
+    def first(wanted) -> F.Column:
+        """The number of the first column that is wanted, or NULL."""
+        return F.try_element_at(F.filter(F.transform("names", lambda c, i: F.when(wanted(c), i)), lambda i: i.isNotNull()), F.lit(1))
+
+    def role(name: str):
+        has = lambda c, words: sum((c.contains(w.lower()).cast("int") for w in words), F.lit(0)) > 0
+        return lambda c: c.isNotNull() & has(c, roles[name]) & ~has(c, (without or {}).get(name, ())) & ~c.isin("date", "time")
+
+    heads = heads.select("file", first(lambda c: c == "date").alias("_at_date"), first(lambda c: c == "time").alias("_at_time"), *[first(role(r)).alias(f"_role_{r}") for r in roles])
+    value = lambda place: F.trim(F.get("fields", F.col(place)))
+    rows = lines.join(heads, "file").filter(value("_at_date").rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"))
+    return rows.select(
+        F.to_date(F.try_to_timestamp(value("_at_date"), F.lit("d/M/yyyy"))).alias("date"),
+        F.split_part(value("_at_time"), F.lit(":"), F.lit(1)).try_cast("int").alias("hour_ending"),
+        *[value(f"_role_{r}").try_cast("double").alias(r) for r in roles],
+    )
 
 
 def read_daily_series(spark: SparkSession, products: dict[str, str]) -> DataFrame:

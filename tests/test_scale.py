@@ -90,8 +90,8 @@ def test_draws_reach_every_block_evenly(spark):
 
 def test_permutations_exchange_each_row_once(spark):
     df = spark.range(1000).select(F.col("id").alias("row"), F.col("id").cast("double").alias("x"))
-    for buckets in (1, 64, 2000):
-        assert sorted(r["x"] for r in explain.shuffled(df, "row", ["x"], 1, buckets).collect()) == [float(i) for i in range(1000)]
+    for seed in (1, 64):
+        assert sorted(r["x"] for r in explain.shuffled(df, "row", ["x"], seed).collect()) == [float(i) for i in range(1000)]
 
 
 def test_interactions_of_a_product(spark):
