@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shipping import ship_code
+from ..shipping import saved, ship_code
 
 CELLS = 512
 
@@ -105,6 +105,44 @@ def percentiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str,
     return {c: [between(c, p) for p in place[c]] for c in wanted}
 
 
+#: Groups up to this size have all their values counted; the accuracy of the sketches of larger ones.
+SMALL, ACCURACY = 5000, 10_000
+
+
+def group_percentiles(df: DataFrame, group: str, column: str, wanted: Sequence[float]) -> DataFrame:
+    """(group, n, q): exact percentiles of column in each group, q[i] for wanted[i], between neighbours by interpolation, and
+    the number of values. NULL and NaN have no rank; groups without values, and the NULL group, are left out.
+
+    Mergeable sketches give each group bounds around each percentile, as near as two ten-thousandths of its rows. One
+    pass then counts the values below the bounds as one and those inside one by one, in every task, so that a group of any size is read by
+    all tasks and what is sorted is the small part inside."""
+    v = F.col(column).cast("double")
+    rows = df.select(F.col(group).alias("g"), v.alias("v")).filter(F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    near = 1 / SMALL + 2 / ACCURACY
+    ends = [min(max(q + e, 0.0), 1.0) for q in wanted for e in (-near, near)]
+    bounds = saved(rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("_b")), "bounds")
+    large = F.col("n") > SMALL
+
+    def part(j: int) -> Column:
+        """0 for a value below the j-th percentile's bounds, 1 inside, 2 above; and the value inside."""
+        low, high = F.when(large, F.col("_b")[2 * j]), F.when(large, F.col("_b")[2 * j + 1])
+        if wanted[j] - near <= 0:
+            low = F.lit(None).cast("double")
+        side = F.when(F.col("v") < low, 0).when(F.col("v") > high, 2).otherwise(1)
+        return F.struct(F.lit(j).alias("j"), side.alias("side"), F.when(side == 1, F.col("v")).alias("value"))
+
+    met = rows.join(bounds, "g").select("g", "n", F.inline(F.array(*[part(j) for j in range(len(wanted))]))).filter("side < 2")
+    counted = met.groupBy("g", "j", "side", "value").agg(F.first("n").alias("n"), F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy("g", "j").orderBy("side", "value").rowsBetween(W.unboundedPreceding, 0))
+    place = F.element_at(F.array(*[F.lit(float(q)) for q in wanted]), F.col("j") + 1) * (F.col("n") - 1)
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("value")))
+    found = counted.withColumns({"_upto": upto, "_place": place}).groupBy("g", "j").agg(F.first("n").alias("n"), F.first("_place").alias("_p"), at(F.floor("_place")).alias("_low"), at(F.ceil("_place")).alias("_high"))
+    low, high = F.floor("_p"), F.ceil("_p")
+    value = F.when(low == high, F.col("_low")).otherwise((high - F.col("_p")) * F.col("_low") + (F.col("_p") - low) * F.col("_high"))
+    own = [F.max(F.when(F.col("j") == j, value)) for j in range(len(wanted))]
+    return found.groupBy(F.col("g").alias(group)).agg(F.max("n").alias("n"), F.array(*own).alias("q"))
+
+
 def literal(value: float | None) -> Column:
     return F.lit(value).cast("double")
 

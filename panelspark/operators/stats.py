@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_two_sided, t_two_sided
-from ..shipping import ship_code
-from .ranks import literal, percentiles
+from ..shipping import saved, ship_code
+from .ranks import group_percentiles, literal, percentiles
 
 
 def daily_rollup(df: DataFrame, keys: Sequence[str], columns: Sequence[str], sum_patterns: Sequence[str]) -> DataFrame:
@@ -88,9 +88,10 @@ def cleaning_ledger(df: DataFrame, entity: str, steps: Sequence[tuple[str, Colum
 
 def iqr_outliers(df: DataFrame, k: str, y: str, width: float = 1.5) -> DataFrame:
     """Quartiles, fences, and number and per cent of values outside them, per entity."""
-    q = df.groupBy(k).agg(F.percentile(y, [0.25, 0.75]).alias("_q"))
-    spread = F.col("_q")[1] - F.col("_q")[0]
-    q = q.select(k, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"), (F.col("_q")[0] - width * spread).alias("low"), (F.col("_q")[1] + width * spread).alias("high"))
+    found = group_percentiles(df, k, y, [0.25, 0.75])
+    spread = F.col("q")[1] - F.col("q")[0]
+    found = found.select(k, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[0] - width * spread).alias("low"), (F.col("q")[1] + width * spread).alias("high"))
+    q = df.select(k).distinct().join(saved(found, "quartiles"), k, "left")  # entities without values keep a row
     out = df.join(q, k).groupBy(k, "q1", "q3", "low", "high").agg(F.count(y).alias("n"), F.count_if((F.col(y) < F.col("low")) | (F.col(y) > F.col("high"))).alias("n_outliers"))
     return out.withColumn("pct_outliers", F.when(F.col("n") > 0, 100.0 * F.col("n_outliers") / F.col("n")))
 
@@ -141,7 +142,8 @@ def distribution_stats(df: DataFrame, y: str) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, k: str, y: str) -> DataFrame:
     """Quartiles, whiskers (farthest values within 1.5 quartile ranges) and the entity's place by median."""
-    q = df.groupBy(k).agg(F.percentile(y, [0.25, 0.5, 0.75]).alias("_q")).select(k, *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    found = group_percentiles(df, k, y, [0.25, 0.5, 0.75]).select(k, *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    q = df.select(k).distinct().join(saved(found, "quartiles"), k, "left")  # entities without values keep a row
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     out = df.join(q, k).groupBy(k, "q1", "median", "q3").agg(F.min(F.when(F.col(y) >= low, F.col(y))).alias("whisker_low"), F.max(F.when(F.col(y) <= high, F.col(y))).alias("whisker_high"))
     return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("median"), k)))  # one row an entity

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .permute import ranked
 from .ranks import literal, percentiles
 
 
@@ -76,13 +77,21 @@ def row_rolling_mean(k: str, tick: str, column: str, n: int) -> Column:
 
 
 def equal_bins(order: Sequence[str | Column], n: int, partition: Sequence[str] = ()) -> Column:
-    """Bin 1 to n of the row's rank, cut at the quantiles of the ranks: sizes differ from ntile's."""
+    """Bin 1 to n of the row's rank, cut at the quantiles of the ranks: sizes differ from ntile's. Without a partition, for
+    small tables; equal_bins_of_all is for others."""
     group = W.partitionBy(*partition)
     r = F.row_number().over(group.orderBy(*order)).cast("long")
     total = F.count(F.lit(1)).over(group)
     return F.when(total <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil((r - 1) * n / (total - 1)))).cast("int")
 
 
+def equal_bins_of_all(df: DataFrame, order: Sequence[str], n: int, name: str = "bin") -> DataFrame:
+    """df with the bin, as equal_bins cuts them, of each row's place among all rows, without a window over them. The
+    order's columns tell rows apart."""
+    rows, total = ranked(df, order, "_place")
+    return rows.withColumn(name, F.greatest(F.lit(1), F.ceil(F.col("_place") * n / max(total - 1, 1))).cast("int")).drop("_place")
+
+
 def dedupe_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
     """The first or last row of each key in a total order."""
     by = [F.asc(c) if keep == "first" else F.desc(c) for c in order]

@@ -11,6 +11,7 @@ from ..operators import explain as X
 from ..operators import gram as G
 from ..operators import models as M
 from ..operators import reshape
+from ..operators.joins import nearest_event_window
 from ..operators.windows import pick_cases
 from .q_joins import _rounded
 from .q_scalars import r6
@@ -400,12 +401,44 @@ def _(t):
     return M.tree_importance(M.tree_fit(rows, _LEVELS, "y", depth=1), rows)
 
 
-@query("O_H1_event_effect", f"""WITH z AS (SELECT k % 23 AS g, CAST(flag AS DOUBLE) AS x, wind, ln(1 + y) AS y FROM daily), s AS (SELECT {_SUMS} FROM z), f AS ({_ridge_sql('s', '0')}), w AS (SELECT CAST(g AS VARCHAR) AS g, {_SUMS} FROM z GROUP BY g), i AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS c FROM w), r AS (SELECT unnest(range(1, 21)) AS rnd),
-    t AS (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || pos || ':2'), 1, 15) AS BIGINT) % c AS pick FROM i, r), u AS (SELECT t.rnd, sum(n) AS n, sum(sx) AS sx, sum(sz) AS sz, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxz) AS sxz, sum(szz) AS szz, sum(sxy) AS sxy, sum(szy) AS szy FROM t JOIN i ON i.pos = t.pick GROUP BY t.rnd), v AS ({_ridge_sql('u', '0')})
-    SELECT round(100 * (exp(f.bx) - 1), 5) AS effect_pct, round(quantile_cont(100 * (exp(v.bx) - 1), 0.025), 5) AS low, round(quantile_cont(100 * (exp(v.bx) - 1), 0.975), 5) AS high, CAST((SELECT count(*) FROM w) AS INTEGER) AS windows, 20 AS rounds FROM v, f GROUP BY f.bx""")
+#: The event effect's design in SQL: flag, wind, rain, whether a reading is there, dummies of months, and last the target.
+_EVENT = ["CAST(gap = 0 AS DOUBLE)", "wind", "rain", "CAST(gappy IS NULL AS DOUBLE)", *[f"CAST(month(d) = {m} AS DOUBLE)" for m in range(2, 13)]]
+
+
+def _event_sql(target: str, percent: str, seed: int) -> str:
+    """Products about the entities' means in each round of windows, then one column after the other swept out."""
+    last = len(_EVENT)
+    sweeps = ", ".join(
+        f"""m{k} AS MATERIALIZED (SELECT a.rnd, a.i, a.j, CASE WHEN p.v > 1e-9 * d.v THEN a.v - b.v * c.v / p.v ELSE a.v END AS v FROM m{k - 1} a JOIN m{k - 1} b ON b.rnd = a.rnd AND b.i = a.i AND b.j = {k}
+        JOIN m{k - 1} c ON c.rnd = a.rnd AND c.i = {k} AND c.j = a.j JOIN m{k - 1} p ON p.rnd = a.rnd AND p.i = {k} AND p.j = {k} JOIN raw d ON d.rnd = a.rnd AND d.i = {k} AND d.j = {k})"""
+        for k in range(1, last)
+    )
+    return f"""WITH c AS (SELECT a.*, h.date AS ev, CAST(a.d - h.date AS INTEGER) AS gap FROM daily a CROSS JOIN holidays h WHERE isodow(a.d) < 6), e AS (SELECT * FROM c WHERE abs(gap) <= 15 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY abs(gap), ev) = 1),
+    z AS MATERIALIZED (SELECT row_id, k, ev, unnest([{", ".join(_EVENT)}, {target}]) AS v, unnest(range(0, {last + 1})) AS i FROM e), s AS (SELECT k, ev, i, sum(v) AS s, count(*) AS n FROM z GROUP BY k, ev, i),
+    g AS (SELECT a.ev, a.i, b.i AS j, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.row_id = b.row_id GROUP BY a.ev, a.i, b.i), w AS (SELECT ev, row_number() OVER (ORDER BY ev) - 1 AS pos, count(*) OVER () AS c FROM (SELECT DISTINCT ev FROM e) u),
+    t AS MATERIALIZED (SELECT 0 AS rnd, ev, 1 AS times FROM w UNION ALL SELECT rnd, w.ev, count(*) FROM (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || pos || ':{seed}'), 1, 15) AS BIGINT) % c AS pick FROM w, (SELECT unnest(range(1, 201)) AS rnd) r) d JOIN w ON w.pos = d.pick GROUP BY rnd, w.ev),
+    o AS MATERIALIZED (SELECT t.rnd, s.k, s.i, sum(s.s * t.times) AS s, sum(s.n * t.times) AS n FROM s JOIN t ON s.ev = t.ev GROUP BY t.rnd, s.k, s.i), raw AS MATERIALIZED (SELECT t.rnd, g.i, g.j, sum(g.v * t.times) AS v FROM g JOIN t ON g.ev = t.ev GROUP BY t.rnd, g.i, g.j),
+    off AS (SELECT a.rnd, a.i, b.i AS j, sum(a.s * b.s / a.n) AS v FROM o a JOIN o b ON b.rnd = a.rnd AND b.k = a.k GROUP BY a.rnd, a.i, b.i), m0 AS MATERIALIZED (SELECT raw.rnd, raw.i, raw.j, raw.v - off.v AS v FROM raw JOIN off ON off.rnd = raw.rnd AND off.i = raw.i AND off.j = raw.j),
+    {sweeps}, coef AS (SELECT a.rnd, b.v / a.v AS c FROM m{last - 1} a JOIN m{last - 1} b ON b.rnd = a.rnd AND a.i = 0 AND a.j = 0 AND b.i = 0 AND b.j = {last} JOIN raw d ON d.rnd = a.rnd AND d.i = 0 AND d.j = 0 WHERE a.v > 1e-9 * d.v), base AS (SELECT avg(v) FILTER (WHERE row_id IN (SELECT row_id FROM e WHERE gap <> 0)) AS control FROM z WHERE i = {last}),
+    pct AS (SELECT rnd, {percent} AS p FROM coef, base)
+    SELECT round(max(p) FILTER (WHERE rnd = 0), 4) AS effect_pct, round(quantile_cont(p, 0.025) FILTER (WHERE rnd > 0), 4) AS low, round(quantile_cont(p, 0.975) FILTER (WHERE rnd > 0), 4) AS high, CAST((SELECT count(*) FROM w) AS INTEGER) AS windows, 200 AS rounds, (SELECT count(*) FROM e) AS n, (SELECT count(DISTINCT k) FROM e) AS entities FROM pct"""
+
+
+def _near_events(t):
+    """Weekdays within 15 days of a holiday, with the flag, what the effect is adjusted for, and the window."""
+    rows = t.daily.filter(F.weekday("d") < 5)
+    rows = nearest_event_window(rows, "d", t.holidays.withColumnRenamed("date", "event_date"), 15)
+    return rows.select("k", (F.col("gap_days") == 0).cast("double").alias("event"), "wind", "rain", F.col("gappy").isNull().cast("double").alias("lacks"), F.month("d").alias("month"), F.col("event_date").cast("string").alias("window"), "y", F.log1p("y").alias("log_y"))
+
+
+@query("O_H1_event_effect", _event_sql("ln(1 + y)", "100 * (exp(c) - 1)", 2))
+def _(t):
+    return _rounded(H.event_effect(_near_events(t), "event", ["wind", "rain", "lacks"], "log_y", "window", 200, 2, entity="k", dummies=["month"]), [], 4)
+
+
+@query("O_H1_event_effect_level", _event_sql("y", "100 * c / control", 5))
 def _(t):
-    rows = t.daily.select((F.col("k") % 23).cast("string").alias("g"), F.col("flag").cast("double").alias("flag"), "wind", F.log1p("y").alias("y"))
-    return _rounded(H.event_effect(rows, "flag", ["wind"], "y", "g", 20, 2), [], 5)
+    return _rounded(H.event_effect(_near_events(t), "event", ["wind", "rain", "lacks"], "y", "window", 200, 5, False, entity="k", dummies=["month"]), [], 4)
 
 
 @query("O_H2_event_by_entity", "SELECT k, round(avg(y) FILTER (WHERE flag = 0), 5) AS y_control, round(avg(y) FILTER (WHERE flag = 1), 5) AS y_event, round(100 * (avg(y) FILTER (WHERE flag = 1) - avg(y) FILTER (WHERE flag = 0)) / avg(y) FILTER (WHERE flag = 0), 5) AS y_pct FROM daily GROUP BY k HAVING count(*) FILTER (WHERE flag = 1) > 0 AND count(*) FILTER (WHERE flag = 0) > 0")

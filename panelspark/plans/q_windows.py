@@ -64,6 +64,12 @@ def _(t):
     return t.daily.select("row_id", Wn.equal_bins(["x", "row_id"], 5, ["k"]).alias("bin"))
 
 
+@query("O_W8_equal_bins_of_all", """WITH r AS (SELECT row_id, row_number() OVER (ORDER BY x, row_id) AS r, count(*) OVER () AS n FROM daily)
+    SELECT row_id, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ((r - 1) * 5 + n - 2) // (n - 1)) END AS INTEGER) AS bin FROM r""")
+def _(t):
+    return Wn.equal_bins_of_all(t.daily.select("row_id", "x"), ["x", "row_id"], 5).select("row_id", "bin")
+
+
 @query("O_W9_dedupe_keep", "SELECT k, row_id, round(x, 6) AS x FROM daily QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY tick DESC, row_id DESC) = 1")
 def _(t):
     return Wn.dedupe_keep(t.daily, ["k", "kind"], ["tick", "row_id"], "last").select("k", "row_id", r6(F.col("x"), "x"))
