@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship_code
+from ..shipping import saved, ship_code
+from .ranks import group_percentiles
 
 
 def gram(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, group: str | None = None) -> DataFrame:
@@ -187,42 +188,130 @@ def learning_curve_by_entity(df: DataFrame, features: Sequence[str], y: str, alp
     return table.groupBy("g").applyInPandas(scored, "fraction double, entity string, n long, rmse double, r2 double")
 
 
-def leave_one_entity_out(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, min_rows: int = 30) -> DataFrame:
-    """(entity, n, rmse, r2) of the ridge fitted on all other entities, exactly: all less the entity's matrix.
+def leave_one_entity_out(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, min_rows: int = 30, weight: str | None = None) -> DataFrame:
+    """(entity, n, rmse, r2) of the ridge fitted on all other entities, exactly: all less the entity's matrix. Errors are
+    weighted as the fit is.
 
-    Only the sum of all matrices comes to the driver; each entity's is solved in a task."""
+    The matrices are summed once and saved; only the sum of all comes to the driver, and each entity's is solved in a task.
+    Entities below min_rows (of weight) are in the others' fits only."""
     n = len(features) + 2
-    table = gram(df, features, y, None, k)
+    table = saved(gram(df, features, y, weight, k), "grams")
     total = square(table.groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas(), n)
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         own = square(pdf, n)
+        keep = slice(0, int(own[0, 0] >= min_rows))
         rmse, r2 = _scores(own, solve(total - own, alpha))
-        return pd.DataFrame({"entity": pdf["g"].iloc[:1], "n": [int(own[0, 0])], "rmse": [rmse], "r2": [r2]}).astype({"rmse": float, "r2": float})
+        return pd.DataFrame({"entity": pdf["g"].iloc[:1], "n": [int(round(own[0, 0]))], "rmse": [rmse], "r2": [r2]}).astype({"rmse": float, "r2": float})[keep]
 
-    large = table.filter((F.col("i") == 0) & (F.col("j") == 0) & (F.col("value") >= min_rows)).select("g")
-    return table.join(large, "g", "left_semi").groupBy("g").applyInPandas(solved, "entity string, n long, rmse double, r2 double")
+    return table.groupBy("g").applyInPandas(solved, "entity string, n long, rmse double, r2 double")
 
 
-def summarise_left_out(scores: DataFrame, reference: DataFrame) -> DataFrame:
-    """Mean, median, worst and best r2, and how many entities beat reference (entity, r2)."""
-    both = scores.join(reference.select("entity", F.col("r2").alias("_ref")), "entity", "left")
-    return both.agg(F.count("*").alias("entities"), F.avg("r2").alias("mean_r2"), F.percentile("r2", 0.5).alias("median_r2"), F.min("r2").alias("worst_r2"), F.max("r2").alias("best_r2"), F.count_if(F.col("r2") > F.col("_ref")).alias("n_better"))
+def left_out_predictions(df: DataFrame, features: Sequence[str], y: str, alpha: float, k: str, min_rows: int = 30, weight: str | None = None) -> DataFrame:
+    """(entity, model, y_true, y_pred) for each row of each entity of min_rows rows at least: "ridge" is fitted on all
+    other entities, "network_mean" is their weighted mean. Rows with a NULL in features, y or weight are left out.
+
+    Each entity's coefficients are a row, from its own Gram matrix and the sum of all, and meet its rows by the entity."""
+    n = len(features) + 2
+    rows = df.dropna(subset=[*features, y, k, *([weight] if weight else [])])
+    table = saved(gram(rows, features, y, weight, k), "grams")
+    total = square(table.groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas(), n)
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest = total - square(pdf, n)
+        mean = rest[0, -1] / rest[0, 0] if rest[0, 0] > 0 else None
+        return pd.DataFrame({"entity": pdf["g"].iloc[:1], "beta": [solve(rest, alpha).tolist()], "mean": [mean]}).astype({"mean": float})
+
+    large = rows.groupBy(F.col(k).cast("string").alias("entity")).count().filter(F.col("count") >= min_rows).select("entity")
+    betas = saved(table.groupBy("g").applyInPandas(solved, "entity string, beta array<double>, mean double").join(large, "entity"), "betas")
+    ridge = F.col("beta")[0]
+    for i, c in enumerate(features):
+        ridge = ridge + F.col("beta")[i + 1] * F.col(c)
+    made = F.inline(F.array(F.struct(F.lit("ridge").alias("model"), ridge.alias("y_pred")), F.struct(F.lit("network_mean").alias("model"), F.col("mean").alias("y_pred"))))
+    met = rows.withColumn("entity", F.col(k).cast("string")).join(betas, "entity")
+    return met.select("entity", F.col(y).cast("double").alias("y_true"), made)
+
+
+def summarise_left_out(predictions: DataFrame, reference: str = "network_mean") -> DataFrame:
+    """Of each model of (entity, model, y_true, y_pred): entities, mean, median, worst and best r2 over them, how many beat the
+    reference model (NULL for itself), and pooled_rmse, pooled_mae and pooled_r2 over all rows."""
+    from .evaluate import evaluate
+
+    scores = saved(evaluate(predictions, ["entity", "model"]), "left-out")
+    base = scores.filter(F.col("model") == reference).select("entity", F.col("r2").alias("_base"))
+    both = scores.join(base, "entity", "left").groupBy("model").agg(
+        F.count("*").alias("entities"), F.avg("r2").alias("mean_r2"), F.min("r2").alias("worst_r2"), F.max("r2").alias("best_r2"), F.count_if(F.col("r2") > F.col("_base")).alias("n_better")
+    )
+    both = both.withColumn("n_better", F.when(F.col("model") != reference, F.col("n_better")))
+    median = group_percentiles(scores, "model", "r2", [0.5]).select("model", F.col("q")[0].alias("median_r2"))
+    pooled = evaluate(predictions, ["model"]).select("model", *[F.col(c).alias(f"pooled_{c}") for c in ("rmse", "mae", "r2")])
+    return both.join(median, "model", "left").join(pooled, "model")
+
+
+def without(inverse: np.ndarray, beta: np.ndarray, gone: Sequence[int]) -> np.ndarray:
+    """Ridge coefficients after columns go, 0 for those, from the inverse of all columns' penalised products."""
+    gone = list(gone)
+    out = beta - inverse[:, gone] @ np.linalg.solve(inverse[np.ix_(gone, gone)], beta[gone])
+    out[gone] = 0.0
+    return out
 
 
-def ablation(df: DataFrame, families: dict[str, Sequence[str]], y: str, alpha: float, weight: str | None = None, split: str = "split") -> DataFrame:
-    """(variant, rmse_validation, rmse_test and their changes against full): without each family, without
-    weights; every fit is a part of one Gram matrix per split. Errors of splits without rows are NULL."""
-    features = [c for cs in families.values() for c in cs]
+def ablation_removals(families: dict[str, Sequence[str]], unions: dict[str, Sequence[str]] | None = None, parts: dict[str, Sequence[str]] | None = None, excepting: dict[str, tuple[str, str]] | None = None) -> dict[str, list[str]]:
+    """Name -> columns that go: each family; unions, name -> families or other unions; excepting, name -> (union, part): the union's columns
+    but the part's; parts, name -> columns."""
+    out = {name: list(columns) for name, columns in families.items()}
+    for name, members in (unions or {}).items():
+        out[name] = list(dict.fromkeys(c for m in members for c in out[m]))
+    for name, (union, part) in (excepting or {}).items():
+        out[name] = [c for c in out[union] if c not in (parts or {})[part]]
+    return out | {name: list(columns) for name, columns in (parts or {}).items()}
+
+
+def ablation(
+    df: DataFrame, families: dict[str, Sequence[str]], y: str, alpha: float, weight: str | None = None, split: str = "split",
+    unions: dict[str, Sequence[str]] | None = None, parts: dict[str, Sequence[str]] | None = None, excepting: dict[str, tuple[str, str]] | None = None, added: Sequence[str] = (),
+) -> DataFrame:
+    """(variant, n_features, rmse and r2 of validation and test, and their changes against full): without each family, union, part of one,
+    union but a part (see ablation_removals); without weights; with the columns that pruning took (added). A column counts
+    once, whatever has it; a variant that leaves no column is the mean. Errors of splits without rows are NULL.
+
+    One scan makes the Gram matrices of all columns: of the train rows with weights, and of each split. The full model's
+    penalised products are inverted once, and each removal is an update of as many columns as go."""
+    removals = ablation_removals(families, unions, parts, excepting)
+    own = list(dict.fromkeys(c for cs in families.values() for c in cs))
+    extra = [c for c in dict.fromkeys(added) if c not in own]
+    features, k = [*own, *extra], len(own)
     size = len(features) + 2
-    scored = grams_by_group(gram(df, features, y, None, split), size)
-    fitted = _of(grams_by_group(gram(df.filter(F.col(split) == "train"), features, y, weight), size), "all", size)
-    variants = {"full": (fitted, range(len(features)))}
-    for name, columns in families.items():
-        variants[f"minus {name}"] = (fitted, [i for i, c in enumerate(features) if c not in columns])
+    rows = df.withColumns({"_one": F.lit(1.0)})
+    doubled = F.explode(F.array(F.struct(F.col(split).alias("_part"), F.col("_one").alias("_w")), *([F.struct(F.lit("fitted").alias("_part"), F.when(F.col(split) == "train", F.col(weight).cast("double")).alias("_w"))] if weight else [])))
+    made = grams_by_group(gram(rows.withColumn("_pw", doubled).select("*", "_pw._part", "_pw._w"), features, y, "_w", "_part"), size)
+    plain = _of(made, "train", size)
+    fitted = _of(made, "fitted", size) if weight else plain
+    full = solve(fitted, alpha, range(k))
+    n = fitted[0, 0]
+    inverse = np.zeros((k, k))
+    if alpha > 0 and n > 0:
+        mean = fitted[0, 1 : k + 1] / n
+        inverse = np.linalg.inv(fitted[1 : k + 1, 1 : k + 1] - n * np.outer(mean, mean) + alpha * np.eye(k))
+
+    def left(gone: list[int]) -> np.ndarray:
+        if not (alpha > 0 and n > 0):
+            return solve(fitted, alpha, [i for i in range(k) if i not in gone])
+        out = np.zeros(size - 1)
+        out[1 : k + 1] = without(inverse, full[1 : k + 1], gone)
+        out[0] = fitted[0, -1] / n - fitted[0, 1 : k + 1] / n @ out[1 : k + 1]
+        return out
+
+    variants = {"full": (full, k)}
+    for name, columns in removals.items():
+        gone = [own.index(c) for c in dict.fromkeys(columns) if c in own]
+        variants[f"minus {name}"] = (left(gone), k - len(gone))
     if weight:
-        variants["no weights"] = (_of(scored, "train", size), range(len(features)))
-    found = {n: tuple(_scores(_of(scored, s, size), solve(m, alpha, u))[0] for s in ("validation", "test")) for n, (m, u) in variants.items()}
+        variants["no weights"] = (solve(plain, alpha, range(k)), k)
+    if extra:
+        variants["no pruning"] = (solve(fitted, alpha), len(features))
+    found = {name: [v for s in ("validation", "test") for v in _scores(_of(made, s, size), beta)] for name, (beta, _) in variants.items()}
     change = lambda a, b: None if a is None or b is None else a - b
-    rows = [(n, v, t, change(v, found["full"][0]), change(t, found["full"][1])) for n, (v, t) in found.items()]
-    return df.sparkSession.createDataFrame(rows, "variant string, rmse_validation double, rmse_test double, change_validation double, change_test double")
+    out = [(name, variants[name][1], *values, *[change(v, f) for v, f in zip(values, found["full"], strict=True)]) for name, values in found.items()]
+    names = ["rmse_validation", "r2_validation", "rmse_test", "r2_test", "change_validation", "change_r2_validation", "change_test", "change_r2_test"]
+    return df.sparkSession.createDataFrame(out, "variant string, n_features int, " + ", ".join(f"{c} double" for c in names))

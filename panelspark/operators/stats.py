@@ -210,6 +210,21 @@ def group_corr(df: DataFrame, k: str, x: str, y: str) -> DataFrame:
     return df.groupBy(k).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
+def corr_by_attribute(scores: DataFrame, attributes: DataFrame, k: str, r: str, attribute: str) -> DataFrame:
+    """(groups, corr, slope, intercept): how the groups' correlations r go with an attribute of theirs, from one row a group in either
+    table; groups without either value are left out. The line is r on the attribute."""
+    both = scores.select(k, F.col(r).alias("_r")).join(attributes.select(k, F.col(attribute).alias("_a")), k).filter(F.col("_r").isNotNull() & ~F.isnan("_r") & F.col("_a").isNotNull())
+    return both.agg(F.count("*").alias("groups"), F.corr("_r", "_a").alias("corr"), F.regr_slope("_r", "_a").alias("slope"), F.regr_intercept("_r", "_a").alias("intercept"))
+
+
+def describe_by(df: DataFrame, group: str, column: str) -> DataFrame:
+    """Count, mean, sample deviation, least value, exact quartiles and largest value of column in each group that has any."""
+    own = F.when(~F.isnan(column), F.col(column))
+    sums = df.groupBy(group).agg(F.avg(own).alias("mean"), F.stddev_samp(own).alias("sd"), F.min(own).alias("least"), F.max(own).alias("largest"))
+    quartiles = group_percentiles(df, group, column, [0.25, 0.5, 0.75])
+    return quartiles.join(sums, group).select(group, "n", "mean", "sd", "least", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))], "largest")
+
+
 def welch_t(df: DataFrame, y: str, flag: str) -> DataFrame:
     """Welch's t of y where flag is 1 against 0: (t, df, p, mean_1, mean_0)."""
     on, off = F.when(F.col(flag) == 1, F.col(y)), F.when(F.col(flag) == 0, F.col(y))

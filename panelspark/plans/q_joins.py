@@ -226,6 +226,22 @@ def _(t):
     return _rounded(A.group_corr(t.daily, "k", "gappy", "y"), [])
 
 
+_GROUP_R = "SELECT k, corr(gappy, y) AS r FROM daily GROUP BY k"
+
+
+@query("O_A20_corr_by_attribute", f"SELECT count(*) AS groups, round(corr(r, acct), 6) AS corr, round(regr_slope(r, acct) * 1000, 6) AS slope, round(regr_intercept(r, acct), 6) AS intercept FROM ({_GROUP_R}) c JOIN dim ON dim.k = c.k WHERE r IS NOT NULL AND NOT isnan(r)")
+def _(t):
+    out = A.corr_by_attribute(A.group_corr(t.daily, "k", "gappy", "y"), t.dim, "k", "r", "acct")
+    return _rounded(out.withColumn("slope", F.col("slope") * 1000), [])
+
+
+@query("O_A20_describe_by", f"""WITH c AS (SELECT c.k, r, acct > 5000 AS flag FROM ({_GROUP_R}) c JOIN dim ON dim.k = c.k WHERE NOT isnan(r))
+    SELECT flag, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, round(min(r), 6) AS least, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.75), 6) AS q3, round(max(r), 6) AS largest FROM c GROUP BY flag""")
+def _(t):
+    rows = A.group_corr(t.daily, "k", "gappy", "y").join(t.dim.select("k", (F.col("acct") > 5000).alias("flag")), "k")
+    return _rounded(A.describe_by(rows, "flag", "r"), [])
+
+
 @query("O_A21_welch_t", """WITH s AS (SELECT avg(y) FILTER (WHERE flag = 1) AS m1, avg(y) FILTER (WHERE flag = 0) AS m0, var_samp(y) FILTER (WHERE flag = 1) / count(*) FILTER (WHERE flag = 1) AS a, var_samp(y) FILTER (WHERE flag = 0) / count(*) FILTER (WHERE flag = 0) AS b, count(*) FILTER (WHERE flag = 1) AS n1, count(*) FILTER (WHERE flag = 0) AS n0 FROM daily)
     SELECT round(m1, 5) AS mean_1, round(m0, 5) AS mean_0, round((m1 - m0) / sqrt(a + b), 5) AS t, round(pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n0 - 1)), 3) AS df FROM s""")
 def _(t):

@@ -177,11 +177,88 @@ def _(t):
     return _rounded(G.leave_one_entity_out(t.daily, ["x", "wind"], "y", 10.0, "k"), [], 5)
 
 
+@query("O_M8_left_out_summary", f"""WITH o AS (SELECT k, {_SUMS} FROM daily GROUP BY k), a AS (SELECT {_SUMS} FROM daily), s AS (SELECT o.k, a.n - o.n AS n, a.sx - o.sx AS sx, a.sz - o.sz AS sz, a.sy - o.sy AS sy, a.sxx - o.sxx AS sxx, a.sxz - o.sxz AS sxz, a.szz - o.szz AS szz, a.sxy - o.sxy AS sxy, a.szy - o.szy AS szy FROM o, a), b AS ({_ridge_sql('s', '10')}),
+    p AS (SELECT d.k, 'ridge' AS model, y, b0 + bx * x + bz * wind AS p FROM daily d JOIN b ON b.k = d.k UNION ALL SELECT d.k, 'network_mean', y, s.sy / s.n FROM daily d JOIN s ON s.k = d.k), l AS (SELECT k FROM daily GROUP BY k HAVING count(*) >= 30), r AS (SELECT k, model, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p SEMI JOIN l ON l.k = p.k GROUP BY k, model),
+    m AS (SELECT r.model, count(*) AS entities, avg(r.r2) AS mean_r2, quantile_cont(r.r2, 0.5) AS median_r2, min(r.r2) AS worst_r2, max(r.r2) AS best_r2, count_if(r.r2 > c.r2) AS n_better FROM r JOIN r c ON c.k = r.k AND c.model = 'network_mean' GROUP BY r.model),
+    g AS (SELECT model, sqrt(avg(pow(y - p, 2))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p SEMI JOIN l ON l.k = p.k GROUP BY model)
+    SELECT m.model, entities, round(mean_r2, 5) AS mean_r2, round(median_r2, 5) AS median_r2, round(worst_r2, 5) AS worst_r2, round(best_r2, 5) AS best_r2, CASE WHEN m.model <> 'network_mean' THEN CAST(n_better AS BIGINT) END AS n_better, round(rmse, 5) AS pooled_rmse, round(mae, 5) AS pooled_mae, round(r2, 5) AS pooled_r2 FROM m JOIN g ON g.model = m.model""")
+def _(t):
+    return _rounded(G.summarise_left_out(G.left_out_predictions(t.daily, ["x", "wind"], "y", 10.0, "k")), [], 5)
+
+
+def _left_out_trees_sql() -> str:
+    made, used = [], []
+    for g in range(4):
+        text = _split_sql(f"g{g}", f"tr{g}", "y").replace(f"SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr{g} UNION ALL ", "")
+        made.append(f"tr{g} AS (SELECT kind, flag, slot, y FROM daily WHERE kind <> {g}), {text}")
+        used.append(f"SELECT kind, 'tree' AS model, y, {_SIDE} AS p FROM daily, g{g}_b WHERE kind = {g} UNION ALL SELECT kind, 'network_mean', y, (SELECT avg(y) FROM tr{g}) FROM daily WHERE kind = {g}")
+    return f"""WITH {", ".join(made)}, p AS ({" UNION ALL ".join(used)}), r AS (SELECT kind, model, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p GROUP BY kind, model),
+    m AS (SELECT r.model, count(*) AS entities, avg(r.r2) AS mean_r2, quantile_cont(r.r2, 0.5) AS median_r2, min(r.r2) AS worst_r2, max(r.r2) AS best_r2, count_if(r.r2 > c.r2) AS n_better FROM r JOIN r c ON c.kind = r.kind AND c.model = 'network_mean' GROUP BY r.model),
+    g AS (SELECT model, sqrt(avg(pow(y - p, 2))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p GROUP BY model)
+    SELECT m.model, entities, round(mean_r2, 5) AS mean_r2, round(median_r2, 5) AS median_r2, round(worst_r2, 5) AS worst_r2, round(best_r2, 5) AS best_r2, CASE WHEN m.model <> 'network_mean' THEN CAST(n_better AS BIGINT) END AS n_better, round(rmse, 5) AS pooled_rmse, round(mae, 5) AS pooled_mae, round(r2, 5) AS pooled_r2 FROM m JOIN g ON g.model = m.model"""
+
+
+@query("O_M8_left_out_trees", _left_out_trees_sql())
+def _(t):
+    fits = {"tree": lambda rows: M.tree_fit(rows, ["flag", "slot"], "y", depth=1)}
+    return _rounded(G.summarise_left_out(M.leave_one_out(t.daily, "kind", fits, "y")), [], 5)
+
+
 @query("O_M9_ablation", f"""WITH s AS (SELECT {_SUMS} FROM marked WHERE split = 'train'), f AS ({_ridge_sql('s', '10')}), g AS (SELECT 'full' AS variant, b0, bx, bz FROM f UNION ALL SELECT 'minus drivers', (sy - bz * sz) / n, 0.0, bz FROM (SELECT *, (szy - sz * sy / n) / (szz - sz * sz / n + 10) AS bz FROM s) u
     UNION ALL SELECT 'minus weather', (sy - bx * sx) / n, bx, 0.0 FROM (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + 10) AS bx FROM s) u2), e AS (SELECT variant, sqrt(avg(pow(y - b0 - bx * x - bz * wind, 2)) FILTER (WHERE split = 'validation')) AS v, sqrt(avg(pow(y - b0 - bx * x - bz * wind, 2)) FILTER (WHERE split = 'test')) AS z FROM marked, g GROUP BY variant)
     SELECT variant, round(v, 5) AS rmse_validation, round(z, 5) AS rmse_test, round(v - (SELECT v FROM e WHERE variant = 'full'), 5) AS change_validation, round(z - (SELECT z FROM e WHERE variant = 'full'), 5) AS change_test FROM e""")
 def _(t):
-    return _rounded(G.ablation(t.marked, {"drivers": ["x"], "weather": ["wind"]}, "y", 10.0), [], 5)
+    out = G.ablation(t.marked, {"drivers": ["x"], "weather": ["wind"]}, "y", 10.0)
+    return _rounded(out.select("variant", "rmse_validation", "rmse_test", "change_validation", "change_test"), [], 5)
+
+
+#: Columns, families, unions and parts of the ablation of all variants, and the columns that each variant is without.
+_ABLATED = ["x", "n", "wind", "rain", "xw", "flag"]
+_FAMILIES = {"drivers": ["x", "n"], "weather": ["wind", "rain"], "both": ["xw"], "calendar": ["flag"]}
+_UNIONS = {"ALL drivers": ["drivers", "both"], "ALL weather": ["weather", "both"], "ALL drivers + calendar": ["ALL drivers", "calendar"]}
+_PARTS = {"part: count": ["n"], "part: volume": ["x"]}
+_EXCEPT = {"ALL drivers except count": ("ALL drivers", "part: count")}
+
+
+def _ablation_sql() -> str:
+    """Gauss-Jordan elimination of each variant's columns, of penalised products about the means, and errors from products."""
+    removals = G.ablation_removals(_FAMILIES, _UNIONS, _PARTS, _EXCEPT)
+    columns = [*_ABLATED, "slot"]
+    last = len(columns) + 1  # of the target; 0 is the constant
+    uses = {"full": _ABLATED, **{f"minus {n}": [c for c in _ABLATED if c not in cs] for n, cs in removals.items()}, "no weights": _ABLATED, "no pruning": columns}
+    listed = ", ".join(f"('{v}', {'1' if v == 'no weights' else '0'}, {len(cs)}, [{', '.join(str(columns.index(c) + 1) for c in cs)}])" for v, cs in uses.items())
+    steps = ", ".join(
+        f"""m{k} AS MATERIALIZED (SELECT a.variant, a.i, a.j, CASE WHEN NOT list_contains(u.uses, {k}) THEN a.v WHEN a.i = {k} THEN a.v / p.v ELSE a.v - b.v * c.v / p.v END AS v FROM m{k - 1} a JOIN u ON u.variant = a.variant JOIN m{k - 1} b ON b.variant = a.variant AND b.i = a.i AND b.j = {k}
+        JOIN m{k - 1} c ON c.variant = a.variant AND c.i = {k} AND c.j = a.j JOIN m{k - 1} p ON p.variant = a.variant AND p.i = {k} AND p.j = {k})"""
+        for k in range(1, last)
+    )
+    return f"""WITH z AS MATERIALIZED (SELECT row_id, split, rain + 1 AS w, unnest([1.0, {", ".join("x * wind" if c == "xw" else f"CAST({c} AS DOUBLE)" for c in columns)}, y]) AS v, unnest(range(0, {last + 1})) AS i FROM marked),
+    g AS MATERIALIZED (SELECT a.split, a.i, b.i AS j, sum(a.v * b.v) AS p, sum(a.w * a.v * b.v) AS pw FROM z a JOIN z b ON a.row_id = b.row_id GROUP BY ALL), u AS (SELECT * FROM (VALUES {listed}) AS v(variant, plain, n_features, uses)),
+    f AS MATERIALIZED (SELECT variant, i, j, CASE WHEN plain = 1 THEN p ELSE pw END AS v FROM u, g WHERE split = 'train'), t AS (SELECT variant, v AS n FROM f WHERE i = 0 AND j = 0), h AS MATERIALIZED (SELECT variant, j, v FROM f WHERE i = 0),
+    m0 AS MATERIALIZED (SELECT f.variant, f.i, f.j, f.v - a.v * b.v / n + CASE WHEN f.i = f.j AND f.i < {last} THEN 10 ELSE 0 END AS v FROM f JOIN t ON t.variant = f.variant JOIN h a ON a.variant = f.variant AND a.j = f.i JOIN h b ON b.variant = f.variant AND b.j = f.j WHERE f.i > 0 AND f.j > 0),
+    {steps}, beta AS (SELECT m.variant, m.i, m.v FROM m{last - 1} m JOIN u ON u.variant = m.variant WHERE m.j = {last} AND list_contains(u.uses, m.i)), base AS (SELECT t.variant, 0 AS i, (SELECT v FROM h WHERE h.variant = t.variant AND h.j = {last}) / n - (SELECT sum(b.v * h.v) FROM beta b JOIN h ON h.variant = b.variant AND h.j = b.i WHERE b.variant = t.variant) / n AS v FROM t),
+    e AS (SELECT variant, i, -v AS v FROM beta UNION ALL SELECT variant, i, -v FROM base UNION ALL SELECT variant, {last}, 1.0 FROM u), q AS (SELECT a.variant, g.split, sum(a.v * b.v * g.p) AS sse FROM e a JOIN e b ON b.variant = a.variant JOIN g ON g.i = a.i AND g.j = b.i WHERE g.split <> 'train' GROUP BY a.variant, g.split),
+    k AS (SELECT split, max(p) FILTER (WHERE i = 0 AND j = 0) AS n, max(p) FILTER (WHERE i = {last} AND j = {last}) - pow(max(p) FILTER (WHERE i = 0 AND j = {last}), 2) / max(p) FILTER (WHERE i = 0 AND j = 0) AS sst FROM g GROUP BY split),
+    sc AS (SELECT variant, max(sqrt(sse / n)) FILTER (WHERE q.split = 'validation') AS a, max(1 - sse / sst) FILTER (WHERE q.split = 'validation') AS b, max(sqrt(sse / n)) FILTER (WHERE q.split = 'test') AS c, max(1 - sse / sst) FILTER (WHERE q.split = 'test') AS d FROM q JOIN k ON k.split = q.split GROUP BY variant)
+    SELECT s.variant, u.n_features, round(s.a, 5) AS rmse_validation, round(s.b, 5) AS r2_validation, round(s.c, 5) AS rmse_test, round(s.d, 5) AS r2_test, round(s.a - f.a, 5) AS change_validation, round(s.b - f.b, 5) AS change_r2_validation, round(s.c - f.c, 5) AS change_test, round(s.d - f.d, 5) AS change_r2_test
+    FROM sc s JOIN u ON u.variant = s.variant, (SELECT * FROM sc WHERE variant = 'full') f"""
+
+
+@query("O_M9_ablation_all", _ablation_sql())
+def _(t):
+    rows = t.marked.withColumns({"xw": F.col("x") * F.col("wind"), "w": F.col("rain") + 1})
+    return _rounded(G.ablation(rows, _FAMILIES, "y", 10.0, "w", unions=_UNIONS, parts=_PARTS, excepting=_EXCEPT, added=["slot"]), [], 5)
+
+
+@query("O_M9_ablation_of_trees", f"""WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql("full", "tr", "y")}, {_split_sql("nokind", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "")},
+    {_split_sql("nolevels", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "").replace(" UNION ALL SELECT 'slot' AS f, CAST(slot AS DOUBLE) AS v, y AS t FROM tr", "")},
+    e AS (SELECT 'full' AS variant, 3 AS n_features, split, y, {_SIDE} AS p FROM marked, full_b UNION ALL SELECT 'minus kind', 2, split, y, {_SIDE} FROM marked, nokind_b UNION ALL SELECT 'minus levels', 1, split, y, {_SIDE} FROM marked, nolevels_b), s AS (SELECT variant, n_features, split, {_TREE_SCORES} FROM e WHERE split <> 'train' GROUP BY ALL)
+    SELECT s.*, round(s.rmse - f.rmse, 3) AS change_rmse, round(s.r2 - f.r2, 3) AS change_r2 FROM s JOIN s f ON f.split = s.split AND f.variant = 'full'""")
+def _(t):
+    fit = lambda rows, columns: M.tree_fit(rows, columns, "y", depth=1)
+    found = M.ablation(t.marked, {"kind": ["kind"], "rest": ["flag", "slot"]}, fit, "y", unions={"all": ["kind", "rest"]}, parts={"levels": ["kind", "slot"]})
+    out = _rounded(found.filter("variant <> 'minus rest'"), [], 4)
+    return out.withColumns({c: F.round(c, 3) for c in ("change_rmse", "change_r2")})
 
 
 _E = "round(sqrt(avg(pow(y_true - y_pred, 2))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS mae"
