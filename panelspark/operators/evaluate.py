@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shipping import ship_code
+from ..shipping import saved, ship_code
+from .permute import ranked
 from .windows import dedupe_keep
 
 KEY = ["model", "stage", "grain", "feature_set", "split"]
@@ -68,85 +69,96 @@ def _block_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y_true").alias("y"), F.sum(F.col("y_true") * F.col("y_true")).alias("yy"), F.sum(e * e).alias("ee"), F.sum(F.abs(e)).alias("ae"))
 
 
-def block_sums(df: DataFrame, block: Sequence[str], model: str = "model") -> DataFrame:
-    """Sufficient sums of each block and model, with the block's number from 0 in key order (dense, for integer draws).
-
-    Blocks are entity-weeks, numbered inside each value of the first column of block, the entity; only the
-    entities' numbers of blocks, one row each, are added up in one window."""
-    sums = _block_sums(df, [*block, model])
-    blocks = sums.select(*block).distinct()
-    before = F.sum("_n").over(W.orderBy(block[0]).rowsBetween(W.unboundedPreceding, -1))
-    first = blocks.groupBy(block[0]).agg(F.count("*").alias("_n")).select(block[0], F.coalesce(before, F.lit(0)).alias("_first"))
-    own = F.row_number().over(W.partitionBy(block[0]).orderBy(*block))
-    numbers = blocks.join(first, block[0]).select(*block, (F.col("_first") + own - 1).alias("block"))
-    return sums.join(numbers, list(block))
-
-
-def draw(round_: Column, place: Column, seed: int) -> Column:
-    """A number below 2^60 from a hash of round, place and seed, which any engine with md5 can repeat."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", round_, place, F.lit(seed))), 1, 15), 16, 10).cast("long")
-
-
 def drawn_number(round_: int, place: int, seed: int) -> int:
-    """As draw, on the driver."""
+    """A number below 2^60 from a hash of round, place and seed, which any engine with md5 can repeat."""
     return int(hashlib.md5(f"{round_}:{place}:{seed}".encode()).hexdigest()[:15], 16)
 
 
-def resample(sums: DataFrame, rounds: int, seed: int, model: str = "model") -> DataFrame:
-    """(round, model, rmse, mae, r2): in each round as many blocks are drawn with replacement as there are,
-    the same for all models. Draws are hashes of (round, place); only (round, block) multiplicities meet the
-    sums, never rows. Each block is a place, and tasks share the places. SQL can repeat the draws;
-    bucket_rounds needs no numbers of blocks, and is faster for many."""
-    count = sums.agg(F.max("block").cast("long").alias("_last"))
-    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = sums.select(F.col("block").cast("long").alias("place")).distinct().repartition(parts, "place").join(F.broadcast(count))
-    draws = places.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("round"), "place", "_last")
-    pick = draw(F.col("round"), F.col("place"), seed) % (F.col("_last") + 1)
-    times = draws.select("round", pick.alias("block")).groupBy("round", "block").agg(F.count("*").alias("times"))
-    met = sums.join(times, "block").groupBy("round", model).agg(*[F.sum(F.col(c) * F.col("times")).alias(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])
-    return met.withColumns(_scores(*[F.col(f"_{c}") for c in ("n", "y", "yy", "ee", "ae")])).drop("_n", "_y", "_yy", "_ee", "_ae")
-
-
-def bucket_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str | Sequence[str] = "model", buckets: int = 512) -> DataFrame:
-    """(round, model, rmse, mae, r2) as resample gives, of df itself, for any number of blocks and rounds.
-
-    Blocks lie in hashed buckets. A round first draws how many of its blocks come from each bucket, then each
-    bucket draws so many of its own, in a task: together this is drawing from all blocks with replacement.
-    Tasks return one sum a round and model. The driver sees the number of blocks in each bucket."""
-    ship_code(df.sparkSession)
-    names, parts = _names(model), ["n", "y", "yy", "ee", "ae"]
-    keyed = _block_sums(df, [*block, *names]).withColumn("_b", F.pmod(F.xxhash64(*block), F.lit(buckets)).cast("int"))
-    sizes = dict(keyed.select("_b", *block).distinct().groupBy("_b").count().collect())  # one row a bucket
-    order = sorted(sizes)
-    shares = np.array([sizes[b] for b in order], float)
-    drawn = np.random.default_rng([seed, 0]).multinomial(int(shares.sum()), shares / max(shares.sum(), 1), rounds) if order else np.zeros((rounds, 0), int)
-    take = {b: drawn[:, i].astype(np.int32) for i, b in enumerate(order)}
-    keys, block = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*names).schema), list(block)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["_b"].iloc[0])
-        place = pdf.groupby(block, dropna=False).ngroup().to_numpy()
-        count, rng = int(place.max()) + 1, np.random.default_rng([seed, 1, b])
-        found = [(key, place[at], pdf[parts].to_numpy(float, na_value=0.0)[at]) for key, at in pdf.groupby(names, dropna=False).indices.items()]
-        sums = np.zeros((len(found), rounds, len(parts)))
-        tables = np.zeros((len(found), count, len(parts)))
+#: Blocks of a bucket at least, and buckets at most.
+BUCKET, BUCKETS = 4096, 4096
+_WORD = np.uint64(2**32 - 1)
+#: The multipliers of MurmurHash3's 32-bit finaliser, and the golden ratio's 32 bits.
+_MIX, _STEP = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B1
+
+
+def mixed(x) -> np.ndarray:
+    """A bijection of 32-bit numbers, held in 64 bits, whose bits all depend on all bits. Any engine with 64-bit integers can repeat it."""
+    x = np.asarray(x, np.uint64) & _WORD
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(_MIX[0]) & _WORD
+    x = (x ^ (x >> np.uint64(13))) * np.uint64(_MIX[1]) & _WORD
+    return x ^ (x >> np.uint64(16))
+
+
+def drawn_numbers(seed: int, stream: int, rounds, index, count) -> np.ndarray:
+    """Numbers below count, each from its round and its index in it, by counters alone. stream tells draws apart."""
+    rounds, index = np.asarray(rounds, np.uint64), np.asarray(index, np.uint64)
+    key = mixed(rounds * np.uint64(_STEP) + np.uint64((seed * 8 + stream) & 0xFFFFFFFF))
+    high, low = mixed(index + key), mixed(index * np.uint64(_STEP) + key)
+    return ((high << np.uint64(31)) + (low >> np.uint64(1))) % np.asarray(count, np.uint64)
+
+
+def block_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str | Sequence[str] = "model", bucket: int = BUCKET) -> DataFrame:
+    """(round, model, rmse, mae, r2): in each round as many blocks are drawn with replacement as there are, the same ones for all models.
+
+    Rows are read once, for the sums of each block and model; then blocks are numbered in key order, and runs of numbers are
+    buckets, BUCKETS at most. A round first draws how many of its blocks come from each bucket, in tasks that share the draws;
+    then each bucket draws so many of its own, in a task: together this is drawing from all blocks. Tasks return a
+    number for each round and bucket, and a sum for each round and model. Draws come from counters (drawn_numbers), so that
+    SQL repeats them and partitions don't matter. Without rows there are no rounds."""
+    spark = df.sparkSession
+    ship_code(spark)
+    names, block, parts = _names(model), list(block), ["n", "y", "yy", "ee", "ae"]
+    sums = saved(_block_sums(df, [*block, *names]), "blocks")
+    numbers, n = ranked(sums.select(*block).distinct(), block, "_number")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*names).schema)
+    size = max(bucket, -(-n // BUCKETS))
+    count = -(-n // size) if n else 0
+    numbers = numbers.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], "_number")
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(block)]
+    keyed = sums.join(numbers, same).withColumn("_bucket", F.expr(f"_number DIV {size}")).select("_bucket", "_number", *names, *[F.col(c).cast("double").alias(c) for c in parts])
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((rounds, count), np.int64)
+        every = np.arange(1, rounds + 1)[:, None]
+        for pdf in batches:
+            for start in pdf["id"]:
+                place = np.arange(start * BUCKET, min(n, (start + 1) * BUCKET))
+                for lo in range(0, rounds, 128):
+                    found = drawn_numbers(seed, 0, every[lo : lo + 128], place, n) // np.uint64(size)
+                    at = np.arange(len(found), dtype=np.int64)[:, None] * count + found.astype(np.int64)
+                    held[lo : lo + 128] += np.bincount(at.ravel(), minlength=len(found) * count).reshape(-1, count)
+        if held.any():
+            yield pd.DataFrame({"_bucket": np.arange(count), "held": [h.tobytes() for h in held.T]})
+
+    def draw(key: tuple, own: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        b, take = int(key[0]), sum(np.frombuffer(h, np.int64) for h in shares["held"])
+        width = min(size, n - b * size)
+        found = [(k if isinstance(k, tuple) else (k,), own["_number"].to_numpy()[at] - b * size, own[parts].to_numpy(float, na_value=0.0)[at]) for k, at in own.groupby(names, dropna=False).indices.items()]
+        tables = np.zeros((len(found), width, len(parts)))
         for i, (_, at, values) in enumerate(found):
             tables[i, at] = values
-        step = max(1, 2_000_000 // count)
+        out = np.zeros((len(found), rounds, len(parts)))
+        step = max(1, 2_000_000 // width)
         for lo in range(0, rounds, step):
-            times = np.stack([np.bincount(rng.integers(0, count, n), minlength=count) for n in take[b][lo : lo + step]]).astype(float)
-            sums[:, lo : lo + step] = times @ tables
-        out = [pd.DataFrame(x, columns=parts).assign(round=np.arange(1, rounds + 1), **dict(zip(names, key if isinstance(key, tuple) else (key,), strict=True))) for (key, *_), x in zip(found, sums, strict=True)]
-        return pd.concat(out)[["round", *names, *parts]]
-
-    met = keyed.groupBy("_b").applyInPandas(draw, f"round long, {keys}, " + ", ".join(f"{c} double" for c in parts))
+            n_own = take[lo : lo + step]
+            row = np.repeat(np.arange(len(n_own)), n_own)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+            picked = drawn_numbers(seed, 1, row + lo + 1, index + b * (1 << 20), width).astype(np.int64)
+            times = np.bincount(row * width + picked, minlength=len(n_own) * width).reshape(-1, width).astype(float)
+            out[:, lo : lo + step] = times @ tables
+        made = [pd.DataFrame(x, columns=parts).assign(round=np.arange(1, rounds + 1), **dict(zip(names, k, strict=True))) for (k, *_), x in zip(found, out, strict=True)]
+        return pd.concat(made)[["round", *names, *parts]]
+
+    chunks = spark.range(-(-n // BUCKET)).repartition(max(1, min(-(-n // BUCKET), 4 * spark.sparkContext.defaultParallelism)))
+    shares = chunks.mapInPandas(share, "_bucket long, held binary")
+    met = keyed.groupBy("_bucket").cogroup(shares.groupBy("_bucket")).applyInPandas(draw, f"round long, {keys}, " + ", ".join(f"{c} double" for c in parts))
     met = met.groupBy("round", *names).agg(*[F.sum(c).alias(f"_{c}") for c in parts])
     return met.withColumns(_scores(*[F.col(f"_{c}") for c in parts])).drop(*[f"_{c}" for c in parts])
 
 
-def block_bootstrap(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str = "model") -> DataFrame:
+def block_bootstrap(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str | Sequence[str] = "model") -> DataFrame:
     """2.5 and 97.5 per cent points of r2, rmse and mae of each model over resampled blocks."""
-    return intervals(resample(block_sums(df, block, model), rounds, seed, model), model)
+    return intervals(block_rounds(df, block, rounds, seed, model), model)
 
 
 def intervals(rounds: DataFrame, model: str | Sequence[str] = "model") -> DataFrame:

@@ -293,10 +293,30 @@ def _(t):
     return _rounded(E.error_breakdown(rows, ["kind", "flag", "single"], "k"), [], 5)
 
 
-_BLOCKS = """s AS (SELECT k, isoyear(d) * 100 + week(d) AS wk, model, count(*) AS n, sum(y_true) AS y, sum(y_true * y_true) AS yy, sum(pow(y_true - y_pred, 2)) AS ee, sum(abs(y_true - y_pred)) AS ae FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY ALL),
-    b AS (SELECT k, wk, row_number() OVER (ORDER BY k, wk) - 1 AS block FROM (SELECT DISTINCT k, wk FROM s) u), c AS (SELECT max(block) AS last FROM b), r AS (SELECT unnest(range(1, 21)) AS rnd), pl AS (SELECT unnest(range(0, CAST(last + 1 AS BIGINT))) AS place, last FROM c),
-    t AS (SELECT rnd, CAST('0x' || substr(md5(rnd || ':' || place || ':3'), 1, 15) AS BIGINT) % (last + 1) AS block, count(*) AS times FROM r, pl GROUP BY ALL),
-    z AS (SELECT t.rnd, s.model, sum(n * times) AS n, sum(y * times) AS y, sum(yy * times) AS yy, sum(ee * times) AS ee, sum(ae * times) AS ae FROM s JOIN b ON s.k = b.k AND s.wk = b.wk JOIN t ON t.block = b.block GROUP BY t.rnd, s.model), v AS (SELECT rnd, model, sqrt(ee / n) AS rmse, ae / n AS mae, 1 - ee / (yy - y * y / n) AS r2 FROM z)"""
+def _mixed_sql(x: str) -> str:
+    """The bijection of 32-bit numbers that draws come from."""
+    for shift, by in ((16, 2246822507), (13, 3266489909)):
+        x = f"((xor({x}, {x} >> {shift}) * {by}) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
+def _drawn_sql(index: str, stream: int, count: str) -> str:
+    """A number below count from the key of a round (k0, k1) and an index in it."""
+    high, low = (_mixed_sql(f"(CAST({i} AS UBIGINT) & 4294967295)") for i in (f"({index} + k{stream})", f"({index} * 2654435761 + k{stream})"))
+    return f"CAST((({high} << 31) + ({low} >> 1)) % CAST({count} AS UBIGINT) AS BIGINT)"
+
+
+def _keys_sql(seed: int, stream: int) -> str:
+    return _mixed_sql(f"(CAST(rnd * 2654435761 + {seed * 8 + stream} AS UBIGINT) & 4294967295)")
+
+
+#: Sums of blocks by set and model, draws of 1,000 rounds first from buckets of 4,096 blocks and then inside them, and the rounds' scores.
+_BLOCKS = f"""s AS MATERIALIZED (SELECT k, isoyear(d) * 100 + week(d) AS wk, feature_set, model, count(*) AS n, sum(y_true) AS y, sum(y_true * y_true) AS yy, sum(pow(y_true - y_pred, 2)) AS ee, sum(abs(y_true - y_pred)) AS ae FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY ALL),
+    b AS MATERIALIZED (SELECT k, wk, row_number() OVER (ORDER BY k, wk) - 1 AS block FROM (SELECT DISTINCT k, wk FROM s) u), c AS (SELECT CAST(count(*) AS BIGINT) AS total FROM b), r AS MATERIALIZED (SELECT rnd, {_keys_sql(3, 0)} AS k0, {_keys_sql(3, 1)} AS k1 FROM (SELECT unnest(range(1, 1001)) AS rnd) x),
+    l AS MATERIALIZED (SELECT rnd, k1, total, d // 4096 AS bucket, count(*) AS times FROM (SELECT rnd, k1, total, {_drawn_sql("place", 0, "total")} AS d FROM r, (SELECT total, unnest(range(0, total)) AS place FROM c) p) q GROUP BY ALL),
+    t AS MATERIALIZED (SELECT rnd, bucket * 4096 + {_drawn_sql("(j + bucket * 1048576)", 1, "least(4096, total - bucket * 4096)")} AS block, count(*) AS times FROM (SELECT *, unnest(range(0, times)) AS j FROM l) q GROUP BY ALL),
+    z AS (SELECT t.rnd, s.feature_set, s.model, sum(n * times) AS n, sum(y * times) AS y, sum(yy * times) AS yy, sum(ee * times) AS ee, sum(ae * times) AS ae FROM s JOIN b ON s.k = b.k AND s.wk = b.wk JOIN t ON t.block = b.block GROUP BY t.rnd, s.feature_set, s.model), v AS MATERIALIZED (SELECT rnd, feature_set, model, sqrt(ee / n) AS rmse, ae / n AS mae, 1 - ee / (yy - y * y / n) AS r2 FROM z)"""
+_ENDS = ", ".join(f"round(quantile_cont({c}, {q}), 5) AS {c}_{n}" for c in ("r2", "rmse", "mae") for n, q in (("low", 0.025), ("high", 0.975)))
 
 
 def _all_blocks(t):
@@ -304,14 +324,14 @@ def _all_blocks(t):
     return t.preds.filter("stage = 'default' AND split = 'test'").withColumn("wk", week)
 
 
-@query("O_E6_block_bootstrap", f"WITH {_BLOCKS} SELECT model, round(quantile_cont(r2, 0.025), 5) AS r2_low, round(quantile_cont(r2, 0.975), 5) AS r2_high, round(quantile_cont(rmse, 0.025), 5) AS rmse_low, round(quantile_cont(rmse, 0.975), 5) AS rmse_high, round(quantile_cont(mae, 0.025), 5) AS mae_low, round(quantile_cont(mae, 0.975), 5) AS mae_high FROM v GROUP BY model")
+@query("O_E6_block_bootstrap", f"WITH {_BLOCKS} SELECT model, {_ENDS} FROM v GROUP BY model")
 def _(t):
-    return _rounded(E.block_bootstrap(_all_blocks(t), ["k", "wk"], 20, 3), [], 5)
+    return _rounded(E.block_bootstrap(_all_blocks(t), ["k", "wk"], 1000, 3), [], 5)
 
 
-@query("O_E6_block_bootstrap_all")
+@query("O_E6_block_bootstrap_all", f"WITH {_BLOCKS} SELECT feature_set, model, {_ENDS} FROM v GROUP BY feature_set, model")
 def _(t):
-    return _rounded(E.intervals(E.bucket_rounds(_all_blocks(t), ["k", "wk"], 1000, 3)), [], 5)
+    return _rounded(E.block_bootstrap(_all_blocks(t), ["k", "wk"], 1000, 3, ["feature_set", "model"]), [], 5)
 
 
 @query("O_E7_compare_to_best", f"""WITH {_BLOCKS}, sc AS (SELECT model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY model), be AS (SELECT model AS best FROM sc WHERE model NOT IN ('B1', 'B2') ORDER BY r2 DESC, model DESC LIMIT 1),
@@ -319,15 +339,18 @@ def _(t):
     SELECT model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
 def _(t):
     rows = _all_blocks(t)
-    rounds = E.resample(E.block_sums(rows, ["k", "wk"]), 20, 3)
+    rounds = E.block_rounds(rows, ["k", "wk"], 1000, 3)
     return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
 
 
-@query("O_E7_compare_to_best_all")
+@query("O_E7_compare_to_best_all", f"""WITH {_BLOCKS}, sc AS (SELECT feature_set, model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY feature_set, model), be AS (SELECT feature_set, max_by(model, r2) AS best FROM sc WHERE model NOT IN ('B1', 'B2') GROUP BY feature_set),
+    q AS (SELECT be.feature_set, v.model, be.best, v.r2 - w.r2 AS d FROM be JOIN v ON v.feature_set = be.feature_set OR (v.model IN ('B1', 'B2') AND v.feature_set = 'all') JOIN v w ON w.rnd = v.rnd AND w.feature_set = be.feature_set AND w.model = be.best),
+    o AS (SELECT feature_set, model, best, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM q GROUP BY feature_set, model, best)
+    SELECT feature_set, model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
 def _(t):
     rows = _all_blocks(t)
     names = ["feature_set", "model"]
-    rounds = E.bucket_rounds(rows, ["k", "wk"], 1000, 3, names)
+    rounds = E.block_rounds(rows, ["k", "wk"], 1000, 3, names)
     return _rounded(E.compare_to_best(rounds, E.evaluate(rows, names).select(*names, "r2"), ["B1", "B2"], group="feature_set"), [], 5)
 
 

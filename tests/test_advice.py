@@ -14,10 +14,11 @@ def test_bootstrap_takes_every_entity_and_round(spark):
     bed = testbed.Testbed(spark, SF)
     rows = q_models._all_blocks(bed)
     assert rows.filter("k >= 20").count() > 0
-    sums = evaluate.block_sums(rows, ["k", "wk"])
     found = {r["model"]: r for r in registry.QUERIES["O_E6_block_bootstrap_all"](spark, SF).collect()}
     # brute force: independent draws of the same blocks
-    table = sums.groupBy("block").pivot("model").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy", "ee")]).orderBy("block").toPandas()
+    e = F.col("y_true") - F.col("y_pred")
+    sums = {"n": F.count("y_true"), "y": F.sum("y_true"), "yy": F.sum(F.col("y_true") * F.col("y_true")), "ee": F.sum(e * e)}
+    table = rows.groupBy("k", "wk").pivot("model").agg(*[x.alias(c) for c, x in sums.items()]).orderBy("k", "wk").toPandas()
     draws = np.random.default_rng(0).multinomial(len(table), np.full(len(table), 1 / len(table)), 2000)
     for m in found:
         n, y, yy, ee = (draws @ table[f"{m}_{c}"].to_numpy() for c in ("n", "y", "yy", "ee"))
@@ -26,8 +27,8 @@ def test_bootstrap_takes_every_entity_and_round(spark):
 
 
 def test_many_rounds_of_many_blocks(spark):
-    blocks = spark.range(20000).select(F.col("id").cast("int").alias("block"), F.lit("m").alias("model"), F.lit(1).alias("n"), F.col("id").cast("double").alias("y"), (F.col("id") * F.col("id")).cast("double").alias("yy"), F.lit(1.0).alias("ee"), F.lit(1.0).alias("ae"))
-    assert evaluate.resample(blocks, 200, 3).count() == 200  # round x place x 613 is beyond 32 bits
+    rows = spark.range(20000).select("id", F.lit("m").alias("model"), F.col("id").cast("double").alias("y_true"), (F.col("id") + 1).cast("double").alias("y_pred"))
+    assert evaluate.block_rounds(rows, ["id"], 200, 3).filter("rmse = 1").count() == 200
 
 
 def test_monitor_table_has_every_row_and_several_files(spark, monkeypatch):

@@ -78,14 +78,48 @@ def test_nearest_site_keeps_every_point(spark):
 
 def test_draws_reach_every_block_evenly(spark):
     n, rounds = 40, 200
-    df = spark.range(n).crossJoin(spark.range(1, rounds + 1).withColumnRenamed("id", "round"))
-    rows = df.select((evaluate.draw(F.col("round"), F.col("id"), 3) % n).alias("b"), "round", "id").collect()
-    assert all(r["b"] == evaluate.drawn_number(r["round"], r["id"], 3) % n for r in rows)
-    counts = np.bincount([r["b"] for r in rows], minlength=n)
-    assert ((counts - rounds) ** 2 / rounds).sum() < 80  # chi-squared with 39 degrees of freedom
-    sums = evaluate.block_sums(df.select((F.col("id") % 5).alias("k"), F.col("id").alias("w"), F.lit("m").alias("model"), F.lit(1.0).alias("y_true"), F.lit(1.0).alias("y_pred")), ["k", "w"])
-    numbers = [(r["k"], r["w"], r["block"]) for r in sums.collect()]
-    assert [b for *_, b in sorted(numbers)] == list(range(n))
+    for own in (np.array([evaluate.drawn_number(r, i, 3) % n for r in range(1, rounds + 1) for i in range(n)]), evaluate.drawn_numbers(3, 0, np.arange(1, rounds + 1)[:, None], np.arange(n), n).ravel().astype(int)):
+        counts = np.bincount(own, minlength=n)
+        assert ((counts - rounds) ** 2 / rounds).sum() < 80  # chi-squared with 39 degrees of freedom
+    # numbers of one round, and of one place, don't go together
+    found = evaluate.drawn_numbers(5, 1, np.arange(1, 400)[:, None], np.arange(400), 1 << 31).astype(float)
+    assert abs(np.corrcoef(found[:-1].ravel(), found[1:].ravel())[0, 1]) < 0.02 and abs(np.corrcoef(found[:, :-1].ravel(), found[:, 1:].ravel())[0, 1]) < 0.02
+    assert abs(found.mean() / 2**31 - 0.5) < 0.01 and len(np.unique(evaluate.mixed(np.arange(100_000)))) == 100_000
+
+
+def brute_rounds(table, width, rounds, seed, n):
+    """Scores of each round of table (block number, model, y_true, y_pred), with the draws one by one."""
+    out = {}
+    for r in range(1, rounds + 1):
+        first = [int(evaluate.drawn_numbers(seed, 0, r, i, n)) // width for i in range(n)]
+        times = {}
+        for b in sorted(set(first)):
+            for j in range(first.count(b)):
+                block = b * width + int(evaluate.drawn_numbers(seed, 1, r, j + b * (1 << 20), min(width, n - b * width)))
+                times[block] = times.get(block, 0) + 1
+        assert sum(times.values()) == n
+        for m, own in table.groupby("model"):
+            drawn = own.loc[own.index.repeat(own["number"].map(times).fillna(0).astype(int))]
+            e = drawn["y_true"] - drawn["y_pred"]
+            out[r, m] = (np.sqrt((e**2).mean()), e.abs().mean(), 1 - (e**2).sum() / ((drawn["y_true"] - drawn["y_true"].mean()) ** 2).sum())
+    return out
+
+
+def test_rounds_of_blocks_equal_rows_drawn_one_by_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"k{i % 9}" if i % 50 else None, int(i // 9 % 8), m, float(v), float(v + w)) for i, (v, w) in enumerate(rng.normal(size=(900, 2))) for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "k string, w long, model string, y_true double, y_pred double")
+    table = df.toPandas()
+    order = {key: i for i, key in enumerate(sorted({(k or "", w) for k, w, *_ in rows}))}
+    table["number"] = [order[k or "", w] for k, w in zip(table["k"], table["w"], strict=True)]
+    want = brute_rounds(table, 16, 25, 4, len(order))
+    for parts in (1, 5):
+        found = evaluate.block_rounds(df.repartition(parts), ["k", "w"], 25, 4, bucket=16).collect()
+        assert len(found) == len(want)
+        assert all((r["rmse"], r["mae"], r["r2"]) == pytest.approx(want[r["round"], r["model"]]) for r in found)
+    assert evaluate.block_rounds(df.limit(0), ["k"], 5).count() == 0 and evaluate.block_bootstrap(df.limit(0), ["k"], 5).count() == 0
+    one = evaluate.block_bootstrap(df, ["k"], 50).first()
+    assert one["r2_low"] < one["r2_high"]
 
 
 def test_permutations_exchange_each_row_once(spark):
@@ -155,7 +189,7 @@ def test_code_reaches_tasks_from_any_folder(tmp_path):
         assert stats.corr_matrix(df, ["x", "y"]).count() == 1
         assert gram.leave_one_entity_out(df, ["x"], "y", 1.0, "f").count() == 2
         rows = df.withColumnsRenamed({{"y": "y_true", "x": "y_pred"}})
-        assert evaluate.bucket_rounds(rows, ["f"], 3).count() == 3
+        assert evaluate.block_rounds(rows, ["f"], 3).count() == 3
     """)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=False)
