@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import saved
 from .quality import check_unique, require
 
 EARTH_KM = 6371.0088
@@ -63,18 +65,28 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, assigned: str | None = None) -> DataFrame:
-    """Nearest of sites (site, lat, lon) to each of points (id, lat, lon): site and distance_km to 0.1.
+#: Sites that go to the tasks as one array; more are dealt to cells.
+FEW_SITES = 1000
 
-    sites is a dimension of a few thousand rows at most and goes to the tasks as one array. Every point stays,
-    equal ones too; without sites, or without a place, site and distance are NULL. With assigned, flag is OK if one of the
+
+def nearest_site(points: DataFrame, sites: DataFrame, assigned: str | None = None, few: int = FEW_SITES) -> DataFrame:
+    """Nearest of sites (site, lat, lon) to each of points (id, lat, lon): site and distance_km to 0.1; of equally near ones the
+    first by name.
+
+    Every point stays, equal ones too; without sites, or without a place, site and distance are NULL. With assigned, flag is OK if one of the
     assigned name (up to " (") and the found one contains the other, whatever the case, else REVIEW.
-    """
-    there = sites.select(F.col("site").alias("_site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    packed = there.agg(F.collect_list(F.struct("_site", "_lat", "_lon")).alias("_all"))
-    far = lambda s: haversine_km(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"])
-    known = F.filter(F.transform("_all", lambda s: F.struct(far(s).alias("d"), s["_site"].alias("s"))), lambda x: x["d"].isNotNull())
-    best = points.join(F.broadcast(packed)).withColumn("_b", F.array_min(known))
+
+    Up to `few` sites go to the tasks as one array; more are looked for in cells (nearest_by_cells)."""
+    there = sites.select(F.col("site").alias("_site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).dropna(subset=["_lat", "_lon"])
+    if there.limit(few + 1).count() > few:
+        places = points.select("lat", "lon").dropna().distinct()
+        best = nearest_by_cells(places, there).select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.struct("d", "s").alias("_b"))
+        best = points.join(best, (F.col("lat") == F.col("_plat")) & (F.col("lon") == F.col("_plon")), "left").drop("_plat", "_plon")
+    else:
+        packed = there.agg(F.collect_list(F.struct("_site", "_lat", "_lon")).alias("_all"))  # few rows, counted above
+        far = lambda s: haversine_km(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"])
+        known = F.filter(F.transform("_all", lambda s: F.struct(far(s).alias("d"), s["_site"].alias("s"))), lambda x: x["d"].isNotNull())
+        best = points.join(F.broadcast(packed)).withColumn("_b", F.array_min(known))
     found = best.select(*points.columns, F.col("_b.s").alias("site"), F.round("_b.d", 1).alias("distance_km"))
     if assigned is None:
         return found
@@ -82,6 +94,42 @@ def nearest_site(points: DataFrame, sites: DataFrame, assigned: str | None = Non
     return found.withColumn("flag", F.when(F.coalesce(a.contains(b) | b.contains(a), F.lit(False)), "OK").otherwise("REVIEW"))
 
 
+def nearest_by_cells(places: DataFrame, sites: DataFrame) -> DataFrame:
+    """(lat, lon, d, s): nearest of sites (_site, _lat, _lon) to each of places (lat, lon), all different, and its distance in km.
+
+    Places and sites are points of the unit sphere in cubic cells, so that neither poles nor the date line are edges. A place looks in the
+    27 cells round its own, an equality join; sites in others are at least a cell's width away, in a straight line. If the
+    best one found is nearer it is the nearest; the other places look again in cells of twice the width, at last in all.
+    Sites of one place are one. The first width is that of cells with about one site, were they spread evenly."""
+    ball = lambda lat, lon: [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+    axes = ("x", "y", "z")
+    there = sites.groupBy("_lat", "_lon").agg(F.min("_site").alias("_site"))
+    there = saved(there.withColumns(dict(zip([f"_{a}" for a in axes], ball(F.col("_lat"), F.col("_lon")), strict=True))), "sites")
+    todo = saved(places.withColumns(dict(zip(axes, ball(F.col("lat"), F.col("lon")), strict=True))), "places")
+    width = min(2.0, (4 * math.pi / max(there.count(), 1)) ** 0.5)
+    found = None
+    while True:
+        cell = lambda c, w=width: F.floor(c / w).cast("long")
+        near = todo
+        for a in axes:
+            near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(a)) - 1, cell(F.col(a)) + 1)))
+        own = there.withColumns({f"c{a}": cell(F.col(f"_{a}")) for a in axes})
+        met = near.join(own, [f"c{a}" for a in axes])
+        best = met.groupBy("lat", "lon").agg(F.min(F.struct(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("d"), F.col("_site").alias("s"))).alias("b"))
+        best = best.select("lat", "lon", "b.d", "b.s")
+        last = width >= 2.0
+        if not last:  # an arc over a chord of the cell's width, less rounding
+            best = best.filter(F.col("d") < 2 * EARTH_KM * math.asin(width / 2) * (1 - 1e-9) - 1e-6)
+        best = saved(best, "nearest")
+        found = best if found is None else found.unionByName(best)
+        if last:
+            return found
+        todo = saved(todo.join(best, ["lat", "lon"], "left_anti"), "places")
+        if todo.isEmpty():
+            return found
+        width = min(2.0, 2 * width)
+
+
 def web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     r = 6378137.0
     return r * F.radians(lon), r * F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2))
@@ -112,11 +160,13 @@ def nearest_segment(points: DataFrame, polylines: DataFrame, radius_m: float) ->
 def nearest_event_window(df: DataFrame, date: str, events: DataFrame, max_days: int) -> DataFrame:
     """Rows within max_days of an event (event_date): the nearest one, the earlier of equally near, and gap_days.
 
-    events is a calendar, a few thousand dates at most; it goes to the tasks as one array."""
-    packed = events.select("event_date").distinct().agg(F.array_sort(F.collect_list("event_date")).alias("_all"))
-    near = F.array_min(F.transform("_all", lambda e: F.struct(F.abs(F.datediff(F.col(date), e)).alias("gap"), e.alias("event"))))
-    rows = df.join(F.broadcast(packed)).withColumn("_n", near).drop("_all").filter(F.col("_n.gap") <= max_days)
-    return rows.select(*df.columns, F.col("_n.event").alias("event_date"), F.datediff(F.col(date), F.col("_n.event")).alias("gap_days"))
+    Each event, however many there are, is dealt to the days that it may be nearest to; a day keeps its nearest one, and
+    rows meet it by their day. Nothing holds all events."""
+    day = F.explode(F.sequence(F.date_sub("event_date", max_days), F.date_add("event_date", max_days)))
+    days = events.select("event_date").dropna().distinct().select("event_date", day.alias("_day"))
+    near = days.groupBy("_day").agg(F.min(F.struct(F.abs(F.datediff("_day", "event_date")).alias("gap"), F.col("event_date").alias("event"))).alias("_n"))
+    rows = df.join(near, F.to_date(F.col(date)) == F.col("_day"))
+    return rows.select(*df.columns, F.col("_n.event").alias("event_date"), F.datediff(F.col("_day"), F.col("_n.event")).alias("gap_days"))
 
 
 def calendar_flag(df: DataFrame, date: str, holidays: DataFrame, name: str) -> DataFrame:

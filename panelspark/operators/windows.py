@@ -44,6 +44,38 @@ def time_rolling(k: str, tick: str, column: str, width: int, agg: str, min_perio
     return F.when(enough, f).otherwise(0.0), enough.cast("int")
 
 
+def rolling_features(df: DataFrame, k: str, tick: str, specs: dict[str, tuple[str, int, str, int]]) -> DataFrame:
+    """df with, for each name -> (column, width, agg, min_periods), what time_rolling gives as name and name_available.
+
+    A frame over [t - width, t) is the difference of two that begin at the entity's first row, of counts, sums and squares about
+    the entity's mean. Those only grow, so that any number of specs of any width are one pass over one sort, and the time
+    doesn't depend on the widths. Differences that are within the sums' rounding of nothing are 0."""
+    columns = list(dict.fromkeys(c for c, _, _, _ in specs.values()))
+    at = {c: i for i, c in enumerate(columns)}
+    own = W.partitionBy(k)
+    rows = df.withColumns({f"_m{i}": F.avg(c).over(own) for c, i in at.items()})
+    rows = rows.withColumns({f"_x{i}": F.col(c).cast("double") - F.col(f"_m{i}") for c, i in at.items()})
+    sums = {}
+    for c, width in sorted({(c, w) for c, w, _, _ in specs.values()} | {(c, 0) for c in columns}):
+        frame, x = by_time(k, tick).rangeBetween(W.unboundedPreceding, -width - 1), f"_x{at[c]}"
+        sums |= {f"_n{at[c]}_{width}": F.count(x).over(frame), f"_s{at[c]}_{width}": F.coalesce(F.sum(x).over(frame), F.lit(0.0)), f"_q{at[c]}_{width}": F.coalesce(F.sum(F.col(x) * F.col(x)).over(frame), F.lit(0.0))}
+    rows = rows.withColumns(sums)
+    made = {}
+    for name, (c, width, agg, least) in specs.items():
+        i = at[c]
+        n, s, q = (F.col(f"_{v}{i}_0") - F.col(f"_{v}{i}_{width}") for v in "nsq")
+        rounding = 1e-13 * F.col(f"_q{i}_0")
+        spread = q - s * s / n
+        value = {
+            "mean": F.col(f"_m{i}") + s / n,
+            "sum": s + n * F.col(f"_m{i}"),
+            "std": F.when((n == 1) | (spread <= rounding), 0.0).otherwise(F.sqrt(spread / n)),
+        }[agg]
+        enough = n >= max(least, 1)
+        made |= {name: F.when(enough, value).otherwise(0.0), f"{name}_available": (n >= least).cast("int")}
+    return rows.withColumns(made).drop(*sums, *[f"_{v}{i}" for v in "mx" for i in at.values()])
+
+
 def prior_expanding(k: str, tick: str, column: str) -> dict[str, Column]:
     """Mean (of 1 at least) and population deviation (of 2 at least) of all earlier rows, and against them
     the value's ratio (else 1), difference (else 0) and z-score (else 0)."""

@@ -66,6 +66,20 @@ def _(t):
     return J.nearest_site(points, t.sites, "assigned").select("id", "site", "distance_km", "flag")
 
 
+#: Places all over the globe, customers as points and parts as sites, in SQL and as columns.
+_GLOBE = "-90 + CAST({0} * 7919 % 18001 AS DOUBLE) / 100 AS lat, -180 + CAST({0} * 104729 % 36001 AS DOUBLE) / 100 AS lon"
+
+
+@query("O_J6_nearest_of_many_sites", f"""WITH p AS (SELECT c_custkey AS id, {_GLOBE.format("c_custkey")} FROM customer), s AS (SELECT p_partkey AS site, {_GLOBE.format("(p_partkey * 31 + 7)")} FROM part),
+    c AS (SELECT p.id, s.site, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(s.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) AS km FROM p CROSS JOIN s)
+    SELECT id, CAST(arg_min(site, round(km, 9)) AS VARCHAR) AS site, round(min(km), 1) AS distance_km FROM c GROUP BY id""")
+def _(t):
+    globe = lambda key: [(-90 + (key * 7919 % 18001).cast("double") / 100).alias("lat"), (-180 + (key * 104729 % 36001).cast("double") / 100).alias("lon")]
+    points = t.customer.select(F.col("c_custkey").alias("id"), *globe(F.col("c_custkey")))
+    sites = t.part.select(F.col("p_partkey").cast("string").alias("site"), *globe(F.col("p_partkey") * 31 + 7))
+    return J.nearest_site(points, sites, few=100).select("id", "site", "distance_km")
+
+
 @query("O_J7_nearest_segment", """WITH p AS (SELECT o_orderkey AS id, CAST(o_orderkey * 7919 % 20000 AS DOUBLE) AS x, CAST(o_custkey * 104729 % 20000 AS DOUBLE) AS y FROM orders),
     l AS (SELECT n_nationkey AS segment_id, CAST(n_nationkey * 800 AS DOUBLE) AS x1, 0.0 AS y1, CAST(n_nationkey * 700 + 500 AS DOUBLE) AS x2, 9000.0 AS y2, CAST(n_nationkey * 900 AS DOUBLE) AS x3, 20000.0 AS y3 FROM nation),
     s AS (SELECT segment_id, x1, y1, x2, y2 FROM l UNION ALL SELECT segment_id, x2, y2, x3, y3 FROM l),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import quality as V
+from ..operators import scans as Sc
 from ..operators import windows as Wn
 from .q_scalars import r6
 from .testbed import query
@@ -33,6 +34,35 @@ def _(t):
     return t.daily.select("k", "tick", r6(mean, "mean14"), has.alias("mean14_available"), r6(Wn.time_rolling("k", "tick", "gappy", 14, "std", 3)[0], "std14"), r6(Wn.time_rolling("k", "tick", "x", 14, "sum", 1)[0], "sum14"))
 
 
+#: As many specs as a feature build has: means, deviations and sums over a week to a quarter.
+_ROLLED = {f"{agg}{width}_{c}": (c, width, agg, least) for c, aggs in (("x", ("mean", "std", "sum")), ("y", ("mean", "std")), ("gappy", ("mean", "std")), ("rain", ("mean", "sum"))) for agg in aggs for width, least in ((7, 2), (28, 7)) } | {f"mean91_{c}": (c, 91, "mean", 14) for c in ("x", "y", "gappy", "wind")}
+_ROLLED_SQL = {"mean": "avg({0}) OVER w{1}", "std": "stddev_pop({0}) OVER w{1}", "sum": "sum({0}) OVER w{1}"}
+
+
+@query("O_W3_rolling_features", f"""SELECT k, tick, {", ".join(f"CASE WHEN count({c}) OVER w{w} >= {m} THEN round({_ROLLED_SQL[a].format(c, w)}, 5) ELSE 0.0 END AS {n}, CAST(count({c}) OVER w{w} >= {m} AS INTEGER) AS {n}_available" for n, (c, w, a, m) in _ROLLED.items())}
+    FROM daily WINDOW {", ".join(f"w{w} AS (PARTITION BY k ORDER BY tick RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in (7, 28, 91))}""")
+def _(t):
+    rows = Wn.rolling_features(t.daily, "k", "tick", _ROLLED)
+    return rows.select("k", "tick", *[r for n in _ROLLED for r in (F.round(n, 5).alias(n), F.col(f"{n}_available"))])
+
+
+@query("O_W4_long_entities", """WITH r AS (SELECT 1 AS one, row_id, y, gappy, count(y) OVER w AS c, avg(y) OVER w AS m, stddev_pop(y) OVER w AS s, last_value(gappy IGNORE NULLS) OVER (ORDER BY row_id) AS f FROM daily WINDOW w AS (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT row_id, round(m, 5) AS prior_mean, CASE WHEN c >= 2 THEN round(s, 4) END AS prior_std, CAST(c > 0 AS INTEGER) AS prior_available, round(coalesce(y - m, 0), 5) AS prior_difference, round(coalesce(f, 0), 5) AS filled FROM r""")
+def _(t):
+    """All rows as one entity, whose slices are as many tasks' work."""
+    rows = t.daily.select(F.lit(1).alias("one"), "row_id", "y", "gappy")
+    out = Sc.prior_expanding_of_slices(rows, ["one"], "row_id", "y", 100_000)
+    out = Sc.forward_fill_of_slices(out, ["one"], "row_id", "gappy", 100_000, "filled")
+    return out.select("row_id", F.round("prior_mean", 5).alias("prior_mean"), F.round("prior_std", 4).alias("prior_std"), "prior_available", F.round("prior_difference", 5).alias("prior_difference"), F.round("filled", 5).alias("filled"))
+
+
+@query("O_W5_long_entities", """WITH r AS (SELECT row_id, x, avg(x) OVER (PARTITION BY slot ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM daily)
+    SELECT row_id, round(coalesce(greatest(-3, least(3, ln(1 + x) - ln(1 + m))), 0), 5) AS surprise, CAST(m IS NOT NULL AS INTEGER) AS has_slot FROM r""")
+def _(t):
+    out = Sc.slot_surprise_of_slices(t.daily.select("slot", "row_id", "x"), ["slot"], "row_id", "x", 100_000)
+    return out.select("row_id", F.round("surprise", 5).alias("surprise"), "has_slot")
+
+
 @query("O_W4_prior_expanding", """WITH r AS (SELECT k, tick, y, count(y) OVER w AS c, avg(y) OVER w AS m, stddev_pop(y) OVER w AS s FROM daily WINDOW w AS (PARTITION BY k ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT k, tick, round(m, 6) AS prior_mean, CASE WHEN c >= 2 THEN round(s, 5) END AS prior_std, CAST(c > 0 AS INTEGER) AS prior_available, round(coalesce(CASE WHEN m <> 0 THEN y / m END, 1), 6) AS prior_ratio, round(coalesce(y - m, 0), 6) AS prior_difference FROM r""")
 def _(t):
