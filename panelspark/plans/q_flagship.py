@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, evaluate, features, windows
 from ..operators.quality import check_unique, require
+from ..shipping import saved
 from .q_joins import _rounded
 from .testbed import Testbed, query
 
@@ -27,9 +28,10 @@ def hourly_features(panel: DataFrame) -> DataFrame:
     p AS (SELECT m.k, m.y, coalesce(l.y, e.v, g.v) AS q, f.m24, l.k IS NOT NULL AS has FROM m LEFT JOIN hourly l ON l.k = m.k AND l.tick = m.tick - 3600 LEFT JOIN e ON e.k = m.k JOIN f ON f.k = m.k AND f.tick = m.tick, g WHERE m.split = 'test')
     SELECT k, count(*) AS n, round(sqrt(avg(pow(y - q, 2))), 4) AS rmse, round(avg(abs(y - q)), 4) AS mae, CAST(count_if(has) AS BIGINT) AS with_lag, round(avg(coalesce(m24, 0)), 4) AS mean_day_before FROM p GROUP BY k""")
 def flagship(t: Testbed) -> DataFrame:
-    require(check_unique(t.hourly, ["k", "tick"]))
-    rows = hourly_features(t.hourly).withColumn("t", F.timestamp_seconds("tick"))
-    rows = features.chrono_split(rows, "t")
+    panel = saved(t.hourly, "hourly")
+    require(check_unique(panel, ["k", "tick"]))
+    panel = features.chrono_split(panel.withColumn("t", F.timestamp_seconds("tick")), "t")
+    rows = hourly_features(panel)
     scored = baselines.persistence_baseline(rows, "k", "tick", "y", HOUR).filter("split = 'test'")
     extra = scored.groupBy("k").agg(F.sum("lag1_available").alias("with_lag"), F.avg("mean24").alias("mean_day_before"))
     out = evaluate.evaluate(scored.withColumnRenamed("y", "y_true"), ["k"]).join(extra, "k")

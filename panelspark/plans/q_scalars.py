@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import features, reshape
+from ..operators import features, reshape, scans
 from ..operators.features import dispersion_proxy
 from .testbed import query
 
@@ -164,16 +164,28 @@ def _(t):
     return out.select("k", *[r6(F.col(c), c) for c in out.columns[1:]])
 
 
-@query("O_R5_sequence_windows", """SELECT a.k, a.tick, CAST(sum(CASE WHEN b.k IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS available, round(sum(coalesce(b.x, 0) * (j.j + 1)), 6) AS weighted
-    FROM daily a CROSS JOIN (SELECT unnest(range(0, 5)) AS j) j LEFT JOIN daily b ON b.k = a.k AND b.tick = a.tick - j.j GROUP BY a.k, a.tick""")
-def _(t):
-    out = reshape.sequence_windows(t.daily, "k", "tick", ["x"], 1, 5)
+_SEQUENCES = """SELECT a.k, a.tick, CAST(sum(CASE WHEN b.k IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS available, round(sum(coalesce(b.x, 0) * (j.j + 1)), 6) AS weighted
+    FROM daily a CROSS JOIN (SELECT unnest(range(0, 5)) AS j) j LEFT JOIN daily b ON b.k = a.k AND b.tick = a.tick - j.j GROUP BY a.k, a.tick"""
+
+
+def _weighed(out):
     s = F.col("sequence")
     available = sum((s[i]["avail"] for i in range(5)), F.lit(0.0))
     weighted = sum((s[i]["x"][0] * (5 - i) for i in range(5)), F.lit(0.0))
     return out.select("k", "tick", available.alias("available"), r6(weighted, "weighted"))
 
 
+@query("O_R5_sequence_windows", _SEQUENCES)
+def _(t):
+    return _weighed(reshape.sequence_windows(t.daily, "k", "tick", ["x"], 1, 5))
+
+
+@query("O_R5_long_entities", _SEQUENCES)
+def _(t):
+    """The same windows, of slices of a year instead of whole entities."""
+    return _weighed(scans.sequence_windows_of_slices(t.daily, ["k"], "tick", ["x"], 1, 5, 365))
+
+
 @query("O_F9_drop_redundant", "SELECT row_id, k, x FROM daily")
 def _(t):
     return features.drop_redundant(t.daily.select("row_id", "k", "x", "y", "wind"), ["y", "wind"])
