@@ -62,7 +62,7 @@ _CONTAINERS = set("div section ul ol dl table aside nav header footer form detai
 _FIRM_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe "
     "subscription popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs related recommended recommendations share sharing "
-    "comment comments commentlist respond disqus reply replies pagination pager login signup".split()
+    "comment comments commentlist cmt cmts talkback talkbacks usercomments respond disqus reply replies pagination pager login signup".split()
 )
 _SOFT_WORDS = set("banner notice notices overlay header footer masthead social widget widgets search copyright disclaimer toolbar".split())
 _STATE_WORDS = set("no not non has have with without is are hide hidden show open closed js".split())
@@ -73,7 +73,7 @@ _BESIDE_WORDS = set(
     "field email mobile desktop fixed sticky small large first last author form".split()
 )
 _MAIN_WORDS = set("article content entry post story text body main title headline image figure caption".split())
-_ARTICLE_WORDS = set("comment comments reply replies ad ads advert sponsored related promo".split())
+_ARTICLE_WORDS = set("comment comments commentlist cmt cmts talkback talkbacks usercomments reply replies ad ads advert sponsored related promo".split())
 
 
 class Block(NamedTuple):

@@ -10,11 +10,13 @@ its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -83,15 +85,27 @@ def _byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+#: How a tokenizer file says that it drops white space, lowers case and splits by classes of code points.
+SPLIT_BY_CLASS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
 class Encoder:
     """Ids, as little-endian 32-bit integers, of texts.
 
-    The tokenizer drops white space and splits the rest by classes of code points before it merges bytes, so that
-    a text's ids are those of its pieces, and these repeat. Strings between blanks that aren't plain go through
-    the whole tokenizer."""
+    A tokenizer whose file says SPLIT_BY_CLASS drops white space and splits the rest by classes of code points before it
+    merges bytes, so that a text's ids are those of its pieces, and these repeat. Strings between blanks that aren't plain
+    go through the whole tokenizer, and so do all texts of any other tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.by_class = all(file.get(k) == v for k, v in SPLIT_BY_CLASS.items()) and file["model"].get("end_of_word_suffix") == "</w>"
         self.model = self.tokenizer.model
         self.pieces, self.strings = _Table(self._piece), _Table(self._string)
 
@@ -120,6 +134,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, a stretch of it at a time; None is an empty text."""
+        if not self.by_class:
+            return self._string(text or "")
         parts, at = [], 0
         while text and at < len(text):
             blank = _BLANK.search(text, at + STRETCH)

@@ -41,3 +41,18 @@ def test_one_text_of_a_repeated_document(spark):
     labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(200)], "doc_id long, quality int")
     found = quality.train(docs, labels)
     assert len(found.labels) == len(found.vectors) == labels.filter(~quality.held_out()).count()
+
+
+def test_tokenizers_of_other_kinds_are_taken_whole():
+    from tokenizers import Tokenizer
+
+    from panelspark.llm import packing
+    from panelspark.llm.queries import tokenizer_file
+
+    texts = ["Hello World  and\n\ttabs, it's 2024!", "É'tat ünïcode 汉字 😀", "", None, "a" * 3000 + " B" * 10]
+    for name, by_class in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = tokenizer_file(name)
+        own, whole = packing.Encoder(path), Tokenizer.from_file(path)
+        assert own.by_class is by_class
+        for t in texts:
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
