@@ -118,7 +118,7 @@ def importance_by_group(phi: DataFrame, group: str, top: int = 10) -> DataFrame:
 
 def case_attributions(phi: DataFrame, cases: DataFrame, row: str, top: int = 10) -> DataFrame:
     """The largest contributions, by size, to each case (case, row)."""
-    rows = phi.join(F.broadcast(cases.withColumnRenamed("row", row)), row)
+    rows = phi.join(cases.withColumnRenamed("row", row), row)
     place = F.row_number().over(W.partitionBy("case").orderBy(F.desc(F.abs("phi")), "feature"))
     return rows.withColumn("place", place).filter(F.col("place") <= top)
 

@@ -39,7 +39,7 @@ def borrow_column(df: DataFrame, donors: DataFrame, column: str, entity: str, ke
     lacking = df.groupBy(entity).agg(F.max(F.col(column).isNotNull()).alias("_has")).filter(~F.col("_has")).select(entity)
     lent = donors.join(lacking, entity)
     values = df.select(F.col(entity).alias("donor"), *keys, F.col(column).alias("_lent")).dropDuplicates(["donor", *keys])
-    rows = df.join(F.broadcast(lent), entity, "left").join(values, ["donor", *keys], "left")
+    rows = df.join(lent, entity, "left").join(values, ["donor", *keys], "left")
     given = F.col("donor").isNotNull()
     return rows.withColumns({column: F.when(given, F.col("_lent")).otherwise(F.col(column)), f"{column}_source": F.col("donor")}).select(*df.columns, f"{column}_source")
 
@@ -172,7 +172,7 @@ def nearest_event_window(df: DataFrame, date: str, events: DataFrame, max_days:
 def calendar_flag(df: DataFrame, date: str, holidays: DataFrame, name: str) -> DataFrame:
     """0/1: whether date is among holidays (date)."""
     marks = holidays.select(F.col("date").alias(date)).distinct().withColumn(name, F.lit(1))
-    return df.join(F.broadcast(marks), date, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return df.join(marks, date, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def exclude_entities(df: DataFrame, exclusions: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
