@@ -252,13 +252,12 @@ def _(t):
 
 @query("O_M9_ablation_of_trees", f"""WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql("full", "tr", "y")}, {_split_sql("nokind", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "")},
     {_split_sql("nolevels", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "").replace(" UNION ALL SELECT 'slot' AS f, CAST(slot AS DOUBLE) AS v, y AS t FROM tr", "")},
-    e AS (SELECT 'full' AS variant, 3 AS n_features, split, y, {_SIDE} AS p FROM marked, full_b UNION ALL SELECT 'minus kind', 2, split, y, {_SIDE} FROM marked, nokind_b UNION ALL SELECT 'minus levels', 1, split, y, {_SIDE} FROM marked, nolevels_b), s AS (SELECT variant, n_features, split, {_TREE_SCORES} FROM e WHERE split <> 'train' GROUP BY ALL)
-    SELECT s.*, round(s.rmse - f.rmse, 3) AS change_rmse, round(s.r2 - f.r2, 3) AS change_r2 FROM s JOIN s f ON f.split = s.split AND f.variant = 'full'""")
+    e AS (SELECT 'full' AS variant, 3 AS n_features, split, y, {_SIDE} AS p FROM marked, full_b UNION ALL SELECT 'minus kind', 2, split, y, {_SIDE} FROM marked, nokind_b UNION ALL SELECT 'minus levels', 1, split, y, {_SIDE} FROM marked, nolevels_b), s AS (SELECT variant, n_features, split, count(*) AS n, sqrt(avg(pow(y - p, 2))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM e WHERE split <> 'train' GROUP BY ALL)
+    SELECT s.variant, s.n_features, s.split, s.n, round(s.rmse, 4) AS rmse, round(s.mae, 4) AS mae, round(s.r2, 4) AS r2, round(s.rmse - f.rmse, 4) AS change_rmse, round(s.r2 - f.r2, 4) AS change_r2 FROM s JOIN s f ON f.split = s.split AND f.variant = 'full'""")
 def _(t):
     fit = lambda rows, columns: M.tree_fit(rows, columns, "y", depth=1)
     found = M.ablation(t.marked, {"kind": ["kind"], "rest": ["flag", "slot"]}, fit, "y", unions={"all": ["kind", "rest"]}, parts={"levels": ["kind", "slot"]})
-    out = _rounded(found.filter("variant <> 'minus rest'"), [], 4)
-    return out.withColumns({c: F.round(c, 3) for c in ("change_rmse", "change_r2")})
+    return _rounded(found.filter("variant <> 'minus rest'"), [], 4)
 
 
 _E = "round(sqrt(avg(pow(y_true - y_pred, 2))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS mae"
