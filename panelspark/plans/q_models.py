@@ -253,11 +253,12 @@ def _(t):
 @query("O_M9_ablation_of_trees", f"""WITH tr AS (SELECT kind, flag, slot, y FROM marked WHERE split = 'train'), {_split_sql("full", "tr", "y")}, {_split_sql("nokind", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "")},
     {_split_sql("nolevels", "tr", "y").replace("SELECT 'kind' AS f, CAST(kind AS DOUBLE) AS v, y AS t FROM tr UNION ALL ", "").replace(" UNION ALL SELECT 'slot' AS f, CAST(slot AS DOUBLE) AS v, y AS t FROM tr", "")},
     e AS (SELECT 'full' AS variant, 3 AS n_features, split, y, {_SIDE} AS p FROM marked, full_b UNION ALL SELECT 'minus kind', 2, split, y, {_SIDE} FROM marked, nokind_b UNION ALL SELECT 'minus levels', 1, split, y, {_SIDE} FROM marked, nolevels_b), s AS (SELECT variant, n_features, split, count(*) AS n, sqrt(avg(pow(y - p, 2))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM e WHERE split <> 'train' GROUP BY ALL)
-    SELECT s.variant, s.n_features, s.split, s.n, round(s.rmse, 4) AS rmse, round(s.mae, 4) AS mae, round(s.r2, 4) AS r2, round(s.rmse - f.rmse, 4) AS change_rmse, round(s.r2 - f.r2, 4) AS change_r2 FROM s JOIN s f ON f.split = s.split AND f.variant = 'full'""")
+    SELECT s.variant, s.n_features, s.split, s.n, round(s.rmse, 4) AS rmse, round(s.mae, 4) AS mae, round(s.r2, 4) AS r2, round(s.rmse - f.rmse, 4) + 0.0 AS change_rmse, round(s.r2 - f.r2, 4) + 0.0 AS change_r2 FROM s JOIN s f ON f.split = s.split AND f.variant = 'full'""")
 def _(t):
     fit = lambda rows, columns: M.tree_fit(rows, columns, "y", depth=1)
     found = M.ablation(t.marked, {"kind": ["kind"], "rest": ["flag", "slot"]}, fit, "y", unions={"all": ["kind", "rest"]}, parts={"levels": ["kind", "slot"]})
-    return _rounded(found.filter("variant <> 'minus rest'"), [], 4)
+    out = _rounded(found.filter("variant <> 'minus rest'"), [], 4)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("change_rmse", "change_r2")})  # no negative zeros
 
 
 _E = "round(sqrt(avg(pow(y_true - y_pred, 2))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS mae"
@@ -476,10 +477,11 @@ def _(t):
 
 @query("O_X9_two_steps", f"""WITH RECURSIVE {_WINDOW_FIT}, o AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS r FROM f), {_ways_sql("o", "(0)")},
     j AS (SELECT o.y, o.a, o.b, o.c, g.a AS a2, g.b AS b2, g.c AS c2 FROM ways JOIN o ON o.r = ways.r JOIN o g ON g.r = ways.q), p AS (SELECT y, b0 + ba * a + bb2 * b + bc2 * c AS p, b0 + ba * a2 + bb2 * b2 + bc2 * c AS p0, b0 + ba * a + bb2 * b + bc2 * c2 AS p1 FROM j, h),
-    r AS (SELECT sum(pow(y - p, 2)) AS e, sum(pow(y - p0, 2)) AS e0, sum(pow(y - p1, 2)) AS e1, sum(y * y) - sum(y) * sum(y) / count(*) AS t FROM p) SELECT 'position 0' AS family, round((e0 - e) / t, 4) AS drop_mean, 0.0 AS drop_sd FROM r UNION ALL SELECT 'position 1', round((e1 - e) / t, 4), 0.0 FROM r""")
+    r AS (SELECT sum(pow(y - p, 2)) AS e, sum(pow(y - p0, 2)) AS e0, sum(pow(y - p1, 2)) AS e1, sum(y * y) - sum(y) * sum(y) / count(*) AS t FROM p) SELECT 'position 0' AS family, round((e0 - e) / t, 4) + 0.0 AS drop_mean, CAST(0 AS DOUBLE) AS drop_sd FROM r UNION ALL SELECT 'position 1', round((e1 - e) / t, 4) + 0.0, CAST(0 AS DOUBLE) FROM r""")
 def _(t):
     model, flat = _two_steps(t)
-    return _rounded(X.window_importance(flat, model, ["x"], 2, "row_id", "y", 1), [], 4)
+    out = _rounded(X.window_importance(flat, model, ["x"], 2, "row_id", "y", 1), [], 4)
+    return out.withColumn("drop_mean", F.col("drop_mean") + 0.0)  # no negative zeros
 
 
 @query("O_X10_rank_agreement", """WITH s AS (SELECT CAST(kind AS VARCHAR) AS m, month(d) AS f, avg(y) AS v FROM daily GROUP BY 1, 2), j AS (SELECT a.m AS a, b.m AS b, a.f, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.f = b.f AND a.m < b.m), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) AS rb FROM j) SELECT a, b, count(*) AS n, round(corr(ra, rb), 5) AS rho FROM r GROUP BY a, b""")
