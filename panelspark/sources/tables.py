@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.reshape import HOURS
 from ..operators.windows import dedupe_keep
+from ..shipping import saved
 
 
 def _file_name() -> F.Column:
@@ -28,6 +29,14 @@ def read_wide_hours(spark: SparkSession, path: str, fields: str, hours: Sequence
 FIELDS = 64
 
 
+def _fields(line: str) -> F.Column:
+    """The fields of a line of CSV: between its commas, or as the CSV parser says if it has a quote. The parser's record is
+    bound once, so that no plan parses a line again for each field."""
+    parsed = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(FIELDS))), {"mode": "PERMISSIVE"})
+    quoted = F.transform(F.array(parsed), lambda c: F.array(*[c[f"c{i}"] for i in range(FIELDS)]))[0]
+    return F.when(F.contains(F.col(line), F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
 def monitor_headers(lines: DataFrame) -> DataFrame:
     """(file, names): the names, in lower case, of the columns of each file of lines (file, place, fields), from its header:
     its first line with the names date and time. Lines before it, whatever their number, are a preamble."""
@@ -44,12 +53,13 @@ def read_monitor_table(spark: SparkSession, path: str | list[str], roles: dict[s
     also has a part listed in without; whatever the case. Where a file has no such column the role is NULL. Bad values and dates are
     NULL; lines whose date isn't d/M/y, headers and preambles among them, are no rows, and a file without a header has none.
 
-    A file's header is a row of a table, joined back to its lines, which are read as arrays of FIELDS fields at most."""
-    fields = ", ".join(f"c{i} string" for i in range(FIELDS))
+    A file's header is a row of a saved table, joined back to its lines; if the table is small, Spark sees so and the lines aren't
+    exchanged. Lines with quotes are read as FIELDS fields at most."""
     raw = spark.read.text(path).filter(F.trim("value") != "").withColumns({"file": F.col("_metadata.file_path"), "place": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))})
-    parsed = F.from_csv("value", F.lit(fields), {"mode": "PERMISSIVE"})
-    lines = raw.withColumn("_c", parsed).select("file", "place", F.array(*[F.col(f"_c.c{i}") for i in range(FIELDS)]).alias("fields"))
-    heads = monitor_headers(lines.filter(F.arrays_overlap(F.transform("fields", lambda c: F.lower(F.trim(c))), F.array(F.lit("date")))))
+    lower = F.lower("value")
+    named = raw.filter(lower.contains("date") & lower.contains("time")).select("file", "place", _fields("value").alias("fields"))
+    heads = monitor_headers(named)
+    lines = raw.select("file", _fields("value").alias("fields"))
 
     def first(wanted) -> F.Column:
         """The number of the first column that is wanted, or NULL."""
@@ -59,7 +69,8 @@ def read_monitor_table(spark: SparkSession, path: str | list[str], roles: dict[s
         has = lambda c, words: sum((c.contains(w.lower()).cast("int") for w in words), F.lit(0)) > 0
         return lambda c: c.isNotNull() & has(c, roles[name]) & ~has(c, (without or {}).get(name, ())) & ~c.isin("date", "time")
 
-    heads = heads.select("file", first(lambda c: c == "date").alias("_at_date"), first(lambda c: c == "time").alias("_at_time"), *[first(role(r)).alias(f"_role_{r}") for r in roles])
+    heads = heads.withColumn("names", F.slice("names", 1, FIELDS)).select("file", first(lambda c: c == "date").alias("_at_date"), first(lambda c: c == "time").alias("_at_time"), *[first(role(r)).alias(f"_role_{r}") for r in roles])
+    heads = saved(heads, "headers")
     value = lambda place: F.trim(F.get("fields", F.col(place)))
     rows = lines.join(heads, "file").filter(value("_at_date").rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"))
     return rows.select(

@@ -26,3 +26,11 @@ def test_the_first_header_of_a_file_counts(spark, tmp_path):
     found = tables.read_monitor_table(spark, str(tmp_path), {"target": ["NO2"]})
     assert [r["target"] for r in found.orderBy("date").collect()] == [float(d) for d in range(1, 30)]
     assert tables.read_monitor_table(spark, [str(tmp_path / "a.csv")], {"target": ["none"]}).filter("target IS NOT NULL").count() == 0
+
+
+def test_lines_with_quotes_and_a_plan_that_parses_each_line_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Time,"NO2, ""1h""",WSP\n01/02/2024,01:00,"9.0",1.5\n"02/02/2024",02:00,8,\n')
+    found = tables.read_monitor_table(spark, str(tmp_path), {"target": ["NO2"], "wind": ["WSP"]})
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == [(DAY, 1, 9.0, 1.5), (DAY + datetime.timedelta(1), 2, 8.0, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") <= 2 and "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
