@@ -371,6 +371,6 @@ def _(t):
 def _(t):
     path = _folder(t, "predictions")
     t.preds.filter("stage = 'default'").select("model", "row_id", "y_pred").write.partitionBy("model").parquet(path)
-    read = T.index_prediction_files(t.spark, f"{path}/*/*.parquet", r"^(part)-(\d+)", ["kind", "number"])
-    named = read.withColumn("model", F.regexp_extract(F.input_file_name(), "model=([^/]+)/", 1)).filter("kind = 'part'")
+    read = T.index_prediction_files(t.spark, f"{path}/*/*.parquet", r"^model=([^/]+)/(part)-(\d+)", ["model", "kind", "number"], 1)
+    named = read.filter("kind = 'part'")
     return named.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("y_pred"), 4).alias("total"))

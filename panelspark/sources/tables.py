@@ -120,7 +120,13 @@ def stack_tables(parts: Sequence[DataFrame], labels: Sequence[dict[str, str]]) -
     return out
 
 
-def index_prediction_files(spark: SparkSession, path: str, pattern: str, names: Sequence[str]) -> DataFrame:
-    """Rows of Parquet files with what the groups of pattern find in their names."""
+def index_prediction_files(spark: SparkSession, path: str, pattern: str, names: Sequence[str], folders: int = 0) -> DataFrame:
+    """Rows of Parquet files with what the groups of pattern find in their names, with so many folders before them.
+
+    Names are taken apart once a file, in a saved table that is joined to the rows."""
     raw = spark.read.parquet(path)
-    return raw.select(*[F.regexp_extract(_file_name(), pattern, i + 1).alias(n) for i, n in enumerate(names)], "*")
+    file = F.col("_metadata.file_path")
+    found = raw.select(file.alias("_file")).distinct()
+    name = F.substring_index("_file", "/", -1 - folders)
+    index = saved(found.select("_file", *[F.regexp_extract(name, pattern, i + 1).alias(n) for i, n in enumerate(names)]), "files")
+    return raw.withColumn("_file", file).join(index, "_file").select(*[index[n] for n in names], *[raw[c] for c in raw.columns])

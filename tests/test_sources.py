@@ -34,3 +34,12 @@ def test_lines_with_quotes_and_a_plan_that_parses_each_line_once(spark, tmp_path
     assert sorted((tuple(r) for r in found.collect()), key=repr) == [(DAY, 1, 9.0, 1.5), (DAY + datetime.timedelta(1), 2, 8.0, None)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_csv") <= 2 and "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_names_are_taken_apart_once_a_file(spark, tmp_path):
+    for stage in ("default", "tuned"):
+        spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/stage={stage}")
+    found = tables.index_prediction_files(spark, f"{tmp_path}/*/*.parquet", r"^stage=(\w+)/(part)-(\d+)", ["stage", "kind", "number"], 1)
+    assert found.columns == ["stage", "kind", "number", "id"]
+    assert {tuple(r) for r in found.groupBy("stage", "kind", "number").count().collect()} == {("default", "part", "00000", 5), ("tuned", "part", "00000", 5)}
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
