@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shipping import saved, ship_code
+from ..shipping import dealt, saved, ship_code
 
 CELLS = 512
 
@@ -85,9 +85,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]]) -> dict[str
 
 
 def percentiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
-    """Exact percentiles of whole columns, between neighbours by interpolation; None for a column without values."""
+    """Exact percentiles of whole columns, between neighbours by interpolation; None for a column without values.
+
+    The columns are saved first, as each pass reads them: what made df runs once."""
     if not wanted:
         return {}
+    df = saved(df.select(*[F.col(c).cast("double").alias(c) for c in wanted]), "columns")
     there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     counts = df.agg(*[F.count_if(there(c)).alias(f"n{i}") for i, c in enumerate(wanted)]).first()
     size = {c: counts[f"n{i}"] for i, c in enumerate(wanted)}
@@ -105,7 +108,7 @@ def percentiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str,
     return {c: [between(c, p) for p in place[c]] for c in wanted}
 
 
-#: Groups up to this size have all their values counted; the accuracy of the sketches of larger ones.
+#: Groups up to this size have all their values sorted; the accuracy of the sketches of larger ones.
 SMALL, ACCURACY = 5000, 10_000
 
 
@@ -113,19 +116,41 @@ def group_percentiles(df: DataFrame, group: str, column: str, wanted: Sequence[f
     """(group, n, q): exact percentiles of column in each group, q[i] for wanted[i], between neighbours by interpolation, and
     the number of values. NULL and NaN have no rank; groups without values, and the NULL group, are left out.
 
-    Mergeable sketches give each group bounds around each percentile, as near as two ten-thousandths of its rows. One
-    pass then counts the values below the bounds as one and those inside one by one, in every task, so that a group of any size is read by
-    all tasks and what is sorted is the small part inside."""
+    Groups up to SMALL values are sorted where they are dealt. Of larger ones, mergeable sketches give bounds around each
+    percentile, as near as two ten-thousandths of its rows. One pass then counts the values below the bounds as one and those
+    inside one by one, in every task, so that a group of any size is read by all tasks and what is sorted is the small part inside."""
     v = F.col(column).cast("double")
-    rows = df.select(F.col(group).alias("g"), v.alias("v")).filter(F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = saved(df.select(F.col(group).alias("g"), v.alias("v")).filter(F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")), "values")
+    counts = saved(rows.groupBy("g").agg(F.count("*").alias("n")), "counts")
+    small, found = rows, None
+    if not counts.filter(F.col("n") > SMALL).isEmpty():
+        small = rows.join(counts.filter(F.col("n") <= SMALL).select("g"), "g", "left_semi")
+        found = _large_percentiles(rows.join(counts.filter(F.col("n") > SMALL).select("g"), "g", "left_semi"), wanted)
+        small = saved(small, "small")
+    small = dealt(small, "g")
+    own = W.partitionBy("g")
+    small = small.withColumns({"_rank": F.row_number().over(own.orderBy("v")) - 1, "n": F.count("*").over(own)})
+    places = [F.lit(float(q)) * (F.col("n") - 1) for q in wanted]
+    at = lambda r: F.min(F.when(F.col("_rank") == r, F.col("v")))
+    ends = small.groupBy("g").agg(F.first("n").alias("n"), *[e for j, p in enumerate(places) for e in (at(F.floor(p)).alias(f"_low{j}"), at(F.ceil(p)).alias(f"_high{j}"))])
+    out = ends.select("g", "n", F.array(*[_between(p, F.col(f"_low{j}"), F.col(f"_high{j}")) for j, p in enumerate(places)]).alias("q"))
+    return (out if found is None else out.unionByName(found)).withColumnRenamed("g", group)
+
+
+def _between(place: Column, low: Column, high: Column) -> Column:
+    below, above = F.floor(place), F.ceil(place)
+    return F.when(below == above, low).otherwise((above - place) * low + (place - below) * high)
+
+
+def _large_percentiles(rows: DataFrame, wanted: Sequence[float]) -> DataFrame:
+    """group_percentiles of (g, v), whose groups have more than SMALL values."""
     near = 1 / SMALL + 2 / ACCURACY
     ends = [min(max(q + e, 0.0), 1.0) for q in wanted for e in (-near, near)]
     bounds = saved(rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("_b")), "bounds")
-    large = F.col("n") > SMALL
 
     def part(j: int) -> Column:
         """0 for a value below the j-th percentile's bounds, 1 inside, 2 above; and the value inside."""
-        low, high = F.when(large, F.col("_b")[2 * j]), F.when(large, F.col("_b")[2 * j + 1])
+        low, high = F.col("_b")[2 * j], F.col("_b")[2 * j + 1]
         if wanted[j] - near <= 0:
             low = F.lit(None).cast("double")
         side = F.when(F.col("v") < low, 0).when(F.col("v") > high, 2).otherwise(1)
@@ -137,10 +162,9 @@ def group_percentiles(df: DataFrame, group: str, column: str, wanted: Sequence[f
     place = F.element_at(F.array(*[F.lit(float(q)) for q in wanted]), F.col("j") + 1) * (F.col("n") - 1)
     at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("value")))
     found = counted.withColumns({"_upto": upto, "_place": place}).groupBy("g", "j").agg(F.first("n").alias("n"), F.first("_place").alias("_p"), at(F.floor("_place")).alias("_low"), at(F.ceil("_place")).alias("_high"))
-    low, high = F.floor("_p"), F.ceil("_p")
-    value = F.when(low == high, F.col("_low")).otherwise((high - F.col("_p")) * F.col("_low") + (F.col("_p") - low) * F.col("_high"))
+    value = _between(F.col("_p"), F.col("_low"), F.col("_high"))
     own = [F.max(F.when(F.col("j") == j, value)) for j in range(len(wanted))]
-    return found.groupBy(F.col("g").alias(group)).agg(F.max("n").alias("n"), F.array(*own).alias("q"))
+    return found.groupBy("g").agg(F.max("n").alias("n"), F.array(*own).alias("q"))
 
 
 def literal(value: float | None) -> Column:
@@ -149,7 +173,9 @@ def literal(value: float | None) -> Column:
 
 def bins(df: DataFrame, columns: dict[str, int], row: str) -> dict[str, Column]:
     """For each column and number of bins, the bin from 1 on of the row's rank by (column, row), cut at the
-    quantiles of the ranks as equal_bins cuts them. NULL without a value. row: distinct integers below 2^53."""
+    quantiles of the ranks as equal_bins cuts them. NULL without a value. row: distinct integers below 2^53.
+
+    df is read several times: give a saved table."""
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     ranks = {c: [b * (counts[f"n{i}"] - 1) // n + 1 for b in range(1, n)] if counts[f"n{i}"] > 1 else [] for i, (c, n) in enumerate(columns.items())}
     cuts = order_statistics(df, ranks)

@@ -88,6 +88,7 @@ def cleaning_ledger(df: DataFrame, entity: str, steps: Sequence[tuple[str, Colum
 
 def iqr_outliers(df: DataFrame, k: str, y: str, width: float = 1.5) -> DataFrame:
     """Quartiles, fences, and number and per cent of values outside them, per entity."""
+    df = saved(df.select(k, y), "values")  # what made df runs once
     found = group_percentiles(df, k, y, [0.25, 0.75])
     spread = F.col("q")[1] - F.col("q")[0]
     found = found.select(k, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[0] - width * spread).alias("low"), (F.col("q")[1] + width * spread).alias("high"))
@@ -142,6 +143,7 @@ def distribution_stats(df: DataFrame, y: str) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, k: str, y: str) -> DataFrame:
     """Quartiles, whiskers (farthest values within 1.5 quartile ranges) and the entity's place by median."""
+    df = saved(df.select(k, y), "values")  # what made df runs once
     found = group_percentiles(df, k, y, [0.25, 0.5, 0.75]).select(k, *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     q = df.select(k).distinct().join(saved(found, "quartiles"), k, "left")  # entities without values keep a row
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -47,3 +47,14 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task where `dealt` deals.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A saved table's rows, dealt by keys to as many tasks as their number needs, so that a task's memory doesn't grow with
+    the table. Without keys, evenly. The session's number of partitions is the least."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+    return df.repartition(tasks, *keys)
