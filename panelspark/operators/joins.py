@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import saved
+from ..shipping import dealt, saved
 from .quality import check_unique, require
 
 EARTH_KM = 6371.0088
@@ -36,9 +36,10 @@ def panel_join(drivers: DataFrame, registry: DataFrame, weather: DataFrame, targ
 def borrow_column(df: DataFrame, donors: DataFrame, column: str, entity: str, keys: Sequence[str]) -> DataFrame:
     """An entity whose column is NULL throughout takes its donor's values at the same keys; `<column>_source`
     names the donor. donors: (entity, donor)."""
+    df = saved(df, "rows")  # what made df runs once
     lacking = df.groupBy(entity).agg(F.max(F.col(column).isNotNull()).alias("_has")).filter(~F.col("_has")).select(entity)
-    lent = donors.join(lacking, entity)
-    values = df.select(F.col(entity).alias("donor"), *keys, F.col(column).alias("_lent")).dropDuplicates(["donor", *keys])
+    lent = saved(donors.join(lacking, entity), "donors")
+    values = dealt(df, entity, *keys).select(F.col(entity).alias("donor"), *keys, F.col(column).alias("_lent")).dropDuplicates(["donor", *keys])
     rows = df.join(lent, entity, "left").join(values, ["donor", *keys], "left")
     given = F.col("donor").isNotNull()
     return rows.withColumns({column: F.when(given, F.col("_lent")).otherwise(F.col(column)), f"{column}_source": F.col("donor")}).select(*df.columns, f"{column}_source")
