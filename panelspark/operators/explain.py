@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import saved
 from .gram import Linear
 from .permute import permuted, ranked
 from .ranks import bins
@@ -106,6 +107,7 @@ def effect_by_bins(effects: DataFrame, row: str, driver: str, modifier: str, sen
     """Mean, standard error and n of effect by bins of the driver and of the modifier. Rows without a sensor,
     a driver or a modifier are left out. row: distinct integers; equal values are binned in its order."""
     rows = effects.filter((F.col(sensor) == 1) & F.col(driver).isNotNull() & F.col(modifier).isNotNull())
+    rows = saved(rows.select(*dict.fromkeys((row, driver, modifier, "effect"))), "effects")  # the passes of bins read it
     made = bins(rows, {driver: deciles, modifier: terciles}, row)
     rows = rows.withColumns({"driver_bin": made[driver], "modifier_bin": made[modifier]})
     return rows.groupBy("driver_bin", "modifier_bin").agg(F.avg("effect").alias("mean"), (F.stddev_samp("effect") / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
@@ -118,7 +120,7 @@ def importance_by_group(phi: DataFrame, group: str, top: int = 10) -> DataFrame:
 
 def case_attributions(phi: DataFrame, cases: DataFrame, row: str, top: int = 10) -> DataFrame:
     """The largest contributions, by size, to each case (case, row)."""
-    rows = phi.join(cases.withColumnRenamed("row", row), row)
+    rows = phi.join(saved(cases.withColumnRenamed("row", row), "cases"), row)  # saved, Spark sees how few they are: phi isn't exchanged
     place = F.row_number().over(W.partitionBy("case").orderBy(F.desc(F.abs("phi")), "feature"))
     return rows.withColumn("place", place).filter(F.col("place") <= top)
 

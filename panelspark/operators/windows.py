@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import saved
 from .permute import ranked
 from .ranks import literal, percentiles
 
@@ -165,7 +166,8 @@ def pick_cases(df: DataFrame, row: str, y: str, wind: str, subset: Column) -> Da
     """(case, row): largest y; y nearest the median; nearest the subset's median among its calm (wind at
     most its lower third) and windy (its upper third) rows. Ties go to the smaller row."""
     near = lambda m: F.min_by(row, F.struct(F.abs(F.col(y) - m), F.col(row)))
-    inside = F.coalesce(subset, F.lit(False))
+    df = saved(df.select(*dict.fromkeys((row, y, wind)), F.coalesce(subset, F.lit(False)).alias("_inside")), "cases")  # what made df runs once
+    inside = F.col("_inside")
     marks = percentiles(df.select(F.col(y).alias("y"), F.when(inside, F.col(wind)).alias("wind")), {"y": [0.5], "wind": [1 / 3, 2 / 3]})
     median, (low, high) = literal(marks["y"][0]), map(literal, marks["wind"])
     calm, windy = inside & (F.col(wind) <= low), inside & (F.col(wind) >= high)
