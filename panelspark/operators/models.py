@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ..shipping import saved
+from ..shipping import dealt, saved
 from .evaluate import evaluate
 from .gram import Linear, ablation_removals, ridge_fit
 
@@ -29,10 +29,13 @@ class Fitted:
         return made.withColumn(name, F.col("prediction")).drop("_v", "prediction")
 
 
-def _fit(estimator, df: DataFrame, features: Sequence[str], y: str, weight: str | None) -> Fitted:
-    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.dropna(subset=[*features, y]))
-    if rows.isEmpty():
+def _fit(estimator, df: DataFrame, features: Sequence[str], y: str, weight: str | None, *more: str) -> Fitted:
+    """MLlib keeps the rows in as many parts as they come in: they are saved once, and dealt to as many tasks as they need."""
+    kept = dict.fromkeys([*features, y, *([weight] if weight else []), *more])
+    known = saved(df.dropna(subset=[*features, y]).select(*kept), "fit")
+    if known.isEmpty():
         raise ValueError("no rows to fit a tree on")
+    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(dealt(known))
     estimator.setFeaturesCol("_v").setLabelCol(y)
     return Fitted((estimator.setWeightCol(weight) if weight else estimator).fit(rows), features)
 
@@ -51,7 +54,7 @@ def gbt_fit(df: DataFrame, features: Sequence[str], y: str, weight: str | None =
     sample and columns: shares of rows a round and of columns a node, "all" for no sampling. There are no
     penalties on leaves: not the model of other boosting libraries."""
     estimator = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=columns, seed=seed)
-    return _fit(estimator.setValidationIndicatorCol(validation) if validation else estimator, df, features, y, weight)
+    return _fit(estimator.setValidationIndicatorCol(validation) if validation else estimator, df, features, y, weight, *([validation] if validation else []))
 
 
 def tree_importance(fitted: Fitted, df: DataFrame) -> DataFrame:
