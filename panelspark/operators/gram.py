@@ -176,6 +176,7 @@ def learning_curve_by_entity(df: DataFrame, features: Sequence[str], y: str, alp
     """(fraction, entity, n, rmse, r2) of learning_curve's fits on the validation rows of each entity that has any.
 
     Each entity's matrix is scored in a task; r2 is NULL for a constant target."""
+    df = saved(df.select(*dict.fromkeys([k, tick, split, *features, y])), "rows")  # what made df runs once
     fits, _ = _prefix_fits(df, features, y, alpha, k, tick, steps, split)
     size = len(features) + 2
 
@@ -213,7 +214,8 @@ def left_out_predictions(df: DataFrame, features: Sequence[str], y: str, alpha:
 
     Each entity's coefficients are a row, from its own Gram matrix and the sum of all, and meet its rows by the entity."""
     n = len(features) + 2
-    rows = df.dropna(subset=[*features, y, k, *([weight] if weight else [])])
+    used = dict.fromkeys([*features, y, k, *([weight] if weight else [])])
+    rows = saved(df.dropna(subset=[*used]).select(*used), "rows")  # what made df runs once
     table = saved(gram(rows, features, y, weight, k), "grams")
     total = square(table.groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas(), n)
 
