@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shipping import saved
+from ..shipping import ROWS, saved
 from .gram import Linear
 from .permute import permuted, ranked
 from .ranks import bins
@@ -142,8 +142,8 @@ def shuffled(df: DataFrame, row: str, columns: Sequence[str], seed: int) -> Data
 def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]], row: str, y: str, repeats: int = 5, seed: int = 0) -> DataFrame:
     """(family, drop_mean, drop_sd): how much r2 falls when a family's columns are shuffled jointly over all rows, over repeats.
 
-    Rows are ranked and saved once; each family is one join by rank for all repeats. Give the columns that the model
-    needs, as all of df's are joined."""
+    Rows are ranked and saved once. All families and repeats are one join by rank, in tasks of a bounded number of rows: a row meets
+    the one that a repeat sends it to, and each family takes its own columns from there. Give the columns that the model needs, as all of df's are joined."""
     from .evaluate import evaluate
 
     rows, n = ranked(df, [row], "_rank")
@@ -152,10 +152,13 @@ def permutation_importance(df: DataFrame, model, groups: dict[str, Sequence[str]
         return model.transform(rows, "y_pred").select(F.col(y).alias("y_true"), "y_pred", *[c for c in ("family", "repeat") if c in rows.columns])
 
     whole = evaluate(scored(rows)).select(F.col("r2").alias("_whole"))
-    parts = None
-    for name, columns in groups.items():
-        one = scored(_exchanged(rows, n, columns, range(seed, seed + repeats)).withColumn("family", F.lit(name)))
-        parts = one if parts is None else parts.unionByName(one)
+    moved = list(dict.fromkeys(c for columns in groups.values() for c in columns))
+    to = F.inline(F.array(*[F.struct(F.lit(i).alias("repeat"), permuted(F.col("_rank"), n, seed + i).alias("_to")) for i in range(repeats)]))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * repeats // ROWS))
+    givers = rows.select(F.col("_rank").alias("_to"), *[F.col(c).alias(f"_from_{c}") for c in moved]).repartition(tasks, "_to")
+    met = rows.select("*", to).join(givers, "_to")
+    families = [F.struct(F.lit(name).alias("family"), *[F.col(f"_from_{c}" if c in columns else c).alias(c) for c in moved]) for name, columns in groups.items()]
+    parts = scored(met.select("repeat", *[c for c in df.columns if c not in moved], F.inline(F.array(*families))))
     found = evaluate(parts, ["family", "repeat"]).join(F.broadcast(whole))
     return found.withColumn("_d", F.col("_whole") - F.col("r2")).groupBy("family").agg(F.avg("_d").alias("drop_mean"), F.stddev_pop("_d").alias("drop_sd"))
 

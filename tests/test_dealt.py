@@ -56,3 +56,23 @@ def test_rows_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     df = spark.range(3000).withColumn("k", F.col("id") % 100)
     assert shipping.dealt(df, "k").rdd.getNumPartitions() == 30 and shipping.dealt(df.limit(5)).rdd.getNumPartitions() == 8
     assert ranks.group_percentiles(df, "k", "id", [0.5]).rdd.getNumPartitions() == 30
+
+
+def test_families_share_one_join_and_trees_one_table(spark, monkeypatch):
+    from panelspark.operators import models
+    from panelspark.operators.gram import left_out_predictions, ridge_fit
+
+    df, made = _counted(spark)
+    rows = df.withColumn("z", F.col("y") % 7)
+    found = explain.permutation_importance(rows, ridge_fit(rows, ["x", "z"], "y", 1.0), {"a": ["x"], "b": ["x", "z"], "c": ["z"]}, "id", "y", 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 2  # places once and families once: one join for all
+    monkeypatch.setattr(shipping, "ROWS", 10)
+    parts = []
+    fit = models.DecisionTreeRegressor.fit
+    monkeypatch.setattr(models.DecisionTreeRegressor, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    before = made.value
+    models.tree_fit(df, ["x"], "y")
+    assert parts == [20] and made.value - before == 200
+    before = made.value
+    left_out_predictions(df, ["x"], "y", 1.0, "k").count()
+    assert made.value - before == 200
