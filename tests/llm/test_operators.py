@@ -377,6 +377,18 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove_repeats(same.limit(0)).count() == 0
 
 
+def test_substring_dedup_meets_a_compacted_run(spark, monkeypatch):
+    """The last batch of what queries call meets the run that earlier batches were compacted into, and finds in it what each of them had."""
+    texts = [" ".join(words(20, 700 + i)) for i in range(40)]
+    texts += [" ".join(words(20, 700 + i) + words(5, 900 + i)) for i in range(40)]
+    met = []
+    real = substring_dedup.FingerprintIndex.add
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "add", lambda self, docs: met.append([level for level, *_ in self.runs]) or real(self, docs))
+    found = {r["doc_id"]: (r["text"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert met == [[], [0], [1]]
+    assert found == brute_repeats(texts) and sum(n for *_, n in found.values()) == 800
+
+
 # 7
 
 def test_packing_is_exact(spark):
