@@ -64,9 +64,9 @@ def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
-def _block_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def _block_sums(df: DataFrame, by: Sequence[str], more: dict[str, Column] | None = None) -> DataFrame:
     e = F.col("y_true") - F.col("y_pred")
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y_true").alias("y"), F.sum(F.col("y_true") * F.col("y_true")).alias("yy"), F.sum(e * e).alias("ee"), F.sum(F.abs(e)).alias("ae"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y_true").alias("y"), F.sum(F.col("y_true") * F.col("y_true")).alias("yy"), F.sum(e * e).alias("ee"), F.sum(F.abs(e)).alias("ae"), *[c.alias(n) for n, c in (more or {}).items()])
 
 
 def drawn_number(round_: int, place: int, seed: int) -> int:
@@ -76,6 +76,8 @@ def drawn_number(round_: int, place: int, seed: int) -> int:
 
 #: Blocks of a bucket at least, and buckets at most.
 BUCKET, BUCKETS = 4096, 4096
+#: Draws that a task makes at once, so that their arrays stay in its core's cache.
+DRAWS = 65_536
 _WORD = np.uint64(2**32 - 1)
 #: The multipliers of MurmurHash3's 32-bit finaliser, and the golden ratio's 32 bits.
 _MIX, _STEP = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B1
@@ -84,9 +86,12 @@ _MIX, _STEP = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B1
 def mixed(x) -> np.ndarray:
     """A bijection of 32-bit numbers, held in 64 bits, whose bits all depend on all bits. Any engine with 64-bit integers can repeat it."""
     x = np.asarray(x, np.uint64) & _WORD
-    x = (x ^ (x >> np.uint64(16))) * np.uint64(_MIX[0]) & _WORD
-    x = (x ^ (x >> np.uint64(13))) * np.uint64(_MIX[1]) & _WORD
-    return x ^ (x >> np.uint64(16))
+    for shift, by in zip((16, 13), _MIX, strict=True):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(by)
+        x &= _WORD
+    x ^= x >> np.uint64(16)
+    return x
 
 
 def drawn_numbers(seed: int, stream: int, rounds, index, count) -> np.ndarray:
@@ -94,7 +99,8 @@ def drawn_numbers(seed: int, stream: int, rounds, index, count) -> np.ndarray:
     rounds, index = np.asarray(rounds, np.uint64), np.asarray(index, np.uint64)
     key = mixed(rounds * np.uint64(_STEP) + np.uint64((seed * 8 + stream) & 0xFFFFFFFF))
     high, low = mixed(index + key), mixed(index * np.uint64(_STEP) + key)
-    return ((high << np.uint64(31)) + (low >> np.uint64(1))) % np.asarray(count, np.uint64)
+    drawn, count = (high << np.uint64(31)) + (low >> np.uint64(1)), np.asarray(count, np.uint64)
+    return drawn - drawn // count[()] * count  # NumPy divides by a scalar faster than it takes remainders
 
 
 def block_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed: int = 0, model: str | Sequence[str] = "model", bucket: int = BUCKET) -> DataFrame:
@@ -105,10 +111,15 @@ def block_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed:
     then each bucket draws so many of its own, in a task: together this is drawing from all blocks. Tasks return a
     number for each round and bucket, and a sum for each round and model. Draws come from counters (drawn_numbers), so that
     SQL repeats them and partitions don't matter. Without rows there are no rounds."""
-    spark = df.sparkSession
+    names = _names(model)
+    return _rounds_of_sums(saved(_block_sums(df, [*block, *names]), "blocks"), list(block), rounds, seed, names, bucket)
+
+
+def _rounds_of_sums(sums: DataFrame, block: list[str], rounds: int, seed: int, names: list[str], bucket: int = BUCKET) -> DataFrame:
+    """block_rounds of saved sums of blocks."""
+    spark = sums.sparkSession
     ship_code(spark)
-    names, block, parts = _names(model), list(block), ["n", "y", "yy", "ee", "ae"]
-    sums = saved(_block_sums(df, [*block, *names]), "blocks")
+    parts = ["n", "y", "yy", "ee", "ae"]
     numbers, n = ranked(sums.select(*block).distinct(), block, "_number")
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*names).schema)
     size = max(bucket, -(-n // BUCKETS))
@@ -123,10 +134,10 @@ def block_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed:
         for pdf in batches:
             for start in pdf["id"]:
                 place = np.arange(start * BUCKET, min(n, (start + 1) * BUCKET))
-                for lo in range(0, rounds, 128):
-                    found = drawn_numbers(seed, 0, every[lo : lo + 128], place, n) // np.uint64(size)
+                for lo in range(0, rounds, DRAWS // BUCKET):
+                    found = drawn_numbers(seed, 0, every[lo : lo + DRAWS // BUCKET], place, n) // np.uint64(size)
                     at = np.arange(len(found), dtype=np.int64)[:, None] * count + found.astype(np.int64)
-                    held[lo : lo + 128] += np.bincount(at.ravel(), minlength=len(found) * count).reshape(-1, count)
+                    held[lo : lo + len(found)] += np.bincount(at.ravel(), minlength=len(found) * count).reshape(-1, count)
         if held.any():
             yield pd.DataFrame({"_bucket": np.arange(count), "held": [h.tobytes() for h in held.T]})
 
@@ -138,7 +149,7 @@ def block_rounds(df: DataFrame, block: Sequence[str], rounds: int = 1000, seed:
         for i, (_, at, values) in enumerate(found):
             tables[i, at] = values
         out = np.zeros((len(found), rounds, len(parts)))
-        step = max(1, 2_000_000 // width)
+        step = max(1, DRAWS // width)
         for lo in range(0, rounds, step):
             n_own = take[lo : lo + step]
             row = np.repeat(np.arange(len(n_own)), n_own)
@@ -190,6 +201,18 @@ def compare_to_best(rounds: DataFrame, scores: DataFrame, baselines: Sequence[st
     return out.withColumn("verdict", verdict)
 
 
+def compare_over_blocks(df: DataFrame, block: Sequence[str], baselines: Sequence[str], rounds: int = 1000, seed: int = 0, model: str = "model", group: str | None = None) -> DataFrame:
+    """compare_to_best over block_rounds of df, with the scores that evaluate gives of the whole. Rows are read once: rounds and
+    scores are both made from the sums of blocks."""
+    names = [*([group] if group else []), model]
+    y, whole = F.col("y_true"), F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    more = {"_n": F.count_if(whole), "_y": F.sum(F.when(whole, y)), "_yy": F.sum(F.when(whole, y * y))}
+    sums = saved(_block_sums(df, [*block, *names], more), "blocks")
+    total = sums.groupBy(*names).agg(*[F.sum(c).alias(c) for c in (*more, "ee", "ae")]).filter("_n > 0")
+    scores = total.withColumns(_scores(*[F.col(c) for c in (*more, "ee", "ae")])).select(*names, "r2")
+    return compare_to_best(_rounds_of_sums(sums, list(block), rounds, seed, names), scores, baselines, model, group)
+
+
 def upsert_results(store: DataFrame, rows: DataFrame, order: str, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """The later of equal keys, by order; rows of the second table come later."""
     both = store.withColumn("_from", F.lit(0)).unionByName(rows.withColumn("_from", F.lit(1)), allowMissingColumns=True)

@@ -338,9 +338,7 @@ def _(t):
     q AS (SELECT v.model, be.best, v.r2 - w.r2 AS d FROM v JOIN v w ON w.rnd = v.rnd JOIN be ON w.model = be.best), o AS (SELECT model, best, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM q GROUP BY model, best)
     SELECT model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
 def _(t):
-    rows = _all_blocks(t)
-    rounds = E.block_rounds(rows, ["k", "wk"], 1000, 3)
-    return _rounded(E.compare_to_best(rounds, E.evaluate(rows, ["model"]).select("model", "r2"), ["B1", "B2"]), [], 5)
+    return _rounded(E.compare_over_blocks(_all_blocks(t), ["k", "wk"], ["B1", "B2"], 1000, 3), [], 5)
 
 
 @query("O_E7_compare_to_best_all", f"""WITH {_BLOCKS}, sc AS (SELECT feature_set, model, {_R2} AS r2 FROM preds WHERE stage = 'default' AND split = 'test' GROUP BY feature_set, model), be AS (SELECT feature_set, max_by(model, r2) AS best FROM sc WHERE model NOT IN ('B1', 'B2') GROUP BY feature_set),
@@ -348,10 +346,7 @@ def _(t):
     o AS (SELECT feature_set, model, best, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM q GROUP BY feature_set, model, best)
     SELECT feature_set, model, best, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN model = best THEN 'best' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM o""")
 def _(t):
-    rows = _all_blocks(t)
-    names = ["feature_set", "model"]
-    rounds = E.block_rounds(rows, ["k", "wk"], 1000, 3, names)
-    return _rounded(E.compare_to_best(rounds, E.evaluate(rows, names).select(*names, "r2"), ["B1", "B2"], group="feature_set"), [], 5)
+    return _rounded(E.compare_over_blocks(_all_blocks(t), ["k", "wk"], ["B1", "B2"], 1000, 3, group="feature_set"), [], 5)
 
 
 @query("O_E8_upsert_results", "SELECT model, stage, grain, feature_set, split, round(CASE WHEN stage = 'tuned' THEN mae + 1 ELSE mae END, 5) AS mae FROM results")

@@ -76,3 +76,16 @@ def test_families_share_one_join_and_trees_one_table(spark, monkeypatch):
     before = made.value
     left_out_predictions(df, ["x"], "y", 1.0, "k").count()
     assert made.value - before == 200
+
+
+def test_comparisons_read_rows_once(spark):
+    from panelspark.operators import evaluate
+
+    df, made = _counted(spark)
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col("x") * f).alias("y_pred")) for m, f in (("B", 0.0), ("M", 3.0), ("N", 2.0))])).alias("p"), "*")
+    rows = rows.select("id", "k", "p.*", F.when(F.col("id") != 7, F.col("y")).alias("y_true"))
+    before = evaluate.compare_to_best(evaluate.block_rounds(rows, ["id"], 20, 1), evaluate.evaluate(rows, ["model"]).select("model", "r2"), ["B"])
+    want = {r["model"]: r.asDict() for r in before.collect()}
+    start = made.value
+    found = {r["model"]: r.asDict() for r in evaluate.compare_over_blocks(rows, ["id"], ["B"], 20, 1).collect()}
+    assert made.value - start == 200 and found == want and len(found) == 3
