@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, fresh, ship_code
-from .textkit import Words, chunks
+from .textkit import Words, chunks, mix
 
 WINDOW, GRAM = 13, 6
 #: Batches of documents that are indexed one after the other, and runs of a level that are merged into one. The third batch
@@ -64,7 +64,7 @@ class _Runs:
 
 def _sliding(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every width consecutive words, whatever texts they belong to."""
-    from .textkit import _BASE, mix
+    from .textkit import _BASE
 
     n = max(0, len(h) - width + 1)
     out = np.zeros(n, np.uint64)
@@ -96,6 +96,17 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"slot": (h * 31 + doc)[many], "h": pd.array(h[many], "Int64"), "doc_id": doc[many]})
 
 
+def _wanted(runs: _Runs, wanted: list) -> np.ndarray:
+    """Which stretches have a fingerprint that their own text's list has; all, where the list is null."""
+    every = np.array([hs is None for hs in wanted])
+    size = [0 if hs is None else len(hs) for hs in wanted]
+    h = np.concatenate([np.zeros(0, np.int64), *(np.asarray(hs, np.int64) for hs in wanted if hs is not None)]).view(np.uint64)
+    # one lookup for all texts: a text's own number is added to its fingerprints
+    own = mix(np.arange(1, len(wanted) + 1, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        return np.isin(runs.fingerprint.view(np.uint64) + own[runs.doc], h + np.repeat(own, size)) | every[runs.doc]
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches of windows with shared fingerprints, those in hs (null: all): (h, doc_id, rid, starts, length, windows).
 
@@ -109,8 +120,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             runs = _Runs(texts[lo:hi])
             if not len(runs.doc):
                 continue
-            edge = np.searchsorted(runs.doc, np.arange(hi - lo + 1))
-            hit = np.concatenate([np.isin(runs.fingerprint[edge[i] : edge[i + 1]], wanted[lo + i]) if wanted[lo + i] is not None else np.ones(edge[i + 1] - edge[i], bool) for i in range(hi - lo)])
+            hit = _wanted(runs, wanted[lo:hi])
             if not hit.any():
                 continue
             start, length, h, own = (x[hit] for x in (runs.start, runs.length, runs.fingerprint, runs.doc))
@@ -136,12 +146,16 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of a partition sorted by fingerprint and document: stretches of windows that a smaller document has,
-    as (doc_id, rid, starts, length).
+    as (doc_id, rid, starts, length). Settled ones, which carry no windows, pass through.
 
     A group may be longer than a batch: what its windows' first documents are is carried on.
     """
     carry_h, carry_w, carry_d = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for pdf in batches:
+        settled = pdf["windows"].isna().to_numpy()
+        if settled.any():
+            yield pdf.loc[settled, ["doc_id", "rid", "starts", "length"]]
+            pdf = pdf[~settled]
         if not len(pdf):
             continue
         h, ids, length = pdf["h"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["length"].to_numpy()
@@ -170,23 +184,36 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+_WHITE = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+
+
+def _joined(text: str | None) -> bytes:
+    """The words of a text joined by one space, by passes over its bytes."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_WHITE).strip(b" ") if text else b""
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return raw
+
+
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as kept words joined by a space, with n_words and n_removed in place of the last column, the stretches found."""
     for pdf in batches:
         kept, total, gone = [], [], []
         for text, found in zip(pdf["text"].tolist(), pdf.iloc[:, -1].tolist(), strict=True):
-            parts = text.encode("utf-8", "surrogatepass").split() if text else []  # bytes part at \x20 and \x09-\x0D only
-            total.append(len(parts))
+            raw = _joined(text)
+            n, stay = raw.count(b" ") + 1 if raw else 0, None
             if found is not None and len(found):
-                delta = np.zeros(len(parts) + 1, np.int64)
-                for s in found:
-                    starts = np.frombuffer(s["starts"], "<i4").astype(np.int64)
-                    np.add.at(delta, starts, 1)
-                    np.add.at(delta, starts + s["length"] + WINDOW - 1, -1)
+                first = np.frombuffer(b"".join([s["starts"] for s in found]), "<i4").astype(np.int64)
+                length = np.repeat([s["length"] for s in found], [len(s["starts"]) // 4 for s in found])
+                delta = np.bincount(first, minlength=n + 1) - np.bincount(first + length + WINDOW - 1, minlength=n + 1)
                 stay = np.cumsum(delta[:-1]) == 0
-                parts = [p for p, k in zip(parts, stay.tolist(), strict=True) if k]
-            gone.append(total[-1] - len(parts))
-            kept.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
+                between = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+                start, end = np.concatenate(([0], between + 1)), np.append(between, len(raw))
+                run = np.flatnonzero(np.diff(np.concatenate(([False], stay, [False])).view(np.int8)))
+                raw = b" ".join([raw[a:b] for a, b in zip(start[run[::2]].tolist(), end[run[1::2] - 1].tolist(), strict=True)])
+            total.append(n)
+            gone.append(n - int(stay.sum()) if stay is not None else 0)
+            kept.append(raw.decode("utf-8", "surrogatepass"))
         yield pdf.iloc[:, :-1].assign(text=kept, n_words=total, n_removed=gone)
 
 
@@ -247,10 +274,10 @@ def _covered(docs: DataFrame, shared: DataFrame, new: F.Column) -> DataFrame:
     """(doc_id, rid, starts, length): stretches of window starts of new documents that occur in a smaller one."""
     hints = shared.groupBy("doc_id").agg(F.collect_set("h").alias("hs")).hint("shuffle_hash")
     stretches = docs.join(hints, "doc_id").mapInPandas(_windows, "h long, doc_id long, rid long, starts binary, length long, windows binary")
-    settled = stretches.filter(F.col("windows").isNull() & new).select("doc_id", "rid", "starts", "length")
-    open_ = stretches.filter("windows IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc_id")
-    verified = open_.mapInPandas(_verify, "doc_id long, rid long, starts binary, length long")
-    return settled.unionByName(verified.filter(new))
+    # one shuffle for all, so that texts are read and hashed once; settled stretches, which may be many of one fingerprint, are spread by document
+    slot = F.when(F.col("windows").isNull(), F.xxhash64("doc_id")).otherwise(F.col("h"))
+    dealt = stretches.filter(F.col("windows").isNotNull() | new).repartition(slot).sortWithinPartitions("h", "doc_id")
+    return dealt.mapInPandas(_verify, "doc_id long, rid long, starts binary, length long").filter(new)
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
