@@ -6,13 +6,17 @@ and one sort serve them together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..shipping import saved
+from ..shipping import saved, ship_code
 from .permute import ranked
 from .ranks import literal, percentiles
 
@@ -48,33 +52,115 @@ def time_rolling(k: str, tick: str, column: str, width: int, agg: str, min_perio
 def rolling_features(df: DataFrame, k: str, tick: str, specs: dict[str, tuple[str, int, str, int]]) -> DataFrame:
     """df with, for each name -> (column, width, agg, min_periods), what time_rolling gives as name and name_available.
 
-    A frame over [t - width, t) is the difference of two that begin at the entity's first row, of counts, sums and squares about
-    the entity's mean. Those only grow, so that any number of specs of any width are one pass over one sort, and the time
-    doesn't depend on the widths. Differences that are within the sums' rounding of nothing are 0."""
+    Rows are dealt by entity and sorted by tick once; a task goes over them in batches and carries the rows on that later frames of an
+    entity may reach. A frame over [t - width, t) is the difference of two that begin at the first of these, of counts, and of sums and squares
+    about their mean, so that the time doesn't depend on the widths. A task holds no more than twice an entity's rows in the widest frame,
+    and a batch. Differences that are within the sums' rounding of nothing are 0. A null tick has no frame and is in none. Columns of
+    df that aren't needed should be dropped before."""
     columns = list(dict.fromkeys(c for c, _, _, _ in specs.values()))
-    at = {c: i for i, c in enumerate(columns)}
-    own = W.partitionBy(k)
-    rows = df.withColumns({f"_m{i}": F.avg(c).over(own) for c, i in at.items()})
-    rows = rows.withColumns({f"_x{i}": F.col(c).cast("double") - F.col(f"_m{i}") for c, i in at.items()})
-    sums = {}
-    for c, width in sorted({(c, w) for c, w, _, _ in specs.values()} | {(c, 0) for c in columns}):
-        frame, x = by_time(k, tick).rangeBetween(W.unboundedPreceding, -width - 1), f"_x{at[c]}"
-        sums |= {f"_n{at[c]}_{width}": F.count(x).over(frame), f"_s{at[c]}_{width}": F.coalesce(F.sum(x).over(frame), F.lit(0.0)), f"_q{at[c]}_{width}": F.coalesce(F.sum(F.col(x) * F.col(x)).over(frame), F.lit(0.0))}
-    rows = rows.withColumns(sums)
-    made = {}
-    for name, (c, width, agg, least) in specs.items():
-        i = at[c]
-        n, s, q = (F.col(f"_{v}{i}_0") - F.col(f"_{v}{i}_{width}") for v in "nsq")
-        rounding = 1e-13 * F.col(f"_q{i}_0")
-        spread = q - s * s / n
-        value = {
-            "mean": F.col(f"_m{i}") + s / n,
-            "sum": s + n * F.col(f"_m{i}"),
-            "std": F.when((n == 1) | (spread <= rounding), 0.0).otherwise(F.sqrt(spread / n)),
-        }[agg]
-        enough = n >= max(least, 1)
-        made |= {name: F.when(enough, value).otherwise(0.0), f"{name}_available": (n >= least).cast("int")}
-    return rows.withColumns(made).drop(*sums, *[f"_{v}{i}" for v in "mx" for i in at.values()])
+    made = [StructField(n, t) for name in specs for n, t in ((name, DoubleType()), (f"{name}_available", IntegerType()))]
+    passed = [f for f in df.schema.fields if f.name not in {m.name for m in made}]
+    values = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in passed], F.col(k).alias("_k"), F.col(tick).cast("long").alias("_t"), *values)
+    ship_code(df.sparkSession)
+    rolled = partial(_rolled, specs=[(columns.index(c), width, agg, least) for c, width, agg, least in specs.values()], passed=len(passed))
+    return rows.repartition("_k").sortWithinPartitions("_k", "_t").mapInArrow(rolled, StructType(passed + made))
+
+
+def _rolled(batches: Iterator, specs: list[tuple[int, int, str, int]], passed: int) -> Iterator:
+    """The first passed columns of batches sorted by _k and _t, and of each (place among _x, width, agg, min_periods) the value and whether there were enough."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    widest, many = max(width for _, width, _, _ in specs), max(i for i, _, _, _ in specs) + 1
+    keys, ticks = [], np.zeros(0, np.int64)
+    x, known = np.zeros((many, 0)), np.zeros((many, 0), bool)
+    waiting, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            waiting.append(batch)
+            size += batch.num_rows
+        if not waiting or (batch is not None and size < len(ticks)):
+            continue  # as many new rows as are carried on, so that a row is looked at twice or so
+        table, old = pa.Table.from_batches(waiting), len(ticks)
+        waiting, size = [], 0
+        own = pa.concat_arrays([*keys, *table["_k"].chunks])
+        ticks = np.concatenate((ticks, pc.fill_null(table["_t"], _NO_TICK).to_numpy()))
+        x = np.concatenate((x, [table[f"_x{i}"].to_numpy() for i in range(many)]), axis=1)
+        known = np.concatenate((known, [pc.is_valid(table[f"_x{i}"]).to_numpy() for i in range(many)]), axis=1)
+        codes = own.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        made = _frames(ticks, x, known, first, specs, old)
+        fields = [*table.columns[:passed], *(pa.array(column) for column in made)]
+        yield from pa.Table.from_arrays(fields, [*table.column_names[:passed], *(f"_{i}" for i in range(len(made)))]).to_batches(max_chunksize=10_000)
+        held = np.arange(first[-1], len(ticks))
+        held = held[(ticks[held] != _NO_TICK) & (ticks[held] >= ticks[-1] - widest)] if ticks[-1] != _NO_TICK else held[:0]
+        start = held[0] if len(held) else len(ticks)
+        keys, ticks, x, known = [own[start:]], ticks[start:], x[:, start:], known[:, start:]
+
+
+#: Stands for a null tick: sorts first, as nulls do.
+_NO_TICK = -(2**63)
+
+
+def _frames(ticks: np.ndarray, x: np.ndarray, known: np.ndarray, first: np.ndarray, specs: list[tuple[int, int, str, int]], old: int) -> list[np.ndarray]:
+    """Of each spec the values and whether there were enough, for all rows but the first old ones. first: where entities begin."""
+    n = len(ticks)
+    size = np.diff(np.append(first, n))
+    finite = known & np.isfinite(x)
+    mean = np.add.reduceat(np.where(finite, x, 0.0), first, axis=1) / np.maximum(np.add.reduceat(finite.astype(float), first, axis=1), 1)
+    mean = np.repeat(mean, size, axis=1)
+    off = np.where(finite, x - mean, 0.0)
+    parts = [known.astype(float), off, off * off]
+    if not finite[known].all():
+        parts += [(known & np.isnan(x)).astype(float), (known & (x == np.inf)).astype(float), (known & (x == -np.inf)).astype(float)]
+    before = _before(np.stack(parts), first, size)
+    begin = np.repeat(first, size)[old:]
+    at = np.arange(old, n)
+    no_tick = ticks[old:] == _NO_TICK
+    bound = lambda width: np.where(no_tick, at, _bisect(ticks, begin, at, np.where(no_tick, 0, ticks[old:]) - width))
+    high, low = bound(0), {width: bound(width) for width in {width for _, width, _, _ in specs}}
+    sums, out = {}, []
+    with np.errstate(all="ignore"):
+        for i, width, agg, least in specs:
+            if (i, width) not in sums:
+                count, s, q, *odd = before[:, i, high] - before[:, i, low[width]]
+                if odd:  # what sums of such values are
+                    beyond = np.where(odd[0] > 0, np.nan, 0.0) + np.where(odd[1] > 0, np.inf, 0.0) - np.where(odd[2] > 0, np.inf, 0.0)
+                    s, q = s + beyond, q + np.abs(beyond)
+                sums[i, width] = count, s, q
+            count, s, q = sums[i, width]
+            m = mean[i, old:]
+            if agg == "mean":
+                value = m + s / count
+            elif agg == "sum":
+                value = s + count * m
+            else:
+                spread = q - s * s / count
+                value = np.where(((count == 1) & np.isfinite(s)) | (spread <= 1e-13 * before[2, i, high]), 0.0, np.sqrt(spread / count))
+            out += [np.where(count >= max(least, 1), value, 0.0), (count >= least).astype(np.int32)]
+    return out
+
+
+def _bisect(ticks: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The first place from low on, high at most, whose tick is wanted or later; sorted between the two."""
+    while (low < high).any():
+        middle = (low + high) // 2
+        less = (low < high) & (ticks[middle] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return low
+
+
+def _before(m: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Along the last axis, sums of what comes before each place in its own segment, none of which sees another's values."""
+    out = np.zeros_like(m)
+    level = np.ceil(np.log2(size)).astype(int)
+    for v in np.unique(level):  # segments of like sizes side by side
+        step = np.arange(1 << v)
+        place, inside = first[level == v][:, None] + step, step < size[level == v][:, None]
+        sums = np.cumsum(np.where(inside, m[..., np.minimum(place, m.shape[-1] - 1)], 0.0), axis=-1)
+        out[..., place[:, 1:][inside[:, 1:]]] = sums[..., :-1][..., inside[:, 1:]]
+    return out
 
 
 def prior_expanding(k: str, tick: str, column: str) -> dict[str, Column]:

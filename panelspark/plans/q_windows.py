@@ -42,8 +42,9 @@ _ROLLED_SQL = {"mean": "avg({0}) OVER w{1}", "std": "stddev_pop({0}) OVER w{1}",
 @query("O_W3_rolling_features", f"""SELECT k, tick, {", ".join(f"CASE WHEN count({c}) OVER w{w} >= {m} THEN round({_ROLLED_SQL[a].format(c, w)}, 4) ELSE 0.0 END AS {n}, CAST(count({c}) OVER w{w} >= {m} AS INTEGER) AS {n}_available" for n, (c, w, a, m) in _ROLLED.items())}
     FROM (SELECT *, x * 1.000123456789 AS xs FROM daily) d WINDOW {", ".join(f"w{w} AS (PARTITION BY k ORDER BY tick RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in (7, 28, 91))}""")
 def _(t):
-    rows = Wn.rolling_features(t.daily.withColumn("xs", F.col("x") * 1.000123456789), "k", "tick", _ROLLED)
-    return rows.select("k", "tick", *[r for n in _ROLLED for r in (F.round(n, 4).alias(n), F.col(f"{n}_available"))])
+    rows = Wn.rolling_features(t.daily.select("k", "tick", "y", "gappy", "rain", "wind", (F.col("x") * 1.000123456789).alias("xs")), "k", "tick", _ROLLED)
+    rounded = lambda n: (F.rint(F.col(n) * 10_000) / 10_000 + 0.0).alias(n)  # noqa: E731  # as DuckDB rounds, without a decimal each; no negative zeros
+    return rows.select("k", "tick", *[r for n in _ROLLED for r in (rounded(n), F.col(f"{n}_available"))])
 
 
 @query("O_W4_long_entities", """WITH r AS (SELECT 1 AS one, row_id, y, gappy, count(y) OVER w AS c, avg(y) OVER w AS m, stddev_pop(y) OVER w AS s, last_value(gappy IGNORE NULLS) OVER (ORDER BY row_id) AS f FROM daily WINDOW w AS (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
