@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..shipping import dealt_if_large
 
 SPARK = {"days": "CAST(unix_date({}) AS BIGINT)", "pmod": "pmod({}, {})"}
 DUCK = {"days": "CAST({} - DATE '1970-01-01' AS BIGINT)", "pmod": "((({0}) % ({1}) + ({1})) % ({1}))"}
@@ -66,6 +69,8 @@ VIEWS = {
         ) AS u
     """,
 }
+#: Of views that group a table into about as many rows as it has: the table, and what they group by.
+GROUPED = {"daily": ("lineitem", ("l_suppkey", "CAST(l_shipdate AS DATE)")), "hourly": ("events", ("user_id", "CAST(ts AS DATE)", "hour(ts) + 1"))}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -93,6 +98,9 @@ class Testbed:
             else:
                 text = _render(VIEWS[name], SPARK)
                 used = {v: getattr(self, v) for v in (*VIEWS, *TABLES) if v != name and _mentions(text, v)}
+                if name in GROUPED:
+                    table, keys = GROUPED[name]
+                    used[table] = dealt_if_large(used[table], *map(F.expr, keys))
                 for v in used:
                     text = _replace(text, v)
                 self._made[name] = self.spark.sql(text, **used)

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -58,3 +58,10 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     the table. Without keys, evenly. The session's number of partitions is the least."""
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
     return df.repartition(tasks, *keys)
+
+
+def dealt_if_large(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """As dealt, if the session's number of partitions would hold more than ROWS rows each, else df as it is. A grouping by all keys
+    that follows needs no other shuffle, and its tasks' maps don't grow with the table."""
+    tasks = -(-df.count() // ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
